@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from recoflow.llm.bpe import round_trip
 from recoflow.llm.common import table
 from recoflow.llm.idfiles import id_files
+from recoflow.llm.packing import pack_documents
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
@@ -26,6 +31,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op8_id_files": op8_id_files,
     "op10_byte_bpe": op10_byte_bpe,
