@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from recoflow.llm.bpe import round_trip
 from recoflow.llm.common import table
 from recoflow.llm.idfiles import id_files
+from recoflow.llm.linededup import ORACLE as LINES_ORACLE
+from recoflow.llm.linededup import op9_line_dedup
 from recoflow.llm.packing import pack_documents
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
@@ -34,7 +36,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op8_id_files": op8_id_files,
+    "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_dedup": LINES_ORACLE,
+}
