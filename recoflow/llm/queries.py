@@ -11,6 +11,7 @@ from recoflow.llm.common import table
 from recoflow.llm.idfiles import id_files
 from recoflow.llm.linededup import ORACLE as LINES_ORACLE
 from recoflow.llm.linededup import op9_line_dedup
+from recoflow.llm.neardup import near_duplicates
 from recoflow.llm.packing import pack_documents
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
@@ -24,6 +25,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
+
+
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -35,6 +40,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
