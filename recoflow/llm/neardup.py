@@ -237,3 +237,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     alone = every.where(empty).select("doc_id", "row", "n", F.col("uid").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = full.select(alone.columns).unionByName(alone)
     return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links", "class_id")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns; of
+    rows equal in doc_id and text one stays."""
+    doc = F.coalesce("doc_id", F.lit(2**63 - 1))
+    kept = near_duplicates(docs, width, percent).where("kept").select(doc.alias("_doc"), F.col("row").alias("_row"))
+    keyed = docs.withColumns({"_doc": doc, "_row": F.xxhash64(F.coalesce("text", F.lit("")))})
+    return keyed.join(kept, ["_doc", "_row"], "left_semi").dropDuplicates(["_doc", "_row"]).drop("_doc", "_row")

@@ -13,6 +13,7 @@ from recoflow.llm.linededup import ORACLE as LINES_ORACLE
 from recoflow.llm.linededup import op9_line_dedup
 from recoflow.llm.neardup import near_duplicates
 from recoflow.llm.packing import pack_documents
+from recoflow.llm.quality import classify
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
 
@@ -25,6 +26,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), limit=1024)
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), sample=20_000)
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
 
@@ -40,6 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
