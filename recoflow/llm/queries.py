@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from recoflow.llm.balltree import ORACLE as TOP_ORACLE
+from recoflow.llm.balltree import top_k
 from recoflow.llm.bpe import round_trip
+from recoflow.llm.chat import ORACLE as CHAT_ORACLE
+from recoflow.llm.chat import format_chats
 from recoflow.llm.common import table
 from recoflow.llm.idfiles import id_files
 from recoflow.llm.linededup import ORACLE as LINES_ORACLE
@@ -16,6 +21,11 @@ from recoflow.llm.packing import pack_documents
 from recoflow.llm.quality import classify
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
+from recoflow.llm.winnow import edited_fingerprints
+
+
+def op1_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +40,18 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), sample=20_000)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80).drop("row")
 
 
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -43,15 +61,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k_search": op1_top_k_search,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_token_counts": op3_token_counts,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_minhash_near_dedup": op6_minhash_near_dedup,
+    "op7_document_fingerprints": op7_document_fingerprints,
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_top_k_search": TOP_ORACLE,
+    "op5_chat_formatting": CHAT_ORACLE,
     "op9_line_dedup": LINES_ORACLE,
 }
