@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from recoflow.llm.common import written
 
-K, DOUBLINGS = 12, 3
+K, DOUBLINGS = 8, 3
 #: Hashes in a window.
 W = 1 << DOUBLINGS
 POSITION_BITS = 28
