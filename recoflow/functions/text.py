@@ -158,11 +158,11 @@ def document_text(title: str, authors: Column, systems: Column, tags: Column, de
 
 
 def one_decimal(x: Column) -> Column:
-    """A number from 0 to 800 with one decimal, rounded by its exact binary value, half
-    to even."""
-    tenths = (x * 2**50).cast("long") * 10
-    whole, rest = F.shiftright(tenths, 50), tenths.bitwiseAND(F.lit(2**50 - 1))
-    up = (rest > 2**49) | ((rest == 2**49) & (whole % 2 == 1))
+    """A number from 0 to 50 with one decimal, rounded by its exact binary value, half to
+    even."""
+    tenths = (x * 2**54).cast("long") * 10
+    whole, rest = F.shiftright(tenths, 54), tenths.bitwiseAND(F.lit(2**54 - 1))
+    up = (rest > 2**53) | ((rest == 2**53) & (whole % 2 == 1))
     n = whole + up.cast("long")
     return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
 

@@ -49,13 +49,13 @@ def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK
     leave it, so memory is bounded whatever the sizes.
     """
     q_blocks, i_blocks = max(1, -(-queries.count() // block)), max(1, -(-items.count() // block))
-    q = _blocked(queries.select("query_id", "vector"), q_blocks, "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    i = _blocked(items.select("item_id", "vector"), i_blocks, "ib").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    q = _blocked(queries.select("query_id", F.col("vector").alias("q_vector")), q_blocks, "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
+    i = _blocked(items.select("item_id", F.col("vector").alias("i_vector")), i_blocks, "ib").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": a["query_id"][:0], "item_id": b["item_id"][:0], "cos": np.zeros(0)})
-        product = np.stack(a["vector"].to_list()).astype(np.float64) @ np.stack(b["vector"].to_list()).astype(np.float64).T
+        product = np.stack(a["q_vector"].to_list()).astype(np.float64) @ np.stack(b["i_vector"].to_list()).astype(np.float64).T
         r, c = np.nonzero(product >= floor)
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[r], "item_id": b["item_id"].to_numpy()[c], "cos": product[r, c]})
 

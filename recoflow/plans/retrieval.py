@@ -19,7 +19,7 @@ FLOOR, QUERY_STEP = 0.25, 50
 PAIRS_SQL = f"""pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) AS cos
   FROM embeddings q JOIN embeddings c ON q.vec_id <> c.vec_id WHERE list_inner_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) >= {FLOOR}),
   scored AS (SELECT query_id, item_id, round(cos, 6) AS cos, round(1 / (1 + exp(1 - 4 * cos)), 6) AS relevance, bayesian_avg, review_count, avg_rating,
-    round(0.5 * round(1 / (1 + exp(1 - 4 * cos)), 6) + 0.5 * coalesce(bayesian_avg, 2.5) / 5, 6) AS score
+    round(0.5 * round(1 / (1 + exp(1 - 4 * cos)), 6) + 0.5 * coalesce(bayesian_avg, 2.5) / 5, 7) AS score
     FROM pairs LEFT JOIN stats USING (item_id))"""
 SCORED = f"{cte('items', 'stats')}, {D.FACTS}, {PAIRS_SQL}"
 TOP = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM scored)"
@@ -39,7 +39,7 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Item-to-item candidates with relevance by a fixed scorer and the blended score."""
     relevance = F.round(ranking.sigmoid(4 * F.col("cos") - 1), 6)
     known = pairs(spark, sf).withColumn("relevance", relevance).withColumn("cos", F.round("cos", 6)).join(frame(spark, sf, "stats"), "item_id", "left")
-    return known.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg")), 6))
+    return known.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg")), 7))
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
