@@ -11,6 +11,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Patterns, word lists and formats that results depend on.
 LIST_SEPARATORS = r"[,/]+"
@@ -104,7 +105,7 @@ def titled(c: Column) -> Column:
     return F.array_join(F.transform(F.split(marked, "\u0001"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 30))), "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescaped(texts: pd.Series) -> pd.Series:
     from html import unescape
 

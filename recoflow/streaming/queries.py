@@ -13,7 +13,7 @@ from recoflow.sources.tables import scratch
 from recoflow.streaming.tastes import recent_tastes, upsert_profiles
 
 
-@query("x01_streaming_tastes", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_liked, CAST(sum(value) AS DECIMAL(20, 2)) AS total FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
+@query("x01_streaming_tastes", "SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_liked, CAST(round(sum(value) * 100) AS BIGINT) AS cents FROM events WHERE event_type = 'purchase' GROUP BY 1, 2")
 def x01(spark: SparkSession, sf: str) -> DataFrame:
     """Events read as a stream, daily windows under a watermark, profiles kept current by
     upserts; the result is the final state of all windows."""
@@ -24,4 +24,4 @@ def x01(spark: SparkSession, sf: str) -> DataFrame:
     stream = spark.readStream.schema(static.schema).option("maxFilesPerTrigger", 4).parquet(inbox)
     windows = recent_tastes(stream.where(F.col("event_type") == "purchase"), "1 day", "1 day", lateness="400 days")
     upsert_profiles(windows, state, f"{folder}/checkpoint-{uuid.uuid4().hex}", ["user_id", "day"])
-    return spark.read.parquet(f"{state}/current").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_liked", F.col("total").cast("decimal(20,2)").alias("total"))
+    return spark.read.parquet(f"{state}/current").select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_liked", F.round(F.col("total") * 100).cast("long").alias("cents"))
