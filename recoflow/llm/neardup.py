@@ -6,24 +6,26 @@ round after round, for buckets still empty, so that small sets fill all register
 too, and two registers agree with the probability of the Jaccard similarity.
 
 1. Documents with equal shingle sets form a class; one of them stands for it.
-2. Bands of registers are hashed; classes that share a band are candidates.  Of each
-   band's bucket, pivots are compared with the other members: first one pivot, then
-   four times as many in every round, leaving out pairs already in one component.
-   So a bucket of copies costs one comparison a member, and every pair of a bucket is
-   in the end either compared or known to be connected.
+2. Bands of registers are hashed; classes that share a band are candidates.  In each
+   band's group one pivot, the least member, is compared with all others.
 3. Candidates pass a size test and a collision-corrected estimate of the similarity
    (its margin is six standard deviations), then the exact test on full sets.
-4. Links give components by star contractions.
+4. Links give components by star contractions.  Groups whose members all lie in one
+   component are done.  The members of the others are pooled (groups that share a
+   member go together), pools are cut into blocks, and each two blocks of a pool are
+   compared exactly by matrix products over their shared shingles; only links that
+   join components leave the task.  So every pair that shares a band is compared or
+   known to be connected, and the rows made stay in proportion to the documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm.common import small_batches, written
@@ -32,6 +34,8 @@ from recoflow.llm.pieces import blocks
 from recoflow.llm.shingles import GOLDEN, mix, shingle_sets
 
 BANDS, ROWS = 40, 5
+#: Classes in a block of a pool, and shingles in a slice of its incidence matrix.
+BLOCK, SLICE = 256, 4096
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 _EDGES = np.array([-(-(j << 64) // REGISTERS) for j in range(REGISTERS)], np.uint64)
@@ -142,54 +146,83 @@ def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
 
-class Links:
-    """Compares candidate pairs of classes and remembers what was found."""
-
-    def __init__(self, docs: DataFrame, classes: DataFrame, width: int, percent: int):
-        self.docs, self.classes, self.width, self.percent = docs, classes, width, percent
-        self.sets: list[DataFrame] = []
-        self.tested: list[DataFrame] = []
-
-    def _likely(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose estimate allows the similarity asked for."""
-        least = self.percent / 100 - 6 * (self.percent / 100 * (1 - self.percent / 100) / REGISTERS) ** 0.5
-        regs = self.classes.select("uid", "n", "registers")
-        for side in ("u", "v"):
-            pairs = pairs.join(regs.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                t = {c: batch.column(c) for c in ("u", "v", "n_u", "n_v", "r_u", "r_v")}
-                regs = [np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_u", "r_v")]
-                keep = estimate(*regs, t["n_u"].to_numpy(), t["n_v"].to_numpy()) >= least
-                yield pa.RecordBatch.from_arrays([t["u"], t["v"]], ["u", "v"]).filter(pa.array(keep))
-
-        return pairs.mapInArrow(run, "u long, v long")
-
-    def test(self, pairs: DataFrame) -> DataFrame:
-        """The links among new pairs (u, v), u < v, written."""
-        for old in self.tested:
-            pairs = pairs.join(old, ["u", "v"], "left_anti")
-        likely = written(self._likely(pairs))
-        self.tested.append(likely)
-        wanted = likely.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-        for old in self.sets:
-            wanted = wanted.join(old.select("uid"), "uid", "left_anti")
-        wanted = self.classes.select("uid", "doc_id", "row").join(wanted, "uid", "left_semi")
-        self.sets.append(written(full_sets(self.docs, wanted, self.width).dropDuplicates(["uid"])))
-        sets = reduce(DataFrame.unionByName, self.sets)
-        both = likely.join(sets.toDF("v", "s_v"), "v").join(sets.toDF("u", "s_u"), "u")
-        shared = F.size(F.array_intersect("s_u", "s_v"))
-        either = F.size("s_u") + F.size("s_v") - shared
-        return written(both.where(shared * 100 >= either * self.percent).select("u", "v"))
+def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) whose estimate allows the similarity asked for."""
+    wanted = percent / 100
+    least = wanted - 6 * (wanted * (1 - wanted) / REGISTERS) ** 0.5
+    for side in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = {c: batch.column(c) for c in ("u", "v", "n_u", "n_v", "r_u", "r_v")}
+            regs = [np.frombuffer(b"".join(t[c].to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_u", "r_v")]
+            keep = estimate(*regs, t["n_u"].to_numpy(), t["n_v"].to_numpy()) >= least
+            yield pa.RecordBatch.from_arrays([t["u"], t["v"]], ["u", "v"]).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, "u long, v long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) that the full sets confirm."""
+    both = pairs.join(sets.toDF("v", "s_v"), "v").join(sets.toDF("u", "s_u"), "u")
+    shared = F.size(F.array_intersect("s_u", "s_v"))
+    either = F.size("s_u") + F.size("s_v") - shared
+    return both.where(shared * 100 >= either * percent).select("u", "v")
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all two sets of a block, by incidence matrices over
+    the hashes that more than one of them has."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner, code = owner[count[code] > 1], number[code[count[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
+        a, b = np.searchsorted(code, [low, low + SLICE])
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[owner[a:b], code[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def joining_links(percent: int):
+    """Function of the members of two blocks: links that join different components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", ignore_index=True)
+        sets = pdf["hashes"].to_list()
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = intersections(sets)
+        r, c = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
+        parent = {x: x for x in pdf["label"].tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        uid, label, out = pdf["uid"].tolist(), pdf["label"].tolist(), []
+        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+            a, b = root(label[i]), root(label[j])
+            if a != b:
+                parent[b] = a
+                out.append((uid[i], uid[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, row (hash of its text), n_shingles, component_id (the
-    smallest doc_id it reaches by links), kept (doc_id = component_id), n_links (links
-    of its class to others), class_id.
+    smallest doc_id it reaches by links), kept (doc_id = component_id), class_id (rows of
+    equal shingle sets share it).
 
     Two rows are linked if 100 * |A & B| >= percent * |A | B| on their sets of
     ``width``-word shingles.  Null and empty texts have an empty set and no link.  Rows
@@ -202,41 +235,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = every.where(~empty).groupBy("n", "s1", "s2").agg(F.min(order).alias("least"))
     classes = written(classes.select("n", "s1", "s2", F.col("least.uid").alias("uid"), F.col("least.doc_id").alias("doc_id")))
     rows = written(every.where(~empty).join(classes.select("uid"), "uid", "left_semi").select("uid", "doc_id", "row", "n", "bands", "registers"))
+    wanted = lambda uids: rows.select("uid", "doc_id", "row").join(uids, "uid", "left_semi")
 
     in_band = rows.select(F.explode("bands").alias("key"), "uid", "n")
     shared = in_band.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("size")).where(F.col("size") > 1)
     members = written(in_band.join(shared, "key"))
-    links = Links(docs, rows, width, percent)
-    sizes = rows.select(F.col("uid").alias("pivot"), F.col("n").alias("n_pivot"))
-    first = members.where(F.col("uid") != F.col("pivot")).select("pivot", "uid", "n").distinct().join(sizes, "pivot")
-    first = first.where(_similar_size(F.col("n"), F.col("n_pivot"), percent)).select(F.col("pivot").alias("u"), F.col("uid").alias("v"))
-    found = [links.test(first)]
-    stars = components(found[0])
-
-    low, high = 1, 5
-    while True:
-        labelled = members.join(stars.toDF("uid", "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b")).select("key")
-        ranked = labelled.where(F.col("size") > low + 1).join(mixed, "key", "left_semi")
-        ranked = written(ranked.withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("uid"))))
-        pivots = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select("key", F.col("uid").alias("p"), F.col("n").alias("n_p"), F.col("label").alias("l_p"), F.col("rank").alias("r_p"))
-        if pivots.isEmpty():
-            break
-        pairs = ranked.join(pivots, "key").where((F.col("rank") > F.col("r_p")) & (F.col("label") != F.col("l_p")) & _similar_size(F.col("n"), F.col("n_p"), percent))
-        more = links.test(pairs.select(F.col("p").alias("u"), F.col("uid").alias("v")).distinct())
-        found.append(more)
-        stars = components(stars.select("u", "v").union(more.select("u", "v")))
-        low, high = high, high * 4 + 1
-
-    ends = reduce(DataFrame.unionByName, found).select(F.explode(F.array("u", "v")).alias("class_id"))
-    degree = ends.groupBy("class_id").agg(F.count("*").alias("n_links"))
+    first = members.where(F.col("uid") != F.col("pivot")).select(F.col("pivot").alias("u"), F.col("uid").alias("v"), "n").distinct()
+    first = first.join(rows.select(F.col("uid").alias("u"), F.col("n").alias("n_pivot")), "u").where(_similar_size(F.col("n"), F.col("n_pivot"), percent))
+    pairs = written(likely(first.select("u", "v"), rows, percent))
+    sets = written(full_sets(docs, wanted(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()), width).dropDuplicates(["uid"]))
+    stars = components(linked(pairs, sets, percent))
+
+    # groups of two have been compared; of larger ones, those with two components are left
+    labels = members.where(F.col("size") > 2).join(stars.toDF("uid", "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    mixed = labels.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b")).select("key")
+    left = written(labels.join(mixed, "key", "left_semi").select("pivot", "uid", "label").distinct())
+    roots = components(left.select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
+    pooled = left.select("uid", "label").distinct().join(roots.toDF("uid", "pool"), "uid", "left").withColumn("pool", F.coalesce("pool", "uid"))
+    blocks_of = pooled.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    late = full_sets(docs, wanted(pooled.select("uid")).join(sets.select("uid"), "uid", "left_anti"), width).dropDuplicates(["uid"])
+    sets = sets.join(pooled.select("uid"), "uid", "left_semi").unionByName(written(late))
+    blocked = pooled.join(blocks_of, "pool").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    blocked = blocked.join(sets, "uid").withColumn("other", other).select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "label", "hashes")
+    more = blocked.groupBy("pool", "i", "j").applyInPandas(joining_links(percent), "u long, v long")
+    stars = components(stars.union(more))
+
     label = classes.select(F.col("uid").alias("class_id"), "doc_id", "n", "s1", "s2").join(stars.toDF("class_id", "label"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    label = label.join(least, "label").join(degree, "class_id", "left").select("class_id", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n", "s1", "s2")
+    label = label.join(least, "label").select("class_id", "component_id", "n", "s1", "s2")
     full = every.where(~empty).select("doc_id", "row", "n", "s1", "s2").join(label, ["n", "s1", "s2"])
-    alone = every.where(empty).select("doc_id", "row", "n", F.col("uid").alias("class_id"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    alone = every.where(empty).select("doc_id", "row", "n", F.col("uid").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = full.select(alone.columns).unionByName(alone)
-    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "n_links", "class_id")
+    return out.select("doc_id", "row", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "class_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
