@@ -167,7 +167,7 @@ def fit(numbers: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float =
     for t in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(np.append(w, 0)[x].sum(1) + w[0], -30, 30)))
         slope = (p - labels) / n
-        g = np.bincount(x.ravel(), np.repeat(slope, x.shape[1]), HASHED + 1)[:HASHED]
+        g = np.bincount(x.ravel(), np.repeat(slope, x.shape[1]), HASHED + 1)[:HASHED].astype(np.float64)
         g[0] = slope.sum()
         g += decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
