@@ -182,7 +182,7 @@ def j07(spark, sf):
     return pipelines.select_results(pools, specs, targets, page=8)
 
 
-@query("j08_result_page", f"{SCORED}, {TOP} SELECT query_id, rank, item_id, title, coalesce(author, '') AS author, year, count(*) OVER (PARTITION BY query_id) AS n_results FROM ranked JOIN facts USING (item_id) QUALIFY rank <= 5")
+@query("j08_result_page", f"{SCORED}, {TOP} SELECT query_id, rank, item_id, coalesce(title, '') AS title, coalesce(author, '') AS author, year, count(*) OVER (PARTITION BY query_id) AS n_results FROM ranked LEFT JOIN facts USING (item_id) QUALIFY rank <= 5")
 def j08(spark, sf):
     results = ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank")
     page = pipelines.result_page(results, facts(spark, sf), frame(spark, sf, "stats"), 1, 5)

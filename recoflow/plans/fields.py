@@ -225,10 +225,10 @@ def e16(spark, sf):
     return users.join(counts, "user_id", "left").select("user_id", "name", F.coalesce("n", F.lit(0)).alias("n_reviews"))
 
 
-@query("e17_distribution", "SELECT l_returnflag, round(avg(l_extendedprice), 2) AS mean, round(quantile_cont(l_extendedprice, 0.5), 2) AS p50, round(quantile_cont(l_extendedprice, 0.9), 2) AS p90, round(quantile_cont(l_extendedprice, 0.99), 2) AS p99, max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
+@query("e17_distribution", "SELECT l_returnflag, round(avg(l_extendedprice), 4) AS mean, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, max(l_extendedprice) AS max FROM lineitem GROUP BY 1")
 def e17(spark, sf):
     found = facets.distribution(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag")
-    return found.select("l_returnflag", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p90", "p99")], "max")
+    return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p90", "p99")], "max")
 
 
 @query("e19_corpus_facets", f"{ITEMS}, g AS (SELECT unnest({D.distinct(D.split('genre'))}) AS value FROM items), s AS (SELECT unnest({D.distinct(D.split('system'))}) AS value FROM items), a AS (SELECT unnest({D.AUTHORS}) AS value FROM items) SELECT 'genre' AS facet, value, count(*) AS n FROM g GROUP BY value UNION ALL SELECT 'system', value, count(*) FROM s GROUP BY value UNION ALL SELECT 'author', value, count(*) FROM a GROUP BY value")

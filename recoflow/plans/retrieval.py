@@ -124,7 +124,7 @@ def c13(spark, sf):
     return filters.facet_filter(candidates, specs).select("query_id", "item_id")
 
 
-@query("c14_filter_specs", f"{SCORED}, span AS (SELECT query_id, min(year) AS a, max(year) AS b FROM scored JOIN facts USING (item_id) GROUP BY 1) SELECT query_id, CASE WHEN 1980 > a OR 2010 < b THEN 1980 END AS year_low, CASE WHEN 1980 > a OR 2010 < b THEN 2010 END AS year_high, CAST(CASE WHEN query_id % 2 = 1 THEN 1 END AS DOUBLE) AS min_rating FROM span")
+@query("c14_filter_specs", f"{SCORED}, span AS (SELECT query_id, coalesce(min(year), (SELECT min(year) FROM facts)) AS a, coalesce(max(year), (SELECT max(year) FROM facts)) AS b FROM scored JOIN facts USING (item_id) GROUP BY 1) SELECT query_id, CASE WHEN 1980 > a OR 2010 < b THEN 1980 END AS year_low, CASE WHEN 1980 > a OR 2010 < b THEN 2010 END AS year_high, CAST(CASE WHEN query_id % 2 = 1 THEN 1 END AS DOUBLE) AS min_rating FROM span")
 def c14(spark, sf):
     results = scored(spark, sf).join(facts(spark, sf).select("item_id", "year"), "item_id")
     spans = facets.year_span(results, facts(spark, sf))
@@ -448,7 +448,7 @@ def e11(spark, sf):
     return facets.facet_counts(scored(spark, sf).join(frame(spark, sf, "items"), "item_id"))
 
 
-@query("e12_year_spans", f"{SCORED} SELECT query_id, min(year) AS first_year, max(year) AS last_year FROM scored JOIN facts USING (item_id) GROUP BY 1")
+@query("e12_year_spans", f"{SCORED} SELECT query_id, coalesce(min(year), (SELECT min(year) FROM facts)) AS first_year, coalesce(max(year), (SELECT max(year) FROM facts)) AS last_year FROM scored JOIN facts USING (item_id) GROUP BY 1")
 def e12(spark, sf):
     known = facts(spark, sf).select("item_id", "year")
     return facets.year_span(scored(spark, sf).join(known, "item_id"), known)
