@@ -221,7 +221,12 @@ def train(facts: DataFrame, sample: int = SAMPLE) -> QualityModel:
     codes, counts = np.array([r.votes for r in patterns], np.int64), np.array([r["count"] for r in patterns], np.float64)
     posterior, table, prior = estimate_accuracies(codes, counts)
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    some = facts.orderBy(F.xxhash64("doc_id", "row"), "row").limit(sample).select("votes", "features").collect()
+    # the sample is of the least hashes; a bound that 1.5 times as many documents stay
+    # under keeps tasks from sending more than that in all
+    order = F.xxhash64("doc_id", "row")
+    bound = min(1.0, 1.5 * sample / max(1.0, counts.sum()))
+    near = facts.where(order <= F.lit(int(-(2**63) + bound * (2**64 - 1025))))
+    some = near.orderBy(order, "row").limit(sample).select("votes", "features").collect()
     weights = fit(_padded([r.features for r in some]), np.array([of[r.votes] for r in some]))
     return QualityModel(weights, of, table, prior)
 
