@@ -7,6 +7,7 @@ table.  ``frame`` runs one in Spark; ``cte`` gives it as a common table expressi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
@@ -81,6 +82,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         from recoflow.operators.documents import rating_stats
 
         return rating_stats(frame(spark, sf_dir, "reviews"))
+    if name == "plays":  # all open orders; the statement has only customers below 150
+        bought = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+        return bought.select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), (F.col("l_partkey") % 100).alias("item_id")).distinct()
     text = STATEMENTS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     for need in NEEDS.get(name, ()):
