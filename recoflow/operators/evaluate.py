@@ -8,16 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def query_metrics(ranking: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (5, 10, 20), mrr_at: int | None = None, key: str = "query_id") -> DataFrame:
+def judged(ranking: DataFrame, labels: DataFrame, key: str = "query_id") -> DataFrame:
+    """Adds hit: 1 where the item is another of the query's label, else null.
+
+    labels: item_id, label.  With ``label_counts`` this stands for the pairs of equal
+    label, whose number grows with the square of a label's items.
+    """
+    own, found = labels.select(F.col("item_id").alias(key), F.col("label").alias("_a")), labels.select("item_id", F.col("label").alias("_b"))
+    same = (F.col("_a") == F.col("_b")) & (F.col(key) != F.col("item_id"))
+    return ranking.join(own, key, "left").join(found, "item_id", "left").withColumn("hit", F.when(same, 1)).drop("_a", "_b")
+
+
+def label_counts(labels: DataFrame, key: str = "query_id") -> DataFrame:
+    """key, n_rel: the number of other items of its label."""
+    sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_rel")).where(F.col("n_rel") > 0)
+    return labels.join(F.broadcast(sizes), "label").select(F.col("item_id").alias(key), "n_rel")
+
+
+def query_metrics(ranking: DataFrame, truth: DataFrame | None, ks: tuple[int, ...] = (5, 10, 20), mrr_at: int | None = None, key: str = "query_id", relevant: DataFrame | None = None) -> DataFrame:
     """key, recall_k, ndcg_k, rr of each query.
 
     ranking: key, item_id, rank; truth: key, item_id.  Queries without predictions or
     without truth are left out.  The ideal gain counts min(size of truth, k) items; rr
-    looks at the first ``mrr_at`` ranks (the largest k).
+    looks at the first ``mrr_at`` ranks (the largest k).  With ``relevant`` (key, n_rel)
+    the ranking has ``hit`` already and no truth is read.
     """
     mrr_at = mrr_at or max(ks)
-    relevant = truth.distinct().groupBy(key).agg(F.count("*").alias("n_rel"))
-    hits = ranking.join(truth.distinct().withColumn("hit", F.lit(1)), [key, "item_id"], "left")
+    hits = ranking if relevant is not None else ranking.join(truth.distinct().withColumn("hit", F.lit(1)), [key, "item_id"], "left")
+    relevant = truth.distinct().groupBy(key).agg(F.count("*").alias("n_rel")) if relevant is None else relevant
     gain = F.col("hit") / F.log2(F.col("rank") + 1)
     per = []
     for k in ks:
@@ -38,20 +56,23 @@ def mean_metrics(metrics: DataFrame, *by: str, key: str = "query_id") -> DataFra
     return metrics.groupBy(*by).agg(F.count("*").alias("n_queries"), *[F.avg(c).alias(c) for c in names])
 
 
-def sweep(scored: DataFrame, truth: DataFrame, caps: tuple[int, ...], k: int = 10, key: str = "query_id", order: str = "score") -> DataFrame:
+def sweep(scored: DataFrame, truth: DataFrame | None, caps: tuple[int, ...], k: int = 10, key: str = "query_id", order: str = "score", relevant: DataFrame | None = None) -> DataFrame:
     """Mean metrics for pool caps, each from the one scored table (K5): cap c ranks the
     first c by cosine.  scored: key, item_id, cos, score."""
     position = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cos"), "item_id"))
     variants = scored.withColumn("pos", position).withColumn("cap", F.explode(F.array(*[F.lit(c) for c in caps]))).where(F.col("pos") <= F.col("cap"))
     again = F.row_number().over(Window.partitionBy(key, "cap").orderBy(F.desc(order), "item_id")).cast("long")
-    return metrics_by(variants.withColumn("rank", again), truth, "cap", k, key)
+    return metrics_by(variants.withColumn("rank", again), truth, "cap", k, key, relevant)
 
 
-def metrics_by(ranking: DataFrame, truth: DataFrame, variant: str, k: int = 10, key: str = "query_id") -> DataFrame:
+def metrics_by(ranking: DataFrame, truth: DataFrame | None, variant: str, k: int = 10, key: str = "query_id", relevant: DataFrame | None = None) -> DataFrame:
     """Mean metrics per variant column of a ranking."""
     both = F.struct(key, variant).alias("_q")
     names = ranking.select(variant).distinct()
-    per = query_metrics(ranking.select(both, "item_id", "rank"), truth.crossJoin(F.broadcast(names)).select(both, "item_id"), (k,), key="_q")
+    if relevant is None:
+        per = query_metrics(ranking.select(both, "item_id", "rank"), truth.crossJoin(F.broadcast(names)).select(both, "item_id"), (k,), key="_q")
+    else:
+        per = query_metrics(ranking.select(both, "item_id", "rank", "hit"), None, (k,), key="_q", relevant=relevant.crossJoin(F.broadcast(names)).select(both, "n_rel"))
     return mean_metrics(per.select(F.col(f"_q.{variant}").alias(variant), *per.columns), variant, key="_q")
 
 
@@ -99,9 +120,11 @@ def differences(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
-def lift(scored: DataFrame, truth: DataFrame, bands: int = 10, key: str = "query_id") -> DataFrame:
-    """Hit rate and lift over the base rate per band of relevance."""
-    hit = scored.join(truth.distinct().withColumn("hit", F.lit(1)), [key, "item_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
+def lift(scored: DataFrame, truth: DataFrame | None, bands: int = 10, key: str = "query_id") -> DataFrame:
+    """Hit rate and lift over the base rate per band of relevance (K13); without truth,
+    scored has ``hit`` already."""
+    hit = scored if truth is None else scored.join(truth.distinct().withColumn("hit", F.lit(1)), [key, "item_id"], "left")
+    hit = hit.withColumn("hit", F.coalesce("hit", F.lit(0)))
     banded = hit.withColumn("band", F.least(F.floor(F.col("relevance") * bands), F.lit(bands - 1)).cast("long"))
     base = banded.agg(F.avg("hit").alias("base"))
     per = banded.groupBy("band").agg(F.count("*").alias("n_pairs"), F.avg("hit").alias("hit_rate"))

@@ -205,11 +205,17 @@ def j09(spark, sf):
 TRUTH = "truth AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 5 = 0)"
 
 
-def truth(spark: SparkSession, sf: str) -> DataFrame:
-    """Items of the same class (a fifth of them) as what a query should find."""
-    e = table(spark, sf, "embeddings")
-    a, b = e.select(F.col("vec_id").alias("query_id"), "label"), e.where(F.col("vec_id") % 5 == 0).select(F.col("vec_id").alias("item_id"), "label")
-    return a.join(b, "label").where(F.col("query_id") != F.col("item_id")).select("query_id", "item_id")
+def classes(spark: SparkSession, sf: str) -> DataFrame:
+    """item_id, label: a query should find all other items of its class."""
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), "label")
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.judged(scored(spark, sf), classes(spark, sf))
+
+
+def relevant(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.label_counts(classes(spark, sf))
 
 
 def metrics_sql(rank_table: str, ks: tuple[int, ...], keys: str = "query_id", mrr: int | None = None) -> str:
@@ -230,13 +236,13 @@ def _round(df: DataFrame, *keys: str) -> DataFrame:
 @query("k01_mean_metrics", f"{SCORED}, {TOP}, {TRUTH}, {metrics_sql('ranked', (5, 10))} SELECT count(*) AS n_queries, round(avg(recall_5), 6) AS recall_5, round(avg(ndcg_5), 6) AS ndcg_5, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met")
 def k01(spark, sf):
     """Recall, NDCG and MRR of the blended ranking."""
-    found = evaluate.query_metrics(ranking.ranked(scored(spark, sf), F.desc("score")), truth(spark, sf), (5, 10))
+    found = evaluate.query_metrics(ranking.ranked(judged(spark, sf), F.desc("score")), None, (5, 10), relevant=relevant(spark, sf))
     return _round(evaluate.mean_metrics(found), "n_queries")
 
 
 @query("k02_query_metrics", f"{SCORED}, {TOP}, {TRUTH}, {metrics_sql('ranked', (10,))} SELECT query_id, round(recall_10, 6) AS recall_10, round(ndcg_10, 6) AS ndcg_10, round(rr, 6) AS rr FROM met")
 def k02(spark, sf):
-    return _round(evaluate.query_metrics(ranking.ranked(scored(spark, sf), F.desc("score")), truth(spark, sf), (10,)), "query_id")
+    return _round(evaluate.query_metrics(ranking.ranked(judged(spark, sf), F.desc("score")), None, (10,), relevant=relevant(spark, sf)), "query_id")
 
 
 _K03 = f"""{LABELLED}, truth AS (SELECT user_id AS query_id, item_id FROM parts WHERE split = 'test'),
@@ -267,7 +273,7 @@ def k04(spark, sf):
 
 @query("k05_cap_sweep", f"{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM scored), v AS (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([3, 5, 10, 20]) AS cap) WHERE pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')} SELECT cap::INT AS cap, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1")
 def k05(spark, sf):
-    return _round(evaluate.sweep(scored(spark, sf), truth(spark, sf), (3, 5, 10, 20)), "cap", "n_queries")
+    return _round(evaluate.sweep(judged(spark, sf), None, (3, 5, 10, 20), relevant=relevant(spark, sf)), "cap", "n_queries")
 
 
 @query("k06_prefilter_sweep", f"{POOL_SQL}, v AS (SELECT fl.f AS floor, query_id, item_id, shared, row_number() OVER (PARTITION BY fl.f, query_id ORDER BY cos DESC, item_id) AS pos FROM pool, (SELECT unnest([0.25, 0.3, 0.35, 0.45]::DOUBLE[]) AS f) fl WHERE cos >= fl.f), lv AS (SELECT *, CASE WHEN shared >= 1 THEN 0 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM v), b AS (SELECT *, min(level) OVER (PARTITION BY floor, query_id) AS best FROM lv), n AS (SELECT floor, query_id, count(*) AS n FROM b WHERE level <= best GROUP BY 1, 2) SELECT floor, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90 FROM n GROUP BY 1")
@@ -318,8 +324,8 @@ _M1, _M2 = metrics_sql("ranked", (10,)), metrics_sql("bycos", (10,)).replace("nr
 @query("k09_k10_bootstrap", f"{_DELTA}, {_M1}, {_M2}, {_bootstrap_sql('SELECT query_id, met.ndcg_10 - met2.ndcg_10 AS delta FROM met JOIN met2 USING (query_id)', 200)} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM sz, en")
 def k09(spark, sf):
     """Two scorers on the same pools: paired NDCG change with its interval."""
-    s, t = scored(spark, sf), truth(spark, sf)
-    a, b = (evaluate.query_metrics(ranking.ranked(s, F.desc(c)), t, (10,)).select("query_id", F.col("ndcg_10").alias(c)) for c in ("score", "cos"))
+    s, n = judged(spark, sf), relevant(spark, sf)
+    a, b = (evaluate.query_metrics(ranking.ranked(s, F.desc(c)), None, (10,), relevant=n).select("query_id", F.col("ndcg_10").alias(c)) for c in ("score", "cos"))
     found = evaluate.bootstrap(a.join(b, "query_id").select("query_id", (F.col("score") - F.col("cos")).alias("delta")), 200)
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "significant")
 
@@ -334,8 +340,8 @@ def k10(spark, sf):
 @query("k11_sweep_report", f"{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM scored), v AS (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([3, 10]) AS cap) WHERE pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')}, cost AS (SELECT cap, count(*) / count(DISTINCT query_id) AS pairs FROM v GROUP BY 1) SELECT cap::INT AS cap, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr, round(any_value(pairs), 6) AS pairs FROM met JOIN cost USING (cap) GROUP BY 1")
 def k11(spark, sf):
     """Quality and cost per cap."""
-    s = scored(spark, sf)
-    quality = evaluate.sweep(s, truth(spark, sf), (3, 10))
+    s = judged(spark, sf)
+    quality = evaluate.sweep(s, None, (3, 10), relevant=relevant(spark, sf))
     sizes = s.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("cap", F.explode(F.array(F.lit(3), F.lit(10))))
     cost = sizes.groupBy("cap").agg(F.avg(F.least("n", "cap")).alias("pairs"))
     return _round(quality.join(cost, "cap"), "cap", "n_queries")
@@ -353,7 +359,7 @@ def k12(spark, sf):
 
 @query("k13_lift", f"{SCORED}, {TRUTH}, h AS (SELECT least(CAST(floor(relevance * 10) AS BIGINT), 9) AS band, (t.item_id IS NOT NULL)::INT AS hit FROM scored s LEFT JOIN truth t USING (query_id, item_id)) SELECT band, count(*) AS n_pairs, round(avg(hit), 6) AS hit_rate, round(avg(hit) / (SELECT avg(hit) FROM h), 6) AS lift FROM h GROUP BY 1")
 def k13(spark, sf):
-    return _round(evaluate.lift(scored(spark, sf), truth(spark, sf)), "band", "n_pairs")
+    return _round(evaluate.lift(judged(spark, sf), None), "band", "n_pairs")
 
 
 @query("k14_rank_correlation", f"{SCORED}, r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id)::DOUBLE AS x, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id)::DOUBLE AS y FROM scored) SELECT query_id, count(*) AS n, round(corr(x, y), 6) + 0.0 AS rho FROM r GROUP BY 1 HAVING count(*) > 2")
@@ -380,12 +386,12 @@ def k16(spark, sf):
 def k17(spark, sf):
     """Metrics by the weight of the rating in the blend."""
     weights = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 0.75)]))
-    v = scored(spark, sf).withColumn("w", weights)
+    v = judged(spark, sf).withColumn("w", weights)
     v = v.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg"), F.col("w")), 9))
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("query_id", "w").orderBy(F.desc("score"), "item_id")).cast("long")
-    return _round(evaluate.metrics_by(v.withColumn("rank", place), truth(spark, sf), "w"), "w", "n_queries")
+    return _round(evaluate.metrics_by(v.withColumn("rank", place), None, "w", relevant=relevant(spark, sf)), "w", "n_queries")
 
 
 @query("k18_tag_orders")
@@ -411,9 +417,8 @@ def k19(spark, sf):
 def i11(spark, sf):
     """A logistic pair scorer on cosine and shared tags, selected on other queries (I11,
     I12): its relevance for all candidates."""
-    t = truth(spark, sf).withColumn("label", F.lit(1.0))
     known = pool(spark, sf).withColumn("shared", F.size(F.array_intersect("query_tags", "item_tags")).cast("double"))
-    data = known.join(t, ["query_id", "item_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0))).select("query_id", "item_id", "cos", "shared", "label")
+    data = evaluate.judged(known, classes(spark, sf)).withColumn("label", F.coalesce("hit", F.lit(0)).cast("double")).select("query_id", "item_id", "cos", "shared", "label")
     train, valid = data.where(F.col("query_id") % 2 == 0), data.where(F.col("query_id") % 2 == 1)
     model, _ = pipelines.train_scorer(train, ["cos", "shared"], valid)
     from pyspark.ml.functions import vector_to_array

@@ -1,10 +1,14 @@
 """Queries read their whole input: tables that a cut by id, place or share would shorten."""
 
-from pyspark.sql import functions as F
+import os
+
+import pytest
 
 import __spark_entry__ as driver
 from recoflow.plans import fixtures
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def run(spark, name, sf):
     return driver.queries()[name](spark, str(sf)).collect()
@@ -15,3 +19,22 @@ def test_plays_of_all_customers(spark, tmp_path):
     spark.createDataFrame([(1, 5), (2, 205), (2, 105), (3, 6), (4, 6)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = fixtures.frame(spark, str(tmp_path), "plays").collect()
     assert sorted(map(tuple, got)) == [("u150", 5), ("u7", 5), ("u9000", 6)]
+
+
+def test_truth_is_every_other_item_of_the_label(spark):
+    """Metrics of the blended ranking against all pairs of equal label by brute force."""
+    import math
+
+    from recoflow.plans.retrieval import scored
+
+    label = {r.vec_id: r.label for r in fixtures.table(spark, SF, "embeddings").select("vec_id", "label").collect()}
+    rank = {}
+    for r in sorted(scored(spark, SF).collect(), key=lambda r: (-r.score, r.item_id)):
+        rank.setdefault(r.query_id, []).append(r.item_id)
+    got = {r.query_id: (r.recall_10, r.ndcg_10, r.rr) for r in run(spark, "k02_query_metrics", SF)}
+    assert set(got) == set(rank)
+    for q, items in rank.items():
+        n = sum(v == label[q] for v in label.values()) - 1
+        at = [i for i, x in enumerate(items[:10], 1) if label[x] == label[q]]
+        want = (len(at) / n, sum(1 / math.log2(i + 1) for i in at) / sum(1 / math.log2(i + 1) for i in range(1, min(n, 10) + 1)), 1 / at[0] if at else 0)
+        assert got[q] == pytest.approx(want, abs=2e-6)
