@@ -61,10 +61,18 @@ def capped(scored: DataFrame, most: int = 2, page: int | None = None, off: Colum
     scored: key, item_id, rank, authors (array).  An item is set aside if any of its
     authors is already there ``most`` times.  With ``page``, the best of the set-aside
     fill a page that stays short (F4); where ``off`` holds, nothing is set aside (F5).
-    The fold runs over each key's pool, which a pool cap bounds.  New ranks.
+    New ranks.
+
+    Of items of the very same authors only the first ``most`` can stay: if one of those
+    was set aside, an author was full, and if none was, all are now.  So the fold over a
+    key gets so many of each set of authors, however long the pool is.
     """
+    same = F.row_number().over(Window.partitionBy(key, F.array_sort("authors")).orderBy("rank"))
+    marked = scored.select(key, "item_id", "rank", "authors", (F.lit(False) if off is None else F.coalesce(off, F.lit(False))).alias("_off"))
+    marked = marked.withColumn("_off", F.max("_off").over(Window.partitionBy(key)))
+    marked = marked.withColumn("_late", F.coalesce(F.size("authors") > 0, F.lit(False)) & (same > most))
     entry = F.struct("rank", "item_id", "authors")
-    pools = scored.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("pool"), *([F.max(off).alias("_off")] if off is not None else []))
+    pools = marked.where(~F.col("_late")).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("pool"), F.max("_off").alias("_off"))
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("n"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(state: Column, x: Column) -> Column:
@@ -76,10 +84,9 @@ def capped(scored: DataFrame, most: int = 2, page: int | None = None, off: Colum
         return F.when(full, state).otherwise(taken)
 
     folded = pools.withColumn("kept", F.aggregate("pool", start, step, lambda s: s["kept"]))
-    aside = ~F.array_contains("kept", F.col("x.rank"))
-    if off is not None:
-        aside = aside & ~F.coalesce(F.col("_off"), F.lit(False))
+    aside = ~F.array_contains("kept", F.col("x.rank")) & ~F.col("_off")
     each = folded.withColumn("x", F.explode("pool")).select(key, "x.item_id", "x.rank", aside.alias("aside"))
+    each = each.union(marked.where("_late").select(key, "item_id", "rank", (~F.col("_off")).alias("aside")))
     if page is None:
         kept = each.where(~F.col("aside"))
     else:
@@ -95,20 +102,20 @@ def covered(scored: DataFrame, targets: DataFrame, page: int, key: str = "query_
     scored: key, item_id, rank, values (array); targets: key, target.  For each target,
     in alphabetical order, that no item of the first ``page`` has: the best remaining
     item with it takes a place at the end of the page, if none swapped in before
-    already has the target.
+    already has the target.  An item swapped in before has all its targets done, so the
+    best item of each target is all that the fold needs.
     """
     top, rest = scored.where(F.col("rank") <= page), scored.where(F.col("rank") > page)
     have = top.select(key, F.explode("values").alias("target")).distinct()
     missing = targets.distinct().join(have, [key, "target"], "left_anti")
     offers = rest.select(key, "item_id", "rank", "values", F.explode("values").alias("target")).join(missing, [key, "target"])
-    first = offers.groupBy(key, "target").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id", "values"))).alias("items"))
-    queue = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target", "items"))).alias("queue"))
+    first = offers.groupBy(key, "target").agg(F.min_by(F.struct("rank", "item_id", "values"), "rank").alias("item"))
+    queue = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("target", "item"))).alias("queue"))
     nothing = F.array().cast("array<struct<rank:bigint,item_id:bigint,values:array<string>>>")
 
     def step(state: Column, x: Column) -> Column:
         done = F.exists(state, lambda s: F.array_contains(s["values"], x["target"]))
-        free = F.filter(x["items"], lambda i: ~F.exists(state, lambda s: s["item_id"] == i["item_id"]))
-        return F.when(done | (F.size(free) == 0), state).otherwise(F.concat(state, F.slice(free, 1, 1)))
+        return F.when(done, state).otherwise(F.concat(state, F.array(x["item"])))
 
     swaps = queue.select(key, F.aggregate("queue", nothing, step).alias("swap"))
     room = top.join(swaps, key, "left").where(F.col("rank") <= page - F.coalesce(F.size("swap"), F.lit(0))).select(key, "item_id", "rank")

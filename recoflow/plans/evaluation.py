@@ -195,7 +195,7 @@ def j09(spark, sf):
     from recoflow.sources import tables as src
 
     path = src.scratch(spark)
-    ranking.ranked(scored(spark, sf), F.desc("score"), most=40).select("query_id", "item_id", "rank").write.parquet(path)
+    ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").write.parquet(path)
     kept = src.read(spark, path).join(facts(spark, sf).select("item_id", "year"), "item_id").where(filters.year_between(F.lit(1995), F.lit(9999)))
     return ranking.ranked(kept.withColumnRenamed("rank", "old"), "old").select("query_id", "item_id", "rank")
 

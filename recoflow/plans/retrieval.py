@@ -270,7 +270,7 @@ def f01(spark, sf):
 
 def _authored(spark, sf, one: bool):
     names = facts(spark, sf).select("item_id", F.slice("authors", 1, 1 if one else 9).alias("authors"))
-    return ranking.ranked(scored(spark, sf), F.desc("score"), most=60).select("query_id", "item_id", "rank").join(names, "item_id")
+    return ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").join(names, "item_id")
 
 
 _AUTHORED = f"{SCORED}, {TOP}, au AS (SELECT query_id, item_id, rank, authors_l[1] AS a, row_number() OVER (PARTITION BY query_id, authors_l[1] ORDER BY rank) AS nth FROM ranked JOIN facts USING (item_id) WHERE rank <= 60)"
@@ -306,7 +306,7 @@ _COVER = f"{SCORED}, {TOP}, v AS (SELECT query_id, item_id, rank, genres_l[1] AS
 def f06(spark, sf):
     """Pages of eight that lack a genre get its best item."""
     first = facts(spark, sf).select("item_id", F.slice(T.genres("genre"), 1, 1).alias("values"))
-    top = ranking.ranked(scored(spark, sf), F.desc("score"), most=40).select("query_id", "item_id", "rank").join(first, "item_id")
+    top = ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").join(first, "item_id")
     targets = top.select("query_id").distinct().crossJoin(F.broadcast(first.select(F.explode("values").alias("target")).distinct()))
     return ranking.covered(top, targets, page=8)
 

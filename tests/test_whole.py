@@ -3,9 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from recoflow.operators import ranking
 from recoflow.plans import fixtures
+from recoflow.plans.retrieval import facts
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -38,3 +41,47 @@ def test_truth_is_every_other_item_of_the_label(spark):
         at = [i for i, x in enumerate(items[:10], 1) if label[x] == label[q]]
         want = (len(at) / n, sum(1 / math.log2(i + 1) for i in at) / sum(1 / math.log2(i + 1) for i in range(1, min(n, 10) + 1)), 1 / at[0] if at else 0)
         assert got[q] == pytest.approx(want, abs=2e-6)
+
+
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """90 items of one vector, so each has 89 candidates in order of id; only the last ten
+    are of genre b."""
+    path = tmp_path_factory.mktemp("dense")
+    for t in ("supplier", "orders", "lineitem", "events", "customer"):
+        os.symlink(f"{SF}/{t}.parquet", path / f"{t}.parquet")
+    genre = F.when(F.col("p_partkey") >= 180, "b").otherwise("a")
+    fixtures.table(spark, SF, "part").withColumn("p_type", genre).write.parquet(f"{path}/part.parquet")
+    spark.range(100, 190).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{path}/embeddings.parquet")
+    return path
+
+
+def test_long_pools_stay_whole(spark, dense):
+    ids = set(range(100, 190))
+    off = [r for r in run(spark, "f05_cap_off", dense) if r.query_id % 2 == 0]
+    assert sorted((r.query_id, r.item_id) for r in off) == sorted((q, i) for q in ids if q % 2 == 0 for i in ids - {q})
+    pages = run(spark, "f06_coverage", dense)
+    assert {r.query_id for r in pages if r.item_id == 180 or r.query_id == 180 and r.item_id == 181} == ids
+    late = {r.item_id for r in facts(spark, str(dense)).where("year >= 1995").collect()} & ids
+    assert sorted((r.query_id, r.item_id) for r in run(spark, "j09_refilter", dense)) == sorted((q, i) for q in ids for i in late - {q})
+
+
+@pytest.mark.parametrize(("most", "page"), [(1, None), (2, None), (2, 12), (3, 30)])
+def test_author_cap_of_sets_is_greedy(spark, most, page):
+    import random
+
+    rng, rows = random.Random(most), []
+    for q in range(6):
+        rows += [(q, 1000 + i, i, rng.sample("abcdef", rng.randrange(4))) for i in range(1, 81)]
+    pool = spark.createDataFrame(rows, "query_id long, item_id long, rank long, authors array<string>")
+    want = []
+    for q in range(6):
+        counts, kept, aside = {}, [], []
+        for _, item, rank, authors in [r for r in rows if r[0] == q]:
+            full = any(counts.get(a, 0) >= most for a in authors)
+            (aside if full else kept).append((rank, item))
+            for a in () if full else authors:
+                counts[a] = counts.get(a, 0) + 1
+        kept = sorted(kept + aside[: max(0, (page or 0) - len(kept))])
+        want += [(q, item, k) for k, (_, item) in enumerate(kept, 1)]
+    assert sorted(map(tuple, ranking.capped(pool, most, page).collect())) == sorted(want)
