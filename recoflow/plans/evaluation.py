@@ -138,7 +138,7 @@ _J03_SEEDS = "(SELECT user_id, item_id FROM inter WHERE label = 1 AND item_id <
 def j03(spark, sf):
     """Mean vectors of users' positives, without what they reviewed or played."""
     reviews = frame(spark, sf, "reviews")
-    good = inter(spark, sf).where((F.col("label") == 1) & (F.col("item_id") < 100)).select("user_id", "item_id")
+    good = inter(spark, sf).where(F.col("label") == 1).select("user_id", "item_id")
     seen = interactions.seen(reviews, frame(spark, sf, "plays")).withColumnRenamed("user_id", "query_id")
     found = pipelines.mode_ranking(_mean_queries(spark, sf, good, "user_id"), _mode_items(spark, sf), seen, frame(spark, sf, "stats"), _relevance)
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("relevance"), 3).alias("total"))

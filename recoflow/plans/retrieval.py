@@ -194,8 +194,10 @@ def c23(spark, sf):
 
 @query("d04_h02_liked", f"{cte('users', 'reviews')} SELECT DISTINCT user_id, item_id FROM reviews WHERE rating >= 4 AND user_id IN (SELECT user_id FROM users) UNION SELECT user_id, item_id FROM reviews WHERE rating = 1 AND item_id < 3")
 def d04(spark, sf):
-    reviews = frame(spark, sf, "reviews")
-    return interactions.liked(reviews.where((F.col("rating") == 1) & (F.col("item_id") < 3)), reviews, frame(spark, sf, "users"))
+    """All labelled positives and all high ratings."""
+    reviews, users = frame(spark, sf, "reviews"), frame(spark, sf, "users")
+    positives = interactions.interactions(reviews, users, frame(spark, sf, "stats")).where("label = 1")
+    return interactions.liked(positives, reviews, users)
 
 
 @query("d05_unseen", f"{cte('reviews', 'plays')} SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM reviews) u, (SELECT DISTINCT item_id FROM reviews) i WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.user_id = u.user_id AND r.item_id = i.item_id) AND NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = u.user_id AND p.item_id = i.item_id)")
@@ -379,8 +381,10 @@ def i03(spark, sf):
 
 @query("i04_seed_average", "WITH s AS (SELECT vec_id % 20 AS query_id, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings WHERE vec_id % 3 = 0), m AS (SELECT query_id, pos, avg(x) AS x FROM s GROUP BY 1, 2) SELECT query_id, round(sum(x * x) / sum(x * x), 6) AS length, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM m GROUP BY 1")
 def i04(spark, sf):
+    """Mean vectors of all items by label; each label has an unknown seed too (I4)."""
     items = item_vectors(spark, sf)
-    seeds = items.where(F.col("item_id") % 3 == 0).select((F.col("item_id") % 20).alias("query_id"), "item_id").union(spark.range(20).select("id", F.lit(-1)))
+    seeds = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("item_id"))
+    seeds = seeds.union(seeds.select("query_id", F.lit(-1)).distinct())
     mean = vectors.seed_average(seeds, items)
     return mean.select("query_id", F.round(vectors.norm("vector"), 6).alias("length"), F.round(F.array_max("vector"), 6).alias("largest"))
 

@@ -85,3 +85,23 @@ def test_author_cap_of_sets_is_greedy(spark, most, page):
         kept = sorted(kept + aside[: max(0, (page or 0) - len(kept))])
         want += [(q, item, k) for k, (_, item) in enumerate(kept, 1)]
     assert sorted(map(tuple, ranking.capped(pool, most, page).collect())) == sorted(want)
+
+
+def test_liked_has_all_labelled_positives(spark):
+    positives = {(r.user_id, r.item_id) for r in run(spark, "e03_l01_interactions", SF) if r.label == 1}
+    got = {(r.user_id, r.item_id) for r in run(spark, "d04_h02_liked", SF)}
+    known = {r.user_id for r in fixtures.frame(spark, SF, "users").collect()}
+    high = {(r.user_id, r.item_id) for r in fixtures.frame(spark, SF, "reviews").where("rating >= 4").collect() if r.user_id in known}
+    assert positives - high and got == positives | high
+
+
+def test_means_are_of_all_vectors(spark):
+    import numpy as np
+
+    by = {}
+    for r in fixtures.table(spark, SF, "embeddings").collect():
+        v = np.array(r.embedding, np.float64)
+        by.setdefault(r.label, []).append(v / np.linalg.norm(v))
+    want = {k: max(m / np.linalg.norm(m)) for k, m in ((k, np.mean(v, axis=0)) for k, v in by.items())}
+    got = {r.query_id: r.largest for r in run(spark, "i04_seed_average", SF)}
+    assert got == pytest.approx(want, abs=2e-6)
