@@ -149,7 +149,7 @@ def j04(spark, sf):
     """Canonical system and tag texts against item texts by hashed text vectors."""
     items = frame(spark, sf, "items")
     texts = items.select("item_id", T.profile_text(T.clean_systems("system"), T.merged_tags("genre", "tags")).alias("text"))
-    keys = pipelines.vibe_keys(items, 3, 6)
+    keys = pipelines.vibe_keys(items)
     both = texts.select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("k"), "text").union(keys.select(F.concat(F.lit("q"), "key"), F.col("key")))
     embedded = vectors.embed(both, "k", "text")
     known = facts(spark, sf).select("item_id", "item_tags")
@@ -157,7 +157,7 @@ def j04(spark, sf):
     asked = embedded.where(F.col("k").startswith("q")).select(F.substring("k", 2, 999).alias("query_id"), "vector")
     asked = asked.withColumn("query_tags", T.parsed_profile("query_id")["tags"])
     none = docs.select(F.lit("").alias("query_id"), "item_id").limit(0)
-    return pipelines.mode_ranking(asked, docs, none, frame(spark, sf, "stats"), _relevance, most=50)
+    return pipelines.mode_ranking(asked, docs, none, frame(spark, sf, "stats"), _relevance)
 
 
 @query("j06_stored_or_live", f"{SCORED}, {TOP} SELECT query_id, item_id, rank, CASE WHEN query_id % 3 = 0 THEN 'stored' ELSE 'live' END AS source FROM ranked WHERE rank <= 10")

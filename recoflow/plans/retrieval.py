@@ -258,7 +258,7 @@ def h04(spark, sf):
 def h06(spark, sf):
     from recoflow.plans.pipelines import vibe_keys
 
-    return vibe_keys(frame(spark, sf, "items"), n_systems=3, n_tags=6)
+    return vibe_keys(frame(spark, sf, "items"))
 
 
 # --- F, G: ranks ----------------------------------------------------------------------

@@ -105,3 +105,17 @@ def test_means_are_of_all_vectors(spark):
     want = {k: max(m / np.linalg.norm(m)) for k, m in ((k, np.mean(v, axis=0)) for k, v in by.items())}
     got = {r.query_id: r.largest for r in run(spark, "i04_seed_average", SF)}
     assert got == pytest.approx(want, abs=2e-6)
+
+
+def test_vibe_keys_and_rankings_are_whole(spark):
+    """Singles and pairs of all tags (20 at most) for each of five systems; every key is
+    ranked to 500 at most."""
+    from collections import Counter
+
+    rows = facts(spark, SF).select("item_systems", "item_tags").collect()
+    n_tags = min(20, len({t for r in rows for t in r.item_tags}))
+    n_systems = min(5, len({s for r in rows for s in r.item_systems}))
+    keys = {r.key for r in run(spark, "h06_vibe_keys", SF)}
+    assert len(keys) == n_systems * n_tags * (n_tags + 1) // 2
+    depth = Counter(r.query_id for r in run(spark, "j04_vibe_mode", SF))
+    assert set(depth) <= keys and 50 < max(depth.values()) <= 500
