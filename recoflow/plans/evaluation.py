@@ -3,7 +3,7 @@ E7, E8, E18, F2, J, K, L)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recoflow.functions import text as T
@@ -253,14 +253,15 @@ _K03 = f"""{LABELLED}, truth AS (SELECT user_id AS query_id, item_id FROM parts
 
 @query("k03_offline_run", f"{_K03} SELECT count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(recall_20), 6) AS recall_20, round(avg(ndcg_20), 6) AS ndcg_20, round(avg(rr), 6) AS rr FROM met")
 def k03(spark, sf):
-    """Test users against a popularity ranking from train positives only (K3): no
-    held-out pair reaches the predictions, and train items do not come back."""
+    """Reviewer mode on test users (K3): mean vectors of train positives, without what
+    train and val have.  No held-out pair reaches the queries, and train items do not
+    come back; item ratings in the blend are those of all reviews."""
     p = parts(spark, sf)
     test = p.where(F.col("split") == "test").select(F.col("user_id").alias("query_id"), "item_id")
-    popular = p.where((F.col("split") == "train") & (F.col("label") == 1)).groupBy("item_id").agg(F.count("*").alias("n"))
-    every = test.select("query_id").distinct().crossJoin(F.broadcast(popular))
+    good = p.where((F.col("split") == "train") & (F.col("label") == 1)).select("user_id", "item_id")
+    good = good.join(test.select(F.col("query_id").alias("user_id")).distinct(), "user_id", "left_semi")
     known = p.where(F.col("split") != "test").select(F.col("user_id").alias("query_id"), "item_id")
-    predicted = ranking.ranked(filters.without_seen(every, known), F.desc("n"))
+    predicted = pipelines.mode_ranking(_mean_queries(spark, sf, good, "user_id"), _mode_items(spark, sf), known, frame(spark, sf, "stats"), _relevance)
     return _round(evaluate.mean_metrics(evaluate.query_metrics(predicted, test, (10, 20))), "n_queries")
 
 
@@ -271,21 +272,34 @@ def k04(spark, sf):
     return pipelines.hash_sample(pipelines.truncated_profiles(profiles.select("user_id", "profile_text"), "profile_text", 1, 3), "user_id", 30)
 
 
+CAPS = (50, 100, 150, 200, 300, 500, 750, 1000, 1500, None)
+FLOORS = (0.25, 0.3, 0.35, 0.4, 0.45)
+
+
 @query("k05_cap_sweep", f"{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM scored), v AS (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([3, 5, 10, 20]) AS cap) WHERE pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')} SELECT cap::INT AS cap, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1")
 def k05(spark, sf):
-    return _round(evaluate.sweep(judged(spark, sf), None, (3, 5, 10, 20), relevant=relevant(spark, sf)), "cap", "n_queries")
+    """Ten caps, the last of them none, before and after the tag prefilter (K5)."""
+    placed = ranking.ranked(pool(spark, sf), F.desc("cos"), name="pre")
+    placed = ranking.ranked(filters.tag_prefilter(placed), F.desc("cos"), name="post")
+    cut = F.array(*[F.struct(F.lit(c).cast("int").alias("cap"), F.lit(o).alias("cap_order"), F.col(o).alias("pos")) for c in CAPS for o in ("pre", "post")])
+    v = evaluate.judged(placed, classes(spark, sf)).withColumn("v", F.explode(cut)).where(F.col("v.cap").isNull() | (F.col("v.pos") <= F.col("v.cap")))
+    v = v.withColumn("v", F.concat_ws("|", "v.cap_order", "v.cap"))
+    place = F.row_number().over(Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "item_id")).cast("long")
+    found = evaluate.metrics_by(v.withColumn("rank", place), None, "v", relevant=relevant(spark, sf))
+    found = found.select(F.get(F.split("v", "[|]"), F.lit(1)).cast("int").alias("cap"), F.get(F.split("v", "[|]"), F.lit(0)).alias("cap_order"), *found.columns).drop("v")
+    return _round(found, "cap", "cap_order", "n_queries")
 
 
 @query("k06_prefilter_sweep", f"{POOL_SQL}, v AS (SELECT fl.f AS floor, query_id, item_id, shared, row_number() OVER (PARTITION BY fl.f, query_id ORDER BY cos DESC, item_id) AS pos FROM pool, (SELECT unnest([0.25, 0.3, 0.35, 0.45]::DOUBLE[]) AS f) fl WHERE cos >= fl.f), lv AS (SELECT *, CASE WHEN shared >= 1 THEN 0 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM v), b AS (SELECT *, min(level) OVER (PARTITION BY floor, query_id) AS best FROM lv), n AS (SELECT floor, query_id, count(*) AS n FROM b WHERE level <= best GROUP BY 1, 2) SELECT floor, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90 FROM n GROUP BY 1")
 def k06(spark, sf):
-    """Pool sizes by cosine floor under the one-tag policy."""
+    """Pool sizes by cosine floor and prefilter policy."""
     from recoflow.operators.facets import distribution
 
-    floors = F.explode(F.array(*[F.lit(x) for x in (0.25, 0.3, 0.35, 0.45)]))
-    variants = pool(spark, sf).withColumn("floor", floors).where(F.col("cos") >= F.col("floor"))
+    variants = pool(spark, sf).withColumn("floor", F.explode(F.array(*[F.lit(x) for x in FLOORS]))).where(F.col("cos") >= F.col("floor"))
     variants = variants.withColumn("query_id", F.struct("floor", "query_id"))
-    n = filters.prefiltered_by(variants, "tags1").groupBy("query_id").agg(F.count("*").alias("n"))
-    return _round(distribution(n.select(F.col("query_id.floor").alias("floor"), "n"), "n", "floor").select("floor", "mean", "p90"), "floor")
+    n = evaluate.union_of([filters.prefiltered_by(variants, p).groupBy("query_id").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in filters.POLICIES])
+    found = distribution(n.select(F.col("query_id.floor").alias("floor"), "policy", "n"), "n", "floor", "policy")
+    return _round(found.select("floor", "policy", "mean", "p90"), "floor", "policy")
 
 
 _PAGES = f"{SCORED}, {TOP}, bycos AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM scored), pa AS (SELECT query_id, list(item_id ORDER BY rank) AS a FROM bycos WHERE rank <= 10 GROUP BY 1), pb AS (SELECT query_id, list(item_id ORDER BY rank) AS b FROM ranked WHERE rank <= 10 GROUP BY 1), mv AS (SELECT query_id, avg(abs(x.rank - ranked.rank)) AS d FROM bycos x JOIN ranked USING (query_id, item_id) WHERE x.rank <= 10 GROUP BY 1)"
@@ -326,7 +340,7 @@ def k09(spark, sf):
     """Two scorers on the same pools: paired NDCG change with its interval."""
     s, n = judged(spark, sf), relevant(spark, sf)
     a, b = (evaluate.query_metrics(ranking.ranked(s, F.desc(c)), None, (10,), relevant=n).select("query_id", F.col("ndcg_10").alias(c)) for c in ("score", "cos"))
-    found = evaluate.bootstrap(a.join(b, "query_id").select("query_id", (F.col("score") - F.col("cos")).alias("delta")), 200)
+    found = evaluate.bootstrap(a.join(b, "query_id").select("query_id", (F.col("score") - F.col("cos")).alias("delta")))
     return found.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "significant")
 
 
@@ -388,8 +402,6 @@ def k17(spark, sf):
     weights = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 0.75)]))
     v = judged(spark, sf).withColumn("w", weights)
     v = v.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg"), F.col("w")), 9))
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("query_id", "w").orderBy(F.desc("score"), "item_id")).cast("long")
     return _round(evaluate.metrics_by(v.withColumn("rank", place), None, "w", relevant=relevant(spark, sf)), "w", "n_queries")
 

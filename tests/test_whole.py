@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
-from recoflow.operators import ranking
+from recoflow.operators import filters, ranking
 from recoflow.plans import fixtures
-from recoflow.plans.retrieval import facts
+from recoflow.plans.retrieval import facts, pool
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -73,7 +73,7 @@ def test_author_cap_of_sets_is_greedy(spark, most, page):
     rng, rows = random.Random(most), []
     for q in range(6):
         rows += [(q, 1000 + i, i, rng.sample("abcdef", rng.randrange(4))) for i in range(1, 81)]
-    pool = spark.createDataFrame(rows, "query_id long, item_id long, rank long, authors array<string>")
+    authored = spark.createDataFrame(rows, "query_id long, item_id long, rank long, authors array<string>")
     want = []
     for q in range(6):
         counts, kept, aside = {}, [], []
@@ -84,7 +84,7 @@ def test_author_cap_of_sets_is_greedy(spark, most, page):
                 counts[a] = counts.get(a, 0) + 1
         kept = sorted(kept + aside[: max(0, (page or 0) - len(kept))])
         want += [(q, item, k) for k, (_, item) in enumerate(kept, 1)]
-    assert sorted(map(tuple, ranking.capped(pool, most, page).collect())) == sorted(want)
+    assert sorted(map(tuple, ranking.capped(authored, most, page).collect())) == sorted(want)
 
 
 def test_liked_has_all_labelled_positives(spark):
@@ -119,3 +119,57 @@ def test_vibe_keys_and_rankings_are_whole(spark):
     assert len(keys) == n_systems * n_tags * (n_tags + 1) // 2
     depth = Counter(r.query_id for r in run(spark, "j04_vibe_mode", SF))
     assert set(depth) <= keys and 50 < max(depth.values()) <= 500
+
+
+def test_sweeps_have_the_whole_grid(spark):
+    caps = {(r.cap, r.cap_order): tuple(r)[2:] for r in run(spark, "k05_cap_sweep", SF)}
+    assert set(caps) == {(c, o) for c in (50, 100, 150, 200, 300, 500, 750, 1000, 1500, None) for o in ("pre", "post")}
+    assert caps[None, "pre"] == caps[None, "post"] == caps[1500, "post"]
+    pools = {(r.floor, r.policy): r.mean for r in run(spark, "k06_prefilter_sweep", SF)}
+    highest = pool(spark, SF).agg({"cos": "max"}).first()[0]
+    floors = {f for f in (0.25, 0.3, 0.35, 0.4, 0.45) if f <= highest}
+    assert set(pools) == {(f, p) for f in floors for p in filters.POLICIES}
+
+
+def test_corpus_facets_have_tags(spark):
+    from collections import Counter
+
+    want = Counter(t for r in fixtures.frame(spark, SF, "items").collect() for t in {x.strip() for x in r.tags.split(",")} - {""})
+    assert {r.value: r.n for r in run(spark, "e19_corpus_facets", SF) if r.facet == "tags"} == want
+
+
+def test_bootstrap_has_all_resamples(spark, monkeypatch):
+    from recoflow.operators import evaluate
+
+    asked = []
+    monkeypatch.setattr(evaluate, "bootstrap", lambda deltas, resamples=2000, *a: asked.append(resamples) or deltas.selectExpr("1 n", "0d mean", "0d low", "0d high", "false significant").limit(1))
+    run(spark, "k09_k10_bootstrap", SF)
+    assert asked == [2000]
+
+
+def test_offline_run_is_reviewer_mode(spark):
+    import math
+
+    import numpy as np
+
+    from recoflow.plans.evaluation import parts
+
+    p = parts(spark, SF).collect()
+    bayes = {r.item_id: r.bayesian_avg for r in fixtures.frame(spark, SF, "stats").collect()}
+    known = {r.item_id for r in facts(spark, SF).select("item_id").collect()}
+    unit = {r.vec_id: np.array(r.embedding, np.float64) / np.linalg.norm(r.embedding) for r in fixtures.table(spark, SF, "embeddings").collect()}
+    recall = []
+    for u in {r.user_id for r in p if r.split == "test"}:
+        mine = [r for r in p if r.user_id == u]
+        seeds = [unit[r.item_id] for r in mine if r.split == "train" and r.label == 1 and r.item_id in unit]
+        if not seeds:
+            continue
+        mean = np.mean(seeds, axis=0)
+        out = {r.item_id for r in mine if r.split != "test"}
+        cos = {i: float(mean @ v / np.linalg.norm(mean)) for i, v in unit.items() if i in known - out}
+        rel = {i: round(1 / (1 + math.exp(1 - 4 * c)), 6) for i, c in cos.items() if c >= 0.25}
+        order = sorted(rel, key=lambda i: (-round(0.5 * rel[i] + 0.5 * bayes.get(i, 2.5) / 5, 6), i))
+        test = {r.item_id for r in mine if r.split == "test"}
+        recall += [len(test & set(order[:10])) / len(test)] if order else []
+    got = run(spark, "k03_offline_run", SF)[0]
+    assert (got.n_queries, got.recall_10) == (len(recall), pytest.approx(sum(recall) / len(recall), abs=2e-6))
