@@ -223,3 +223,34 @@ def test_pipeline_by_stages(spark):
     assert packed.select("doc_id").distinct().count() == single.count()
     digest = lambda df: hashlib.sha256(repr(sorted(map(tuple, df.select("doc_id", "piece", "length", "ids_crc32").collect()))).encode()).hexdigest()
     assert digest(corpus_pipeline.run(spark, DATA)) == digest(packed)
+
+
+CLASHING = "lost long, _text string, _lines string, _doc long, _row long, n_lines long, n_dropped long, row string, whole string, doc long, owner long, batch long, h1 long"
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_line_dedup_keeps_columns_of_any_name(spark, ansi):
+    """Columns named like helpers come through as they are; counts are never negative."""
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        rows = [(d, t, k, "a", "b", k, k, k, k, "c", "d", k, k, k, k) for k, (d, t) in enumerate(LINES)]
+        df = spark.createDataFrame(rows, f"doc_id long, text string, {CLASHING}")
+        kept = linededup.without_repeated_lines(df)
+        assert kept.columns == df.columns
+        texts = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        assert texts == sorted(((d, t) for d, _, _, t in brute_lines(LINES)), key=repr)
+        assert sorted(r[2:] for r in kept.collect()) == sorted(r[2:] for r in rows)
+        counted = linededup.drop_lines(df).collect()
+        assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in counted), key=repr) == brute_lines(LINES)
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_line_dedup_of_a_common_line_and_a_long_text(spark):
+    """One line in every document is looked up without a shuffle; a long text is whole."""
+    common = "this line stands in every document"
+    rows = [(k, f"{common}\nown line of document number {k}") for k in range(3000)]
+    rows.append((5000, "\n".join([common, *(f"line {k} of a long text" for k in range(60_000))])))
+    out = {r.doc_id: r for r in linededup.drop_lines(docs_frame(spark, rows)).collect()}
+    assert out[0].n_dropped == 0 and all(out[k].n_dropped == 1 and out[k].text == rows[k][1].split("\n")[1] for k in range(1, 3000))
+    assert out[5000].n_lines == 60_001 and out[5000].n_dropped == 1 and out[5000].text.count("\n") == 59_999
