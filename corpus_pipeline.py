@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow.llm.common import table, written
-from recoflow.llm.linededup import drop_lines
+from recoflow.llm.linededup import without_repeated_lines
 from recoflow.llm.neardup import one_of_each
 from recoflow.llm.packing import pack_documents
 from recoflow.llm.quality import keep_good
@@ -24,10 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; n_chars follows the new text."""
-    out = drop_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(docs.columns)
+    out = without_repeated_lines(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
