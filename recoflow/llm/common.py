@@ -67,14 +67,16 @@ def hot_keys(counts: DataFrame, count: str, total: int) -> DataFrame:
     return counts.where(F.col(count) * HOT_KEYS > total)
 
 
-def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, counts: DataFrame | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, side: DataFrame, key: str, by: str, counts: DataFrame | None = None, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``side`` on ``key`` that splits hot keys.
 
     A key with a share s of the rows is cut into about s * HOT_KEYS parts by a hash of
     column ``by``, and its row of ``side`` is copied to each part: at most 2 * HOT_KEYS
-    copies in all.  counts: key, n of the rows, where that is known already.
+    copies in all.  counts: key, n of the rows, and total, their number, where these are
+    known already; otherwise ``rows`` is read three times and should be a written table.
     """
-    counts, total = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts, rows.count()
+    counts = rows.groupBy(key).agg(F.count("*").alias("n")) if counts is None else counts
+    total = rows.count() if total is None else total
     hot = hot_keys(counts, "n", total).select(key, F.ceil(F.col("n") * HOT_KEYS / max(1, total)).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")

@@ -254,3 +254,40 @@ def test_line_dedup_of_a_common_line_and_a_long_text(spark):
     out = {r.doc_id: r for r in linededup.drop_lines(docs_frame(spark, rows)).collect()}
     assert out[0].n_dropped == 0 and all(out[k].n_dropped == 1 and out[k].text == rows[k][1].split("\n")[1] for k in range(1, 3000))
     assert out[5000].n_lines == 60_001 and out[5000].n_dropped == 1 and out[5000].text.count("\n") == 59_999
+
+
+def test_pages_of_one_template_make_rows_in_proportion(spark, monkeypatch):
+    """20,000 pages, 3 copies each, that share all but 18 words: nearly all band groups are
+    contested, and yet the compared pairs grow with the pages and no copy is missed."""
+    compared, asked_pairs = [], neardup.asked_pairs
+
+    def counted(left, percent):
+        pairs, done = asked_pairs(left, percent)
+        compared.append(pairs.count())
+        return pairs, done
+
+    monkeypatch.setattr(neardup, "asked_pairs", counted)
+    template = " ".join(f"t{j}" for j in range(60))
+    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), lambda j: F.concat(F.lit("u"), (F.col("id") % 7000).cast("string"), F.lit("_"), j.cast("string"))), " ")
+    pages = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), own, F.lit(template.replace("t", "s")), (F.col("id") % 4).cast("string")).alias("text"))
+    got = neardup.near_duplicates(pages, 5, 80)
+    assert got.where(F.col("component_id") != F.col("doc_id") % 7000).count() == 0
+    assert compared and sum(compared) < 20 * 20_000
+
+
+def test_hot_keys_are_split(spark):
+    """Half of all rows have one key; the join gives each row once, from many tasks."""
+    from recoflow.llm.common import spread_join, written
+
+    rows = written(spark.range(4000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").alias("x")))
+    out = spread_join(rows, spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("y")), "k", "x").collect()
+    assert sorted((r.k, r.x, r.y) for r in out) == sorted((k, x, 2 * k) for x in range(4000) if (k := 0 if x % 2 == 0 else x) < 3000)
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from recoflow.llm.components import components
+
+    chain = spark.range(40).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r.v for r in components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(chain, rounds=1)
