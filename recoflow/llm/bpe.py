@@ -3,13 +3,19 @@
 Distinct pieces are grouped by length into matrices with one row a piece.  In each
 round every row merges its leftmost pair of least rank; pairs are found in an
 open-addressed hash table held in numpy arrays; rows without a further pair leave
-the matrix.  Pieces too long for a matrix are merged one by one with a heap.
+the matrix.
+
+Padding long pieces to one width would waste memory, and a round each for their many
+merges would take the square of their length.  So pieces of more than MATRIX_BYTES are
+the rows of a ragged matrix, one flat array with a gap between rows.  As long as a merge
+only makes pairs of higher ranks, a row's turns with one rank follow each other; a round
+does all turns of one rank in all rows, at the places where a pair has that rank.  A
+token that can be in a pair of lower rank is made once a row and round.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,7 +28,7 @@ from recoflow.llm.pieces import PieceEncoder, byte_level_starts, spread
 from recoflow.llm.tokenizers_io import ranks as load_ranks
 
 NO_RANK = np.int32(2**31 - 1)
-#: Longest piece, in bytes, that goes into a matrix.
+#: Longest piece, in bytes, that goes into a padded matrix.
 MATRIX_BYTES = 256
 
 
@@ -68,14 +74,31 @@ class PairTable:
         return out
 
 
+def last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
+    """Ranks of the two parts that merging the token's bytes ends with, if it does.  No
+    other two parts of it ever stand side by side, in whatever text: merges inside a span
+    follow the same order until one crosses its ends."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        best = min((ranks.get(a + b, NO_RANK), i) for i, (a, b) in enumerate(zip(parts[:-1], parts[1:], strict=True)))
+        if best[0] == NO_RANK:
+            return None
+        parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    return ranks[parts[0]], ranks[parts[1]]
+
+
 class MatrixBpe:
     """Encoder and decoder for a table of token ranks, where a rank is also the id."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        pairs = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        self.pairs = PairTable(*(np.array(x, np.int64) for x in zip(*pairs, strict=True)))
+        pairs = [(*last, r) for t, r in ranks.items() if len(t) > 1 and (last := last_pair(t, ranks))]
+        left, right, rank = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        self.pairs = PairTable(left, right, rank)
+        self.risky = np.zeros(int(rank.max()) + 1, bool)  # tokens with a part in a pair of lower rank
+        for part in (left, right):
+            self.risky[part[part > rank]] = True
         tokens = sorted((r, t) for t, r in ranks.items())
         lengths = np.zeros(tokens[-1][0] + 1, np.int64)
         lengths[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
@@ -122,31 +145,51 @@ class MatrixBpe:
                 pair_ranks[r, c] = self.pairs.ranks(ids[r, c], ids[r, c + 1])
         return out, sizes
 
-    def _heap(self, piece: bytes) -> list[int]:
-        """Merge one long piece: leftmost pair of least rank first."""
-        ids = self.byte_ids[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        before, after, token = list(range(-1, n - 1)), list(range(1, n + 1)), [bytes([b]) for b in piece]
-
-        def rank(i: int) -> int | None:
-            return self.ranks.get(token[i] + token[after[i]]) if after[i] < n else None
-
-        heap = [(r, i) for i in range(n - 1) if (r := rank(i)) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if token[i] is None or rank(i) != r:
-                continue
-            j = after[i]
-            token[i], ids[i] = token[i] + token[j], r
-            token[j] = None
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            for k in (before[i], i):
-                if k >= 0 and (q := rank(k)) is not None:
-                    heapq.heappush(heap, (q, k))
-        return [ids[i] for i in range(n) if token[i] is not None]
+    def _ragged(self, ids: np.ndarray) -> np.ndarray:
+        """Merge rows of ids that stand one after another, each followed by a -1."""
+        n, row = len(ids), np.cumsum(ids == -1)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        pair_ranks = np.append(self.pairs.ranks(ids[:-1], ids[1:]), NO_RANK)
+        places: dict[int, list[np.ndarray]] = {}
+        ranks = np.zeros(len(self.token_offsets), bool)  # ranks that some pair has
+
+        def note(at: np.ndarray) -> int:
+            """Remember places by their ranks; the least of these."""
+            at = at[pair_ranks[at] != NO_RANK]
+            if not len(at):
+                return len(ranks)
+            at = at[np.argsort(pair_ranks[at], kind="stable")]
+            found, first = np.unique(pair_ranks[at], return_index=True)
+            ranks[found] = True
+            for r, some in zip(found.tolist(), np.split(at, first[1:]), strict=True):
+                places.setdefault(r, []).append(some)
+            return int(found[0])
+
+        rank = note(np.arange(n))
+        while places:
+            rank += int(ranks[rank:].argmax())
+            ranks[rank] = False
+            at = np.unique(np.concatenate(places.pop(rank)))
+            at = at[pair_ranks[at] == rank]
+            if self.risky[rank] and len(at):
+                first = np.unique(row[at], return_index=True)[1]
+                note(np.delete(at, first))
+                at = at[first]
+            # of pairs that overlap in a chain every other one merges, from the left
+            chained = np.zeros(len(at), bool)
+            chained[1:] = after[at[:-1]] == at[1:]
+            first = np.maximum.accumulate(np.where(chained, 0, np.arange(len(at))))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            gone = after[at]
+            ids[at], ids[gone] = rank, -2
+            pair_ranks[gone] = NO_RANK
+            after[at] = after[gone]
+            before[after[at]] = at  # a -1 follows each row
+            pair_ranks[at] = self.pairs.ranks(ids[at], ids[after[at]])
+            left = before[at][before[at] >= 0]
+            pair_ranks[left] = self.pairs.ranks(ids[left], ids[after[left]])
+            rank = min(rank, note(np.unique(np.concatenate([at, left]))))
+        return ids[ids != -2]
 
     def encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each piece)."""
@@ -161,10 +204,11 @@ class MatrixBpe:
         for b in np.unique(bucket[whole < 0]):
             rows = np.flatnonzero((bucket == b) & (whole < 0))
             if b == len(limits):
-                for i in rows:
-                    ids = np.array(self._heap(raw[i]), np.int64)
-                    sizes[i] = len(ids)
-                    parts.append((np.full(len(ids), i), np.arange(len(ids)), ids))
+                joined = np.concatenate([x for i in rows for x in (self.byte_ids[data[offsets[i] : offsets[i + 1]]], [-1])]).astype(np.int32)
+                ids = self._ragged(joined)
+                ends = np.flatnonzero(ids == -1)
+                sizes[rows] = n = np.diff(ends, prepend=-1) - 1
+                parts.append((np.repeat(rows, n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n), ids[ids != -1]))
                 continue
             columns = np.arange(limits[b])
             inside = columns < lengths[rows, None]
@@ -225,7 +269,9 @@ def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; the ids are decoded
-    in the task that made them, so they never leave it."""
+    in the task that made them, so they never leave it.  Null text is empty (0 tokens);
+    rows map one to one, so repeated rows and null doc_ids stay; further columns are
+    dropped; an empty table stays empty; memory grows with the longest text only."""
     small_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,12 @@ Two deterministic machines run one after the other.
   before that suffix and the token count since then; this decides all later
   behaviour.  Transitions are compiled when first needed, for all pieces in step.
 
+  A long piece is cut into chunks too.  The machine has too many states for whole
+  maps, so a chunk's map holds the states that it is entered in: first the one that
+  the bytes just before the chunk lead to, which is nearly always right, since a state
+  looks back no further than tokens reach.  The maps compose from chunk to chunk; one
+  that is entered in another state gets that entry added.  Equal chunks share a map.
+
 That a state needs no more than last tokens rests on two facts on merges in rank
 order: a cut of an encoding at a token end is the encoding of both sides, and a
 sequence is an encoding if each two neighbours are.
@@ -130,10 +136,16 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+#: State before a piece: (trie node, last token, tokens since) of each suffix alive.
+ROOT = ((0, -1, 0),)
+#: Runs in step, and bytes before a chunk that lead to the state it is entered in.
+ROWS, WARM_UP = 8192, 64
+
+
 class MergingMachine:
     """Lazily compiled transducer from the bytes of a piece to its token count."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 120_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 60_000):
         alphabet = byte_alphabet()
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank
@@ -165,9 +177,9 @@ class MergingMachine:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         # rows of states not yet numbered take no memory; 0: not compiled, else state + 1
-        self.after = np.zeros((self.max_states + 4096, 256), np.int32)
-        self.gain = np.zeros((self.max_states + 4096, 256), np.int16)
-        self._number(((0, -1, 0),))
+        self.after = np.zeros((self.max_states + ROWS, 256), np.int32)
+        self.gain = np.zeros((self.max_states + ROWS, 256), np.int16)
+        self._number(ROOT)
 
     def _number(self, key: tuple) -> int:
         if key not in self.states:
@@ -217,13 +229,60 @@ class MergingMachine:
 
     def counts(self, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Token counts of the pieces data[begin : begin + length]."""
+        out, long = np.zeros(len(begin), np.int64), lengths > 2 * CHUNK
+        usual = np.flatnonzero(~long)
+        usual = usual[np.argsort(-lengths[usual], kind="stable")]
+        for k in range(0, len(usual), ROWS):
+            some = usual[k : k + ROWS]
+            out[some] = self._run(data, begin[some], lengths[some], None)[0]
+        for i in np.flatnonzero(long):
+            out[i] = self._long(data[begin[i] : begin[i] + lengths[i]])
+        return out
+
+    def _long(self, piece: np.ndarray) -> int:
+        """Token count of one long piece, by the maps of its chunks."""
+        starts = np.arange(0, len(piece), CHUNK)
+        lengths = np.minimum(CHUNK, len(piece) - starts)
+        content = [piece[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+        maps: dict[bytes, dict[tuple, tuple[int, tuple]]] = {c: {} for c in content}
+
+        def enter(chunks: np.ndarray, states: list[tuple]) -> None:
+            gains, ends = self._run(piece, starts[chunks], lengths[chunks], states)
+            for c, state, gain, end in zip(chunks.tolist(), states, gains.tolist(), ends, strict=True):
+                maps[content[c]][state] = gain, end
+
+        for k in range(0, len(starts), ROWS):
+            chunks = np.arange(k, min(k + ROWS, len(starts)))
+            ahead = np.minimum(WARM_UP, starts[chunks])
+            new, seen = [], set()
+            for c, state in zip(chunks.tolist(), self._run(piece, starts[chunks] - ahead, ahead, [ROOT] * len(chunks))[1], strict=True):
+                if (content[c], state) not in seen:
+                    seen.add((content[c], state))
+                    new.append((c, state))
+            new.sort(key=lambda x: -lengths[x[0]])
+            enter(np.array([c for c, _ in new]), [state for _, state in new])
+        total, state = 0, ROOT
+        for c in range(len(starts)):
+            if state not in maps[content[c]]:
+                enter(np.array([c]), [state])
+            gain, state = maps[content[c]][state]
+            total += gain
+        return total
+
+    def _run(self, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, states: list[tuple] | None) -> tuple[np.ndarray, list[tuple]]:
+        """(token counts gained, states left in) of runs over data[begin : begin + length];
+        lengths descend.  Without ``states`` all begin at the root and no states are given."""
         if len(self.keys) > self.max_states:
             self._clear()
-        order = np.argsort(-lengths, kind="stable")
-        begin, lengths = begin[order], lengths[order]
-        state, total = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int64)
+        state = np.zeros(len(begin), np.int32) if states is None else np.fromiter(map(self._number, states), np.int32, len(begin))
+        total = np.zeros(len(begin), np.int64)
         active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
         for p, n in enumerate(active):
+            if len(self.keys) > self.max_states:  # compile anew what the runs are in
+                used, at = np.unique(state, return_inverse=True)
+                kept = [self.keys[s] for s in used.tolist()]
+                self._clear()
+                state = np.fromiter(map(self._number, kept), np.int32, len(kept))[at]
             now, byte = state[:n], data[begin[:n] + p]
             after = self.after[now, byte]
             missing = np.flatnonzero(after == 0)
@@ -233,9 +292,7 @@ class MergingMachine:
                 after = self.after[now, byte]
             total[:n] += self.gain[now, byte]
             state[:n] = after - 1
-        out = np.empty(len(total), np.int64)
-        out[order] = total
-        return out
+        return total, [] if states is None else [self.keys[s] for s in state.tolist()]
 
 
 class TokenCounter:
@@ -287,7 +344,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """Per document: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
     Null text counts as empty (0 tokens).  Rows map one to one: repeated rows and
-    null doc_ids stay, an empty table stays empty, further columns are dropped.
+    null doc_ids stay, an empty table stays empty, further columns are dropped.  Memory
+    grows with the longest text only; the compiled states are bounded.
     """
     small_batches(docs.sparkSession)
 

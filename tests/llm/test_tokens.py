@@ -150,3 +150,37 @@ def test_packing(spark):
     # 64 pieces a group are few: allow two in a hundred above one run over all pieces
     assert got["sequence_id"].nunique() <= 1.02 * (packing.best_fit_decreasing(got["length"].to_numpy(), 512).max() + 1)
     assert packing.pack_documents(frame(spark, []), path).count() == 0
+
+
+def long_pieces(n):
+    rng = random.Random(9)
+    return ["a" * n, "-=" * (n // 2), "é" * (n // 2), "".join(rng.choice(["the", "ing", "tion", "x", "aaaa", "qu"]) for _ in range(n // 40)), "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n // 250))]
+
+
+def test_long_single_pieces_are_the_libraries():
+    """Pieces of up to 5 MB: equal ids and counts, and states stay bounded within a call."""
+    import public_tokenizers
+    import tiktoken
+
+    multi, plain = tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_path("byte_bpe_50k.json")
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(multi), special_tokens={})
+    texts = long_pieces(5_000_000)
+    for text, ids in zip(texts, bpe.matrix_bpe(multi)[1].texts(texts), strict=True):
+        assert ids.tolist() == own.encode_ordinary(text)
+    counter = tokencount.TokenCounter(plain)
+    counter.machine.max_states = 3000
+    counter.machine._clear()
+    assert counter.block(texts).tolist() == [len(library(plain).encode(t).ids) for t in texts]
+    assert len(counter.machine.keys) <= 3000 + 2 * tokencount.ROWS
+
+
+def test_merges_of_one_rank_go_leftmost_first():
+    """Ranks in which a merge makes a pair of lower rank, and chains of equal tokens."""
+    import tiktoken
+
+    odd = {bytes([b]): b for b in range(256)} | {b"ab": 301, b"aba": 300, b"aa": 302, b"aaa": 303, b"bb": 304, b"abb": 299}
+    own = tiktoken.Encoding("odd", pat_str="(?s).+", mergeable_ranks=odd, special_tokens={})
+    machine, rng = bpe.MatrixBpe(odd), random.Random(2)
+    for _ in range(60):
+        text = "".join(rng.choice("aab") for _ in range(rng.randint(257, 600)))
+        assert machine.encode([text])[0].tolist() == own.encode_ordinary(text)
