@@ -1,34 +1,37 @@
 """Operator 1: exact top-k inner products by ball trees.
 
-Candidates are dealt to shards of bounded size, queries to blocks of bounded size.
-A task holds one shard and one block: it builds a ball tree over the shard and visits
-nodes in the order of their upper bound q.c + |q| r, as long as the bound can still
-beat the query's current k-th score.  The k-th score that a query reaches in a first
-shard is shared with all other shards, which begin their pruning there.
+Candidates are dealt to shards of bounded size.  A task builds a ball tree over a shard,
+once, and the queries stream past it in batches.  Every query opens the tree's nodes best
+first, in the order of their upper bound q.c + |q| r, and stops when no bound can beat its
+current k-th score, which improves with every leaf that it reads.
+
+Shards are searched in rounds, each with more shards than the one before; all queries take
+the k-th score that they have reached into the next round and begin their pruning there.
 
 Vectors are made of integers, floor(256 x), so scores are exact.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.llm.common import written
 
 LEAF = 128
-NO_SCORE = np.iinfo(np.int64).min
+#: Queries that search a tree in step.
+QUERIES = 256
 
 
 class BallTree:
     """Nodes are halves of halves of the points, along the direction in which they
     spread most; split by position, so equal points part too."""
 
-    def __init__(self, points: np.ndarray, ids: np.ndarray):
+    def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         order = np.arange(len(points))
         self.bounds, self.children, spans = [], [], [(0, len(points))]
         k = 0
@@ -47,7 +50,8 @@ class BallTree:
             else:
                 self.children.append(None)
             k += 1
-        self.points, self.ids = points[order], ids[order]
+        self.points, self.ids, self.rows = points[order], ids[order], rows[order]
+        self.read = 0  #: nodes that queries have opened
         self.centres = np.stack([self.points[a:b].mean(0) for a, b in self.bounds])
         self.radii = np.array([np.sqrt(((self.points[a:b] - c) ** 2).sum(1).max()) for (a, b), c in zip(self.bounds, self.centres, strict=True)])
         self.least = np.array([self.ids[a:b].min() for a, b in self.bounds])
@@ -58,110 +62,125 @@ class BallTree:
         return np.floor(reach + 1e-6 * (1 + np.abs(reach)))
 
     def search(self, queries: np.ndarray, own: np.ndarray, k: int, score: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query row, id, score) of the best k points of each query that beat, or tie
-        and have a smaller id than, the given k-th ``score`` with id ``at``."""
-        rows, ids, scores = (np.zeros(0, np.int64) for _ in range(3))
-        score, at = score.astype(np.float64), at.copy()
-        alive = lambda ub, nodes: (ub > score[:, None]) | ((ub == score[:, None]) & (self.least[nodes] < at[:, None]))
-        nodes, leaves = np.array([0]), []
-        while len(nodes):
-            keep = alive(self.bound(queries, nodes), nodes).any(0)
-            leaves += [n for n in nodes[keep] if self.children[n] is None]
-            nodes = np.array([c for n in nodes[keep] for c in self.children[n] or ()], np.int64)
-        leaves = np.array(leaves, np.int64)
-        if not len(leaves):
-            return rows, ids, scores
-        bounds = self.bound(queries, leaves)
-        order = np.argsort(-bounds, axis=1, kind="stable")
-        for turn in range(len(leaves)):
-            visit = order[:, turn]
-            every = np.arange(len(queries))
-            best = bounds[every, visit]
-            going = (best > score) | ((best == score) & (self.least[leaves[visit]] < at))
-            # a later leaf of equal bound may still win by a smaller id
-            if not going.any() and not (best >= score).any():
+        """(query number, id, score) of the best k points of each query, its own row left
+        out, that beat, or tie and have a smaller id than, the given k-th ``score`` (minus
+        infinity: none) with id ``at``."""
+        n, every = len(queries), np.arange(len(queries))
+        bounds = np.full((n, len(self.bounds)), -np.inf)  # of the open nodes
+        bounds[:, 0] = self.bound(queries, np.array([0]))[:, 0]
+        best, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
+        while True:
+            useful = (bounds > score[:, None]) | ((bounds == score[:, None]) & (bounds > -np.inf) & (self.least < at[:, None]))
+            node = np.where(useful, bounds, -np.inf).argmax(1)
+            going = useful[every, node]
+            if not going.any():
                 break
-            found = []
-            for leaf in np.unique(visit[going]):
-                q = np.flatnonzero(going & (visit == leaf))
-                a, b = self.bounds[leaves[leaf]]
-                got, who = queries[q] @ self.points[a:b].T, self.ids[a:b]
-                good = (got > score[q, None]) | ((got == score[q, None]) & (who < at[q, None]))
-                good &= who != own[q, None]
-                r, c = np.nonzero(good)
-                found.append((q[r], who[c], got[r, c].astype(np.int64)))
-            if not found:
-                continue
-            rows, ids, scores = (np.concatenate([old, *new]) for old, new in zip((rows, ids, scores), zip(*found, strict=True), strict=True))
-            sort = np.lexsort((ids, -scores, rows))
-            rows, ids, scores = rows[sort], ids[sort], scores[sort]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))
-            rank = np.arange(len(rows)) - np.repeat(first, np.diff(np.append(first, len(rows))))
-            rows, ids, scores, rank = (x[rank < k] for x in (rows, ids, scores, rank))
-            full = rank == k - 1
-            score[rows[full]], at[rows[full]] = scores[full], ids[full]
-        return rows, ids, scores
-
-
-def _search_pair(k: int):
-    """Function of cogrouped (queries, candidates) of one block and shard."""
-
-    def search(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
-        out = [empty]
-        for size in set(queries["v"].map(len)) if len(candidates) else ():
-            q, c = queries[queries["v"].map(len) == size], candidates[candidates["v"].map(len) == size]
-            if len(c):
-                tree = BallTree(np.stack(c["v"].to_list()).astype(np.float64), c["vec_id"].to_numpy(np.int64))
-                own = q["query_id"].to_numpy(np.int64)
-                score, at = q["kth"].fillna(NO_SCORE).to_numpy(np.float64), q["kth_id"].fillna(NO_SCORE).to_numpy(np.int64)
-                score = np.where(q["kth"].isna(), -np.inf, score)
-                rows, ids, scores = tree.search(np.stack(q["v"].to_list()).astype(np.float64), own, k, score, at)
-                out.append(pd.DataFrame({"query_id": own[rows], "vec_id": ids, "score": scores}))
-        return pd.concat(out, ignore_index=True)
+            bounds[every[going], node[going]] = -np.inf
+            self.read += int(going.sum())
+            for x in np.unique(node[going]):
+                q = np.flatnonzero(going & (node == x))
+                if self.children[x] is not None:
+                    children = np.array(self.children[x])
+                    bounds[q[:, None], children] = self.bound(queries[q], children)
+                    continue
+                a, b = self.bounds[x]
+                got = queries[q] @ self.points[a:b].T
+                got[self.rows[a:b] == own[q, None]] = -np.inf
+                all_scores = np.concatenate([best[q], got], 1)
+                all_ids = np.concatenate([ids[q], np.broadcast_to(self.ids[a:b], got.shape)], 1)
+                first = np.lexsort((all_ids, -all_scores), 1)[:, :k]
+                best[q], ids[q] = np.take_along_axis(all_scores, first, 1), np.take_along_axis(all_ids, first, 1)
+                # the k-th score is the given one until k better points are found
+                s, i = best[q, -1], ids[q, -1]
+                better = (s > score[q]) | ((s == score[q]) & (i < at[q]))
+                score[q[better]], at[q[better]] = s[better], i[better]
+        r, c = np.nonzero(best > -np.inf)
+        return r, ids[r, c], best[r, c].astype(np.int64)
+
+
+FOUND = "uid long, query_id long, vec_id long, score long"
+
+
+def _search_shards(k: int):
+    """Function of the sorted rows of some shards: of each, first its candidates, which
+    are held and made into trees (one for each number of components), then its queries."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, trees = None, [], None
+        for batch in batches:
+            t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "asks", "uid", "vec_id", "v", "kth", "kth_id")}
+            ends = np.append(np.flatnonzero((np.diff(t["shard"]) != 0) | (np.diff(t["asks"].astype(np.int8)) != 0)) + 1, len(batch))
+            begin = 0
+            for end in ends.tolist():
+                part = {c: x[begin:end] for c, x in t.items()}
+                begin = end
+                if not len(part["shard"]):
+                    continue
+                if part["shard"][0] != shard:
+                    shard, held, trees = part["shard"][0], [], None
+                if not part["asks"][0]:
+                    held.append(part)
+                    continue
+                if trees is None:
+                    trees = {}
+                    if held:
+                        v, ids, rows = (np.concatenate([h[c] for h in held]) for c in ("v", "vec_id", "uid"))
+                        sizes = np.fromiter(map(len, v), np.int64, len(v))
+                        trees = {d: BallTree(np.stack(v[sizes == d]).astype(np.float64), ids[sizes == d], rows[sizes == d]) for d in np.unique(sizes).tolist()}
+                    held = []
+                sizes = np.fromiter(map(len, part["v"]), np.int64, len(part["v"]))
+                for d in np.unique(sizes).tolist():
+                    where = np.flatnonzero(sizes == d)
+                    for i in range(0, len(where) if d in trees else 0, QUERIES):
+                        q = where[i : i + QUERIES]
+                        kth = part["kth"][q].astype(np.float64)
+                        known = ~np.isnan(kth)
+                        at = np.where(known, part["kth_id"][q], 0).astype(np.int64)
+                        r, ids, scores = trees[d].search(np.stack(part["v"][q]).astype(np.float64), part["uid"][q], k, np.where(known, kth, -np.inf), at)
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (part["uid"][q][r], part["vec_id"][q][r], ids, scores)], ["uid", "query_id", "vec_id", "score"])
 
     return search
 
 
 def integer_vectors(vectors: DataFrame, embedding: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(256 x) of the components; vectors that are null, empty or hold
-    a null or non-finite component are left out."""
+    """vec_id, v: floor(256 x) of the components; vectors that are null or hold a null or
+    non-finite component are left out."""
     x = F.transform(embedding, lambda c: c.cast("double"))
     fine = F.forall("x", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    found = vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & fine)
+    found = vectors.select("vec_id", x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
     return found.select("vec_id", F.transform("x", lambda c: F.floor(c * 256).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 8192, block_rows: int = 2048) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = 8192) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k best other rows of each query row.
 
     vectors: vec_id, embedding.  Ties go to the smaller vec_id; a query with fewer
-    candidates gets them all.  Rows without vec_id or with unusable vectors take no
-    part; a query meets candidates of its own number of components only, and none of
-    its own vec_id.  Rows that repeat a vec_id count once each as candidates of the
-    same id, and once as a query.  Scores are exact while they stay below 2**53.
+    candidates gets them all.  Rows without vec_id or with unusable vectors take no part;
+    a query meets candidates of its own number of components only (an empty vector has a
+    score of 0 with other empty ones).  Rows that repeat a vec_id are rows of their own:
+    each is a query and a candidate of all other rows, those of the same vec_id too.
+    Further columns are dropped; an empty table gives no rows.  Scores are exact while
+    they stay below 2**53.  A task holds one shard and a batch of queries.
     """
+    spark = vectors.sparkSession
     ready = written(integer_vectors(vectors).withColumn("uid", F.monotonically_increasing_id()))
-    asked = written(ready.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "v"))
-    shards, blocks = max(1, -(-ready.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
-    dealt = ready.select("vec_id", "v", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    home = F.pmod(F.xxhash64("query_id", F.lit("home")), F.lit(shards))
-    schema, found = "query_id long, vec_id long, score long", []
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def run(queries: DataFrame) -> DataFrame:
-        copies = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-        return queries.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInPandas(_search_pair(k), schema)
-
+    shards = max(1, -(-ready.count() // shard_rows))
     none = F.lit(None).cast("long")
-    found.append(written(run(asked.withColumns({"shard": home, "kth": none, "kth_id": none}))))
-    if shards > 1:
-        ranked = found[0].withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-        kth = ranked.select("query_id", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
-        every = F.explode(F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), lambda s: s != home))
-        found.append(run(asked.join(kth, "query_id", "left").withColumn("shard", every)))
-    out = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    dealt = ready.select(F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "uid", "vec_id", "v", none.alias("kth"), none.alias("kth_id"))
+    asked = written(ready.where(is_query).select("uid", "vec_id", "v"))
+    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id")
+    best = spark.createDataFrame([], FOUND)
+    low, width = 0, max(1, shards // 8)
+    while low < shards:
+        high = min(shards, low + width)
+        kth = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("uid", F.col("score").alias("kth"), F.col("vec_id").alias("kth_id"))
+        every = F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))).alias("shard")
+        queries = asked.join(kth, "uid", "left").select(every, F.lit(True).alias("asks"), "uid", "vec_id", "v", "kth", "kth_id")
+        both = dealt.where(F.col("shard").between(low, high - 1)).unionByName(queries)
+        found = both.repartition(high - low, "shard").sortWithinPartitions("shard", "asks").mapInArrow(_search_shards(k), FOUND)
+        best = written(best.unionByName(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+        low, width = high, 2 * width
+    out = best.withColumn("rank", F.row_number().over(order))
     return out.select("query_id", "rank", "vec_id", "score")
 
 

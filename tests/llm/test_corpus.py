@@ -147,7 +147,7 @@ def test_top_k(spark):
     rows += [(400 + i, [0.5] * 8) for i in range(60)]  # equal vectors
     rows += [(600, None), (650, [float("nan")] * 8), (651, [None] + [1.0] * 7), (652, []), (700, [1.0, 2.0]), (701, [3.0, 1.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame([(*r, 3, 2) for r in rows], "vec_id long, embedding array<float>, rank int, score int")
-    got = balltree.top_k(df, F.col("vec_id") % 50 == 0, k=5, shard_rows=100, block_rows=4).collect()
+    got = balltree.top_k(df, F.col("vec_id") % 50 == 0, k=5, shard_rows=100).collect()
     usable = {i: np.floor(256 * np.array(v, np.float64)).astype(int) for i, v in rows if i is not None and v and None not in v and not np.isnan(v).any()}
     want = []
     for q, v in usable.items():
@@ -291,3 +291,34 @@ def test_components_that_do_not_settle_are_an_error(spark):
     assert {r.v for r in components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         components(chain, rounds=1)
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Every row is a query and a candidate of its own; the result does not depend on how
+    rows are dealt."""
+    rng = np.random.default_rng(8)
+    rows = [(i // 3 if i % 2 else 50, rng.normal(size=4).astype(np.float32).tolist()) for i in range(90)] + [(50, []), (7, []), (50, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    usable = [(i, np.floor(256 * np.array(v, np.float64)).astype(int)) for i, v in rows if v is not None]
+    want = []
+    for a, (q, v) in enumerate(usable):
+        if q % 50 == 0:
+            scores = sorted((-int(v @ c), i) for b, (i, c) in enumerate(usable) if a != b and len(c) == len(v))
+            want += [(q, r, i, -s) for r, (s, i) in enumerate(scores[:5], 1)]
+    for n in (1, 3, 7):
+        got = balltree.top_k(df.repartition(n), F.col("vec_id") % 50 == 0, k=5, shard_rows=20).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
+def test_trees_are_opened_best_first():
+    """In clustered points a query without a given score opens few of the nodes."""
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(40, 16)) * 100
+    points = np.floor(np.repeat(centres, 200, 0) + rng.normal(size=(8000, 16)))
+    tree = balltree.BallTree(points, np.arange(8000), np.arange(8000))
+    queries = points[::400]
+    r, ids, scores = tree.search(queries, np.arange(8000)[::400], 5, np.full(20, -np.inf), np.zeros(20, np.int64))
+    for q in range(20):
+        every = sorted((-int(queries[q] @ p), i) for i, p in enumerate(points) if i != 400 * q)[:5]
+        assert sorted(zip((-scores[r == q]).tolist(), ids[r == q].tolist(), strict=True)) == every
+    assert tree.read < 20 * len(tree.bounds) / 2
