@@ -72,3 +72,26 @@ def test_many_buckets_and_edges(spark):
     assert edited_fingerprints(frame(spark, [])).count() == 0
     one = edited_fingerprints(frame(spark, [(4, "alone here")])).collect()
     assert one[0].near_next == 1.0
+
+
+def test_fingerprints_tell_hashes_and_positions(spark):
+    got = {(r.doc_id, r.n_chars): r.fingerprint for r in edited_fingerprints(frame(spark, DOCS)).collect()}
+    for doc_id, text in DOCS:
+        want = " ".join(f"{h:x}@{-p:x}" for h, p in winnow(text or ""))
+        assert got[doc_id, len(text or "")] == want
+
+
+def test_one_id_in_most_rows_and_a_long_text(spark):
+    """Null ids are dealt to their share of buckets; the order of rows stays the same."""
+    from recoflow.llm import winnow as module
+
+    rows = [(None, f"text {i} without an id") for i in range(300)] + [(i, f"text {i}") for i in range(40)] + [(5, "long text " * 60_000)]
+    whole = {tuple(r) for r in edited_fingerprints(frame(spark, rows)).collect()}
+    split = module.with_next
+    sizes = [r["count"] for r in split(frame(spark, rows), bucket_docs=10)[0].where("own").groupBy("bucket").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) < 60
+    module.with_next = lambda docs: split(docs, bucket_docs=10)
+    try:
+        assert {tuple(r) for r in edited_fingerprints(frame(spark, rows)).collect()} == whole
+    finally:
+        module.with_next = split
