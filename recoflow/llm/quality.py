@@ -3,9 +3,10 @@
 Heuristic labellers vote good, bad or nothing on every document.  They overlap, so
 expectation-maximisation over the counts of their vote patterns estimates how each
 votes on good and on bad documents, without any given label; the posterior of its
-pattern labels a document.  A linear scorer over hashed features learns these labels
-on a bounded sample and then scores every document, also those on which most
-labellers are silent.
+pattern labels a document.  A linear scorer learns these labels on a bounded sample and
+then scores every document, also those on which most labellers are silent.  Its hashed
+features are the words and word pairs of the text, the shapes of its words, and the
+statistics in steps.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 
 from recoflow.llm.common import small_batches, written
 from recoflow.llm.pieces import blocks
-from recoflow.llm.shingles import GOLDEN, mix, word_shingles, words_of
+from recoflow.llm.shingles import GOLDEN, Words, mix, word_shingles, words_of
 
 #: Columns of ``profiles``.
 STATISTICS = ("words", "repeated trigrams", "symbol words", "shouted words", "repeated neighbours", "word bytes", "letters", "ended words", "short words", "separators")
-HASHED = 1 << 12
+#: Hashed features: of statistics and shapes, and after them of words and word pairs.
+HASHED, NGRAMS = 1 << 12, 1 << 16
 #: Documents that the scorer is fitted on at most: those of the least hashes.
 SAMPLE = 20_000
 
@@ -43,10 +45,10 @@ def _byte_kinds() -> np.ndarray:
 _KINDS = _byte_kinds()
 
 
-def profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def profiles(texts: list[str], words: Words | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(statistics of each text, counts of its word shapes); a word's shape is the set
     of kinds of bytes in it."""
-    words = words_of(texts)
+    words = words or words_of(texts)
     n = np.diff(words.bounds)
     some = np.maximum(n, 1)
     owner = np.repeat(np.arange(len(texts)), n)
@@ -124,6 +126,50 @@ def features(s: np.ndarray, shapes: np.ndarray) -> np.ndarray:
     return np.where(every > 0, hashed, 0).astype(np.int32)
 
 
+def ngrams(words: Words) -> list[np.ndarray]:
+    """Hashed feature numbers of the distinct words and word pairs of each text."""
+    ones = mix(words.hashes ^ GOLDEN)
+    out = []
+    for a, b, pairs in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), word_shingles(words, 2), strict=True):
+        every = np.concatenate([ones[a:b], pairs if b - a > 1 else pairs[:0]])
+        out.append(np.unique(every % np.uint64(NGRAMS)).astype(np.int32) + HASHED)
+    return out
+
+
+@dataclass
+class Described:
+    """Hashed features of some documents."""
+
+    steps: np.ndarray  #: of the statistics and shapes, a row a document; 0: none
+    flat: np.ndarray  #: of the words and pairs of all documents
+    sizes: np.ndarray  #: how many of these each document has
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Described:
+        words = words_of(texts)
+        grams = ngrams(words)
+        return cls(features(*profiles(texts, words)), np.concatenate([np.zeros(0, np.int32), *grams]), np.fromiter(map(len, grams), np.int64, len(grams)))
+
+    def logits(self, weights: np.ndarray) -> np.ndarray:
+        """Weights of a document's steps, and of its words and pairs over the root of their
+        number, so that long texts speak no louder than short ones; weight 0 is the bias."""
+        steps = np.where(self.steps > 0, weights[self.steps], 0).sum(1)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        grams = np.bincount(owner, weights[self.flat], len(self.sizes)) / np.sqrt(np.maximum(self.sizes, 1))
+        return weights[0] + steps + grams
+
+    def slopes(self, slope: np.ndarray) -> np.ndarray:
+        """Gradient of the weights from that of the logits."""
+        steps = np.bincount(self.steps.ravel(), np.repeat(slope, self.steps.shape[1]), HASHED + NGRAMS)
+        grams = np.bincount(self.flat, np.repeat(slope / np.sqrt(np.maximum(self.sizes, 1)), self.sizes), HASHED + NGRAMS)
+        steps[0] = slope.sum()
+        return steps + grams
+
+
+def probability(logits: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+
+
 def estimate_accuracies(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation on vote patterns.
 
@@ -160,16 +206,12 @@ def estimate_accuracies(codes: np.ndarray, counts: np.ndarray, rounds: int = 200
     return posterior[:, 0], table, prior
 
 
-def fit(numbers: np.ndarray, labels: np.ndarray, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
-    """Weights (weight 0: bias) of a logistic scorer for soft labels, by Adam."""
-    w, m, v = np.zeros(HASHED), np.zeros(HASHED), np.zeros(HASHED)
-    x, n = np.where(numbers > 0, numbers, HASHED), max(1, len(numbers))
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.append(w, 0)[x].sum(1) + w[0], -30, 30)))
-        slope = (p - labels) / n
-        g = np.bincount(x.ravel(), np.repeat(slope, x.shape[1]), HASHED + 1)[:HASHED].astype(np.float64)
-        g[0] = slope.sum()
-        g += decay * w
+def fit(batches: list[Described], labels: list[np.ndarray], steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer for soft labels, by Adam over the batches in turn."""
+    w, m, v = (np.zeros(HASHED + NGRAMS) for _ in range(3))
+    for t in range(1, steps + 1 if batches else 1):
+        some, wanted = batches[t % len(batches)], labels[t % len(batches)]
+        g = some.slopes((probability(some.logits(w)) - wanted) / max(1, len(wanted))) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return w
@@ -182,82 +224,105 @@ class QualityModel:
     accuracy: np.ndarray  #: probability of votes [labeller, class, vote]
     prior: np.ndarray  #: share of each class
 
-    def score(self, numbers: np.ndarray) -> np.ndarray:
-        """Probability that documents with these features are good."""
-        weights = self.weights.copy()
-        bias, weights[0] = weights[0], 0
-        return 1 / (1 + np.exp(-np.clip(weights[numbers].sum(1) + bias, -30, 30)))
+    def score(self, texts: list[str]) -> np.ndarray:
+        """Probability that documents of these texts are good."""
+        return probability(Described.of(texts).logits(self.weights))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """doc_id, row (hash of the text), votes (pattern code), features (array of int)."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, row (hash of the text), text (null: empty)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text"))
+
+
+def voted(docs: DataFrame) -> DataFrame:
+    """doc_id, row, votes (pattern code) of every document."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.column(2).to_pylist()
-            codes, numbers = [np.zeros(0, np.int64)], []
-            for a, b in blocks(rows):
-                s, shapes = profiles(rows[a:b])
-                codes.append(votes(s) @ _POWERS)
-                numbers += [x[x > 0] for x in features(s, shapes)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(codes)), pa.array(numbers, pa.list_(pa.int32()))], ["doc_id", "row", "votes", "features"])
+            codes = [votes(profiles(rows[a:b])[0]) @ _POWERS for a, b in blocks(rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate([np.zeros(0, np.int64), *codes]))], ["doc_id", "row", "votes"])
 
-    text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("row"), text.alias("text")).mapInArrow(run, "doc_id long, row long, votes long, features array<int>")
+    return keyed(docs).mapInArrow(run, "doc_id long, row long, votes long")
 
 
-def _padded(lists: list) -> np.ndarray:
-    out = np.zeros((len(lists), max([1, *map(len, lists)])), np.int32)
-    for k, x in enumerate(lists):
-        out[k, : len(x)] = x
-    return out
+def _sampled(docs: DataFrame, n: float, sample: int) -> list[tuple]:
+    """(votes, steps, words and pairs) of the ``sample`` documents of the least hashes.  A
+    bound that 1.5 times as many of the n documents stay under keeps tasks from sending
+    more than that in all."""
+    small_batches(docs.sparkSession)
+    order = F.xxhash64("doc_id", "row")
+    bound = min(1.0, 1.5 * sample / max(1.0, n))
+    near = keyed(docs).where(order <= F.lit(int(-(2**63) + bound * (2**64 - 1025)))).select(order.alias("place"), "row", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(2).to_pylist()
+            codes, steps, grams = [np.zeros(0, np.int64)], [], []
+            for a, b in blocks(rows):
+                words = words_of(rows[a:b])
+                s, shapes = profiles(rows[a:b], words)
+                codes.append(votes(s) @ _POWERS)
+                steps += [x.astype("<i4").tobytes() for x in features(s, shapes)]
+                grams += [x.astype("<i4").tobytes() for x in ngrams(words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(codes)), pa.array(steps, pa.binary()), pa.array(grams, pa.binary())], ["place", "row", "votes", "steps", "grams"])
+
+    found = near.mapInArrow(run, "place long, row long, votes long, steps binary, grams binary")
+    return [(r.votes, np.frombuffer(r.steps, "<i4"), np.frombuffer(r.grams, "<i4")) for r in found.orderBy("place", "row").limit(sample).collect()]
 
 
-def train(facts: DataFrame, sample: int = SAMPLE) -> QualityModel:
-    """Model from ``described`` documents: vote patterns of all of them (at most
+def train(docs: DataFrame, facts: DataFrame, sample: int = SAMPLE, batch: int = 2000) -> QualityModel:
+    """Model from documents and their ``voted`` patterns: patterns of all of them (at most
     3 ** LABELLERS rows reach the driver), features of ``sample`` of them."""
     patterns = facts.groupBy("votes").count().orderBy("votes").collect()
     codes, counts = np.array([r.votes for r in patterns], np.int64), np.array([r["count"] for r in patterns], np.float64)
     posterior, table, prior = estimate_accuracies(codes, counts)
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    # the sample is of the least hashes; a bound that 1.5 times as many documents stay
-    # under keeps tasks from sending more than that in all
-    order = F.xxhash64("doc_id", "row")
-    bound = min(1.0, 1.5 * sample / max(1.0, counts.sum()))
-    near = facts.where(order <= F.lit(int(-(2**63) + bound * (2**64 - 1025))))
-    some = near.orderBy(order, "row").limit(sample).select("votes", "features").collect()
-    weights = fit(_padded([r.features for r in some]), np.array([of[r.votes] for r in some]))
-    return QualityModel(weights, of, table, prior)
+    rows = _sampled(docs, counts.sum(), sample)
+    batches, labels = [], []
+    for k in range(0, len(rows), batch):
+        code, steps, grams = zip(*rows[k : k + batch], strict=True)
+        batches.append(Described(np.stack(steps), np.concatenate(grams), np.fromiter(map(len, grams), np.int64, len(grams))))
+        labels.append(np.array([of[c] for c in code]))
+    return QualityModel(fit(batches, labels), of, table, prior)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """Per row of ``docs``: doc_id, weak_label (posterior of good), score, keep (score >=
     least).  Null text is empty: no labeller votes and only the bias and the length
     speak.  Rows map one to one: repeated rows and null doc_ids stay; further columns
-    are dropped; an empty table stays empty.
+    are dropped; an empty table stays empty.  Texts are read twice, to train and to
+    score; memory grows with the longest text only.
     """
-    facts = written(described(docs))
-    model = train(facts, sample)
+    model = train(docs, written(voted(docs)), sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(_padded(batch.column(2).to_pylist()))
-            weak = [model.posterior[v] for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weak, pa.float64()), pa.array(score), pa.array(score >= least)], ["doc_id", "weak_label", "score", "keep"])
+            rows = batch.column(2).to_pylist()
+            weak, score = [np.zeros(0)], [np.zeros(0)]
+            for a, b in blocks(rows):
+                words = words_of(rows[a:b])
+                s, shapes = profiles(rows[a:b], words)
+                grams = ngrams(words)
+                some = Described(features(s, shapes), np.concatenate([np.zeros(0, np.int32), *grams]), np.fromiter(map(len, grams), np.int64, len(grams)))
+                weak.append(np.array([model.posterior[v] for v in (votes(s) @ _POWERS).tolist()]))
+                score.append(probability(some.logits(model.weights)))
+            found = np.concatenate(score)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(weak)), pa.array(found), pa.array(found >= least)], ["doc_id", "weak_label", "score", "keep"])
 
-    return facts.select("doc_id", "votes", "features").mapInArrow(run, "doc_id long, weak_label double, score double, keep boolean")
+    return keyed(docs).mapInArrow(run, "doc_id long, weak_label double, score double, keep boolean")
 
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns.  Texts
     are read twice, to train and to score, rather than shuffled for a join."""
-    model = train(written(described(docs)), sample)
+    model = train(docs, written(voted(docs)), sample)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         rows = texts.tolist()
-        scores = [model.score(features(*profiles(rows[a:b]))) for a, b in blocks(rows)]
-        return pd.Series(np.concatenate([np.zeros(0), *scores]) >= least)
+        return pd.Series(np.concatenate([np.zeros(0), *(model.score(rows[a:b]) for a, b in blocks(rows))]) >= least)
 
     return docs.where(good(F.coalesce("text", F.lit(""))))

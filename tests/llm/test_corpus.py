@@ -322,3 +322,48 @@ def test_trees_are_opened_best_first():
         every = sorted((-int(queries[q] @ p), i) for i, p in enumerate(points) if i != 400 * q)[:5]
         assert sorted(zip((-scores[r == q]).tolist(), ids[r == q].tolist(), strict=True)) == every
     assert tree.read < 20 * len(tree.bounds) / 2
+
+
+def test_expectation_maximisation_against_plain_loops():
+    """Posteriors and vote probabilities of a small table of patterns, by loops."""
+    rng = np.random.default_rng(6)
+    codes = np.unique(rng.integers(0, 3**quality.LABELLERS, 60))
+    counts = rng.integers(1, 50, len(codes)).astype(float)
+    posterior, table, prior = quality.estimate_accuracies(codes, counts, rounds=15)
+    votes = [[int(c) // 3**k % 3 for k in range(quality.LABELLERS)] for c in codes]
+    classes = max(quality.FAULTS.tolist()) + 1
+    p = []
+    for v in votes:
+        first = quality.FAULTS[v.index(1)] if 1 in v else 0
+        row = [0.9 if c == first else 0.02 for c in range(classes)]
+        p.append([x / sum(row) for x in row])
+    for _ in range(15):
+        share = [(sum(n * x[c] for n, x in zip(counts, p, strict=True)) + 1) / (sum(counts) + classes) for c in range(classes)]
+        good = {}
+        for k in range(quality.LABELLERS):
+            for c in range(classes):
+                weight = [1 + sum(n * x[c] for n, x, v in zip(counts, p, votes, strict=True) if v[k] == vote) for vote in (1, 2)]
+                good[k, c] = [1, weight[0] / sum(weight), weight[1] / sum(weight)]
+        p = []
+        for v in votes:
+            row = [share[c] * np.prod([good[k, c][v[k]] for k in range(quality.LABELLERS)]) for c in range(classes)]
+            p.append([x / sum(row) for x in row])
+    assert np.allclose(posterior, [x[0] for x in p], atol=1e-9) and np.allclose(prior, share, atol=1e-9)
+    assert all(np.allclose(table[k, c], good[k, c]) for k in range(quality.LABELLERS) for c in range(classes))
+
+
+def test_scorer_learns_words():
+    """Texts alike in every statistic are told apart by their words; slopes are right."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(("mild", "calm") if k % 2 else ("wild", "harm")) for _ in range(30)) for k in range(400)]
+    labels = np.array([k % 2 for k in range(400)], float)
+    weights = quality.fit([quality.Described.of(texts[:300])], [labels[:300]], steps=60)
+    score = quality.probability(quality.Described.of(texts[300:]).logits(weights))
+    assert ((score > 0.5) == (labels[300:] > 0.5)).all()
+    some, w = quality.Described.of(texts[:5]), np.random.default_rng(1).normal(size=quality.HASHED + quality.NGRAMS)
+    at = [0, int(some.flat[3]), int(some.steps[1].max())]
+    slope = some.slopes(np.ones(5))
+    for i in at:
+        more = w.copy()
+        more[i] += 1e-4
+        assert np.isclose((some.logits(more).sum() - some.logits(w).sum()) / 1e-4, slope[i], rtol=1e-4)
