@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,6 +148,3 @@ def audit(pages: DataFrame, suspect: str) -> DataFrame:
     issues = F.array_compact(F.array(*blank, F.when(F.col("tags").rlike(suspect), F.lit("suspect tag"))))
     return pages.select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
-
-def union_of(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

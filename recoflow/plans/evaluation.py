@@ -3,6 +3,8 @@ E7, E8, E18, F2, J, K, L)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,19 +13,9 @@ from recoflow.operators import documents as docs_ops
 from recoflow.operators import evaluate, filters, interactions, ranking, vectors
 from recoflow.plans import duck as D
 from recoflow.plans import pipelines
-from recoflow.plans.fixtures import cte, frame, table
+from recoflow.plans.fixtures import LABELLED, cte, frame, table
 from recoflow.plans.registry import query
-from recoflow.plans.retrieval import POOL_SQL, SCORED, TOP, facts, item_vectors, pool, scored
-
-LABELLED = cte("users", "reviews", "stats") + """, lab AS (SELECT user_id, item_id, CAST(max(CASE WHEN rating > coalesce(bayesian_avg, 3.5) + 0.25 THEN 1 ELSE 0 END) AS INT) AS label
-  FROM reviews LEFT JOIN stats USING (item_id) WHERE user_id IN (SELECT user_id FROM users) AND regexp_full_match(user_id, '[a-z0-9]+')
-  AND (rating > coalesce(bayesian_avg, 3.5) + 0.25 OR rating < coalesce(bayesian_avg, 3.5) - 0.25) GROUP BY 1, 2),
-  u2 AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS nu FROM lab), i2 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS ni FROM u2 WHERE nu >= 2),
-  inter AS (SELECT user_id, item_id, label FROM i2 WHERE ni >= 2),
-  sp0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY md5('42|' || user_id || '|' || item_id), item_id) AS place, count(*) OVER (PARTITION BY user_id, label) AS n FROM inter),
-  sp1 AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE greatest(1, round_even(n * 0.1, 0)) END AS nt, CASE WHEN n < 3 THEN 0 WHEN n < 4 THEN 1 ELSE greatest(1, round_even(n * 0.1, 0)) END AS nv FROM sp0),
-  parts AS (SELECT user_id, item_id, label, CASE WHEN label = 0 THEN 'train' WHEN place <= nt THEN 'test' WHEN place <= nt + nv AND place < n THEN 'val' ELSE 'train' END AS split FROM sp1)"""
-
+from recoflow.plans.retrieval import POLICY_RULES, POOL_SQL, SCORED, TOP, facts, item_vectors, pairs, pool, scored, with_scores
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     return interactions.split(inter(spark, sf))
@@ -131,7 +123,7 @@ def j02(spark, sf):
     return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("relevance"), 3).alias("total"))
 
 
-_J03_SEEDS = "(SELECT user_id, item_id FROM inter WHERE label = 1 AND item_id < 100)"
+_J03_SEEDS = "(SELECT user_id, item_id FROM inter WHERE label = 1)"
 
 
 @query("j03_reviewer_mode", f"{LABELLED}{_ITEMS}, {cte('plays').removeprefix('WITH ')}, {_mode_sql(_MEAN_SQL.format(key='user_id', seeds=_J03_SEEDS, tags='[]::VARCHAR[]'), 'SELECT user_id AS query_id, item_id FROM reviews UNION SELECT user_id, item_id FROM plays')} SELECT query_id, count(*) AS n, round(sum(relevance), 3) AS total FROM ranks WHERE rank <= 500 GROUP BY 1")
@@ -189,7 +181,7 @@ def j08(spark, sf):
     return page.select("query_id", "rank", "item_id", "title", "author", "year", "n_results")
 
 
-@query("j09_refilter", f"{SCORED}, {TOP}, top AS (SELECT * FROM ranked WHERE rank <= 40) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM top JOIN facts USING (item_id) WHERE year >= 1995")
+@query("j09_refilter", f"{SCORED}, {TOP} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked JOIN facts USING (item_id) WHERE year >= 1995")
 def j09(spark, sf):
     """A stored pool filtered anew, without scoring."""
     from recoflow.sources import tables as src
@@ -202,7 +194,7 @@ def j09(spark, sf):
 
 # --- K: evaluation --------------------------------------------------------------------------
 
-TRUTH = "truth AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id AND b.vec_id % 5 = 0)"
+TRUTH = "truth AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)"
 
 
 def classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -245,10 +237,10 @@ def k02(spark, sf):
     return _round(evaluate.query_metrics(ranking.ranked(judged(spark, sf), F.desc("score")), None, (10,), relevant=relevant(spark, sf)), "query_id")
 
 
-_K03 = f"""{LABELLED}, truth AS (SELECT user_id AS query_id, item_id FROM parts WHERE split = 'test'),
-  pop AS (SELECT item_id, count(*) AS n FROM parts WHERE split = 'train' AND label = 1 GROUP BY 1),
-  preds AS (SELECT q.query_id, pop.item_id, n FROM (SELECT DISTINCT query_id FROM truth) q, pop WHERE NOT EXISTS (SELECT 1 FROM parts p WHERE p.user_id = q.query_id AND p.item_id = pop.item_id AND p.split <> 'test')),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, item_id) AS rank FROM preds), {metrics_sql('rk', (10, 20))}"""
+_K03_SEEDS = "(SELECT user_id, item_id FROM parts WHERE split = 'train' AND label = 1 AND user_id IN (SELECT query_id FROM truth))"
+_K03 = f"""{LABELLED}{_ITEMS}, truth AS (SELECT user_id AS query_id, item_id FROM parts WHERE split = 'test'),
+  {_mode_sql(_MEAN_SQL.format(key='user_id', seeds=_K03_SEEDS, tags='[]::VARCHAR[]'), "SELECT user_id AS query_id, item_id FROM parts WHERE split <> 'test'")},
+  rk AS (SELECT * FROM ranks WHERE rank <= 500), {metrics_sql('rk', (10, 20))}"""
 
 
 @query("k03_offline_run", f"{_K03} SELECT count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(recall_20), 6) AS recall_20, round(avg(ndcg_20), 6) AS ndcg_20, round(avg(rr), 6) AS rr FROM met")
@@ -276,7 +268,16 @@ CAPS = (50, 100, 150, 200, 300, 500, 750, 1000, 1500, None)
 FLOORS = (0.25, 0.3, 0.35, 0.4, 0.45)
 
 
-@query("k05_cap_sweep", f"{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM scored), v AS (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([3, 5, 10, 20]) AS cap) WHERE pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')} SELECT cap::INT AS cap, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1")
+_K05 = f"""{POOL_SQL}, {TRUTH}, pp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pre FROM pool),
+  lv AS (SELECT *, CASE WHEN shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END THEN 0 WHEN shared >= 1 THEN 1 ELSE 2 END AS level FROM pp),
+  b AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM lv),
+  kp AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS post FROM b WHERE level <= best),
+  cp AS (SELECT unnest([50, 100, 150, 200, 300, 500, 750, 1000, 1500, NULL]) AS cap),
+  v0 AS (SELECT query_id, item_id, score, cap, 'pre' AS cap_order FROM kp, cp WHERE cap IS NULL OR pre <= cap UNION ALL SELECT query_id, item_id, score, cap, 'post' FROM kp, cp WHERE cap IS NULL OR post <= cap),
+  v AS (SELECT *, row_number() OVER (PARTITION BY query_id, cap, cap_order ORDER BY score DESC, item_id) AS rank FROM v0), {metrics_sql('v', (10,), 'query_id, cap, cap_order')}"""
+
+
+@query("k05_cap_sweep", f"{_K05} SELECT cap::INT AS cap, cap_order, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1, 2")
 def k05(spark, sf):
     """Ten caps, the last of them none, before and after the tag prefilter (K5)."""
     placed = ranking.ranked(pool(spark, sf), F.desc("cos"), name="pre")
@@ -290,14 +291,22 @@ def k05(spark, sf):
     return _round(found, "cap", "cap_order", "n_queries")
 
 
-@query("k06_prefilter_sweep", f"{POOL_SQL}, v AS (SELECT fl.f AS floor, query_id, item_id, shared, row_number() OVER (PARTITION BY fl.f, query_id ORDER BY cos DESC, item_id) AS pos FROM pool, (SELECT unnest([0.25, 0.3, 0.35, 0.45]::DOUBLE[]) AS f) fl WHERE cos >= fl.f), lv AS (SELECT *, CASE WHEN shared >= 1 THEN 0 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM v), b AS (SELECT *, min(level) OVER (PARTITION BY floor, query_id) AS best FROM lv), n AS (SELECT floor, query_id, count(*) AS n FROM b WHERE level <= best GROUP BY 1, 2) SELECT floor, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90 FROM n GROUP BY 1")
+def _k06_sql(policy: str, rule: str) -> str:
+    return f"""SELECT '{policy}' AS policy, floor, query_id, count(*) AS n FROM (SELECT *, min(level) OVER (PARTITION BY floor, query_id) AS best FROM
+  (SELECT *, CASE WHEN {rule} THEN 0 WHEN shared >= 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM v)) WHERE level <= best GROUP BY 2, 3"""
+
+
+_K06 = f"{POOL_SQL}, v AS (SELECT pool.*, fl.f AS floor, row_number() OVER (PARTITION BY fl.f, query_id ORDER BY cos DESC, item_id) AS pos FROM pool, (SELECT unnest([0.25, 0.3, 0.35, 0.4, 0.45]::DOUBLE[]) AS f) fl WHERE cos >= fl.f), n AS ({' UNION ALL '.join(_k06_sql(*x) for x in POLICY_RULES.items())})"
+
+
+@query("k06_prefilter_sweep", f"{_K06} SELECT floor, policy, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.9), 6) AS p90 FROM n GROUP BY 1, 2")
 def k06(spark, sf):
     """Pool sizes by cosine floor and prefilter policy."""
     from recoflow.operators.facets import distribution
 
     variants = pool(spark, sf).withColumn("floor", F.explode(F.array(*[F.lit(x) for x in FLOORS]))).where(F.col("cos") >= F.col("floor"))
     variants = variants.withColumn("query_id", F.struct("floor", "query_id"))
-    n = evaluate.union_of([filters.prefiltered_by(variants, p).groupBy("query_id").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in filters.POLICIES])
+    n = reduce(DataFrame.unionByName, [filters.prefiltered_by(variants, p).groupBy("query_id").agg(F.count("*").alias("n")).withColumn("policy", F.lit(p)) for p in filters.POLICIES])
     found = distribution(n.select(F.col("query_id.floor").alias("floor"), "policy", "n"), "n", "floor", "policy")
     return _round(found.select("floor", "policy", "mean", "p90"), "floor", "policy")
 
@@ -335,7 +344,7 @@ _DELTA = f"{SCORED}, {TOP}, bycos AS (SELECT query_id, item_id, row_number() OVE
 _M1, _M2 = metrics_sql("ranked", (10,)), metrics_sql("bycos", (10,)).replace("nrel", "nrel2").replace("hit", "hit2").replace("met ", "met2 ")
 
 
-@query("k09_k10_bootstrap", f"{_DELTA}, {_M1}, {_M2}, {_bootstrap_sql('SELECT query_id, met.ndcg_10 - met2.ndcg_10 AS delta FROM met JOIN met2 USING (query_id)', 200)} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM sz, en")
+@query("k09_k10_bootstrap", f"{_DELTA}, {_M1}, {_M2}, {_bootstrap_sql('SELECT query_id, met.ndcg_10 - met2.ndcg_10 AS delta FROM met JOIN met2 USING (query_id)', 2000)} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM sz, en")
 def k09(spark, sf):
     """Two scorers on the same pools: paired NDCG change with its interval."""
     s, n = judged(spark, sf), relevant(spark, sf)
@@ -363,11 +372,11 @@ def k11(spark, sf):
 
 @query("k12_equivalence", "SELECT 0::BIGINT AS n_differences")
 def k12(spark, sf):
-    """A capped run equals the subset of the full run."""
-    s = scored(spark, sf)
-    full = ranking.ranked(ranking.ranked(s, F.desc("cos"), name="pos").where(F.col("pos") <= 8), F.desc("score"))
-    capped = ranking.ranked(ranking.ranked(s, F.desc("cos"), most=8, name="pos"), F.desc("score"))
-    both = [x.select("query_id", "item_id", "rank") for x in (full, capped)]
+    """A run that scores only the eight nearest of each query equals the subset of the run
+    that scores all (K12): one caps before scores and ratings are joined, one after."""
+    full = ranking.ranked(ranking.ranked(scored(spark, sf), F.desc("cos"), name="pos").where(F.col("pos") <= 8), F.desc("score"))
+    near = ranking.ranked(pairs(spark, sf).withColumn("near", F.round("cos", 6)), F.desc("near"), most=8, name="pos").drop("near")
+    both = [x.select("query_id", "item_id", "rank") for x in (full, ranking.ranked(with_scores(spark, sf, near), F.desc("score")))]
     return evaluate.differences(*both).agg(F.count("*").alias("n_differences"))
 
 

@@ -231,7 +231,7 @@ def e17(spark, sf):
     return found.select("l_returnflag", *[F.round(c, 4).alias(c) for c in ("mean", "p50", "p90", "p99")], "max")
 
 
-@query("e19_corpus_facets", f"{ITEMS}, g AS (SELECT unnest({D.distinct(D.split('genre'))}) AS value FROM items), s AS (SELECT unnest({D.distinct(D.split('system'))}) AS value FROM items), a AS (SELECT unnest({D.AUTHORS}) AS value FROM items) SELECT 'genre' AS facet, value, count(*) AS n FROM g GROUP BY value UNION ALL SELECT 'system', value, count(*) FROM s GROUP BY value UNION ALL SELECT 'author', value, count(*) FROM a GROUP BY value")
+@query("e19_corpus_facets", f"{ITEMS}, g AS (SELECT unnest({D.distinct(D.split('genre'))}) AS value FROM items), s AS (SELECT unnest({D.distinct(D.split('system'))}) AS value FROM items), a AS (SELECT unnest({D.AUTHORS}) AS value FROM items), t AS (SELECT unnest({D.distinct(D.split('tags', ','))}) AS value FROM items) SELECT 'genre' AS facet, value, count(*) AS n FROM g GROUP BY value UNION ALL SELECT 'system', value, count(*) FROM s GROUP BY value UNION ALL SELECT 'author', value, count(*) FROM a GROUP BY value UNION ALL SELECT 'tags', value, count(*) FROM t GROUP BY value")
 def e19(spark, sf):
     everything = frame(spark, sf, "items").withColumn("query_id", F.lit(0))
     return facets.facet_counts(everything, ("genre", "system", "author", "tags")).drop("query_id")

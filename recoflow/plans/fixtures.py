@@ -7,7 +7,6 @@ table.  ``frame`` runs one in Spark; ``cte`` gives it as a common table expressi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "conversations")
 
@@ -34,7 +33,7 @@ STATEMENTS = {
     "users": "SELECT concat('u', c_custkey) AS user_id, c_name AS name FROM {customer} WHERE c_custkey % 7 <> 0",
     "plays": """
         SELECT DISTINCT concat('u', o_custkey) AS user_id, l_partkey % 100 AS item_id
-        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND o_custkey < 150""",
+        FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O'""",
     # Means of known ratings, and the mean drawn to 3.5 with the weight of 5
     "stats": """
         SELECT item_id, count(rating) AS review_count, {round2}(avg(rating)) AS avg_rating,
@@ -72,6 +71,17 @@ def _half_even(text: str) -> str:
     return f"{text[:at]}round_even({text[at + 7 : end]}, 2){text[end + 1 :]}"
 
 
+#: Labelled interactions (inter) and their split (parts).
+LABELLED = cte("users", "reviews", "stats") + """, lab AS (SELECT user_id, item_id, CAST(max(CASE WHEN rating > coalesce(bayesian_avg, 3.5) + 0.25 THEN 1 ELSE 0 END) AS INT) AS label
+  FROM reviews LEFT JOIN stats USING (item_id) WHERE user_id IN (SELECT user_id FROM users) AND regexp_full_match(user_id, '[a-z0-9]+')
+  AND (rating > coalesce(bayesian_avg, 3.5) + 0.25 OR rating < coalesce(bayesian_avg, 3.5) - 0.25) GROUP BY 1, 2),
+  u2 AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS nu FROM lab), i2 AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS ni FROM u2 WHERE nu >= 2),
+  inter AS (SELECT user_id, item_id, label FROM i2 WHERE ni >= 2),
+  sp0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, label ORDER BY md5('42|' || user_id || '|' || item_id), item_id) AS place, count(*) OVER (PARTITION BY user_id, label) AS n FROM inter),
+  sp1 AS (SELECT *, CASE WHEN n < 2 THEN 0 WHEN n < 4 THEN 1 ELSE greatest(1, round_even(n * 0.1, 0)) END AS nt, CASE WHEN n < 3 THEN 0 WHEN n < 4 THEN 1 ELSE greatest(1, round_even(n * 0.1, 0)) END AS nv FROM sp0),
+  parts AS (SELECT user_id, item_id, label, CASE WHEN label = 0 THEN 'train' WHEN place <= nt THEN 'test' WHEN place <= nt + nv AND place < n THEN 'val' ELSE 'train' END AS split FROM sp1)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -82,9 +92,6 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         from recoflow.operators.documents import rating_stats
 
         return rating_stats(frame(spark, sf_dir, "reviews"))
-    if name == "plays":  # all open orders; the statement has only customers below 150
-        bought = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-        return bought.select(F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("user_id"), (F.col("l_partkey") % 100).alias("item_id")).distinct()
     text = STATEMENTS[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
     for need in NEEDS.get(name, ()):

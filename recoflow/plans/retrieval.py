@@ -9,7 +9,7 @@ from recoflow.functions import text as T
 from recoflow.operators import documents as docs_ops
 from recoflow.operators import facets, filters, interactions, ranking, vectors
 from recoflow.plans import duck as D
-from recoflow.plans.fixtures import cte, frame, table
+from recoflow.plans.fixtures import LABELLED, cte, frame, table
 from recoflow.plans.registry import query
 from recoflow.sources import tables as src
 
@@ -37,8 +37,12 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Item-to-item candidates with relevance by a fixed scorer and the blended score."""
+    return with_scores(spark, sf, pairs(spark, sf))
+
+
+def with_scores(spark: SparkSession, sf: str, near: DataFrame) -> DataFrame:
     relevance = F.round(ranking.sigmoid(4 * F.col("cos") - 1), 6)
-    known = pairs(spark, sf).withColumn("relevance", relevance).withColumn("cos", F.round("cos", 6)).join(frame(spark, sf, "stats"), "item_id", "left")
+    known = near.withColumn("relevance", relevance).withColumn("cos", F.round("cos", 6)).join(frame(spark, sf, "stats"), "item_id", "left")
     return known.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg")), 7))
 
 
@@ -148,10 +152,10 @@ def c17(spark, sf):
     return filters.tag_prefilter(pool(spark, sf)).select("query_id", "item_id")
 
 
-_RULES = {"tags1": "shared >= 1", "tags1_system": "shared >= 1 AND shared_systems >= 1", "tags2of3": "shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END", "tags2of3_system": "shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END AND shared_systems >= 1", "tags2": "shared >= 2"}
+POLICY_RULES = {"tags1": "shared >= 1", "tags1_system": "shared >= 1 AND shared_systems >= 1", "tags2of3": "shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END", "tags2of3_system": "shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END AND shared_systems >= 1", "tags2": "shared >= 2"}
 
 
-@query("c18_prefilter_policies", f"{POOL_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM pool)" + "".join(f", l_{p} AS (SELECT query_id, item_id, CASE WHEN {r} THEN 0 WHEN shared >= 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM f), k_{p} AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM l_{p})" for p, r in _RULES.items()) + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, query_id, count(*) AS n FROM k_{p} WHERE level <= best GROUP BY query_id" for p in _RULES))
+@query("c18_prefilter_policies", f"{POOL_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM pool)" + "".join(f", l_{p} AS (SELECT query_id, item_id, CASE WHEN {r} THEN 0 WHEN shared >= 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 3 END AS level FROM f), k_{p} AS (SELECT *, min(level) OVER (PARTITION BY query_id) AS best FROM l_{p})" for p, r in POLICY_RULES.items()) + " " + " UNION ALL ".join(f"SELECT '{p}' AS policy, query_id, count(*) AS n FROM k_{p} WHERE level <= best GROUP BY query_id" for p in POLICY_RULES))
 def c18(spark, sf):
     p = pool(spark, sf)
     out = None
@@ -192,7 +196,7 @@ def c23(spark, sf):
 # --- D, H: joins and sets -----------------------------------------------------------
 
 
-@query("d04_h02_liked", f"{cte('users', 'reviews')} SELECT DISTINCT user_id, item_id FROM reviews WHERE rating >= 4 AND user_id IN (SELECT user_id FROM users) UNION SELECT user_id, item_id FROM reviews WHERE rating = 1 AND item_id < 3")
+@query("d04_h02_liked", f"{LABELLED} SELECT user_id, item_id FROM inter WHERE label = 1 UNION SELECT user_id, item_id FROM reviews WHERE rating >= 4 AND user_id IN (SELECT user_id FROM users)")
 def d04(spark, sf):
     """All labelled positives and all high ratings."""
     reviews, users = frame(spark, sf, "reviews"), frame(spark, sf, "users")
@@ -254,7 +258,7 @@ def h04(spark, sf):
     return found.select("query_id", F.round("overlap", 6).alias("overlap"))
 
 
-@query("h06_vibe_keys", f"{cte('items')}, {D.FACTS}, tn AS (SELECT v AS value, row_number() OVER (ORDER BY count(*) DESC, v) AS place FROM (SELECT unnest(tags_l) AS v FROM facts) GROUP BY v), sn AS (SELECT v AS value, row_number() OVER (ORDER BY count(*) DESC, v) AS place FROM (SELECT unnest(systems_l) AS v FROM facts) GROUP BY v), t AS (SELECT value, place FROM tn WHERE place <= 6), s AS (SELECT value FROM sn WHERE place <= 3), k AS (SELECT value AS tags FROM t UNION ALL SELECT a.value || ', ' || b.value FROM t a JOIN t b ON a.place < b.place) SELECT DISTINCT 'Systems: ' || s.value || '. Tags: ' || k.tags AS key FROM s, k")
+@query("h06_vibe_keys", f"{cte('items')}, {D.FACTS}, tn AS (SELECT v AS value, row_number() OVER (ORDER BY count(*) DESC, v) AS place FROM (SELECT unnest(tags_l) AS v FROM facts) GROUP BY v), sn AS (SELECT v AS value, row_number() OVER (ORDER BY count(*) DESC, v) AS place FROM (SELECT unnest(systems_l) AS v FROM facts) GROUP BY v), t AS (SELECT value, place FROM tn WHERE place <= 20), s AS (SELECT value FROM sn WHERE place <= 5), k AS (SELECT value AS tags FROM t UNION ALL SELECT a.value || ', ' || b.value FROM t a JOIN t b ON a.place < b.place) SELECT DISTINCT 'Systems: ' || s.value || '. Tags: ' || k.tags AS key FROM s, k")
 def h06(spark, sf):
     from recoflow.plans.pipelines import vibe_keys
 
@@ -275,7 +279,7 @@ def _authored(spark, sf, one: bool):
     return ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").join(names, "item_id")
 
 
-_AUTHORED = f"{SCORED}, {TOP}, au AS (SELECT query_id, item_id, rank, authors_l[1] AS a, row_number() OVER (PARTITION BY query_id, authors_l[1] ORDER BY rank) AS nth FROM ranked JOIN facts USING (item_id) WHERE rank <= 60)"
+_AUTHORED = f"{SCORED}, {TOP}, au AS (SELECT query_id, item_id, rank, authors_l[1] AS a, row_number() OVER (PARTITION BY query_id, authors_l[1] ORDER BY rank) AS nth FROM ranked JOIN facts USING (item_id))"
 
 
 @query("f03_author_cap", f"{_AUTHORED} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM au WHERE nth <= 1")
@@ -301,7 +305,7 @@ def f03_many(spark, sf):
     return ranking.capped(_authored(spark, sf, False), most=2, page=25)
 
 
-_COVER = f"{SCORED}, {TOP}, v AS (SELECT query_id, item_id, rank, genres_l[1] AS g FROM ranked JOIN facts USING (item_id) WHERE rank <= 40), tg AS (SELECT DISTINCT genres_l[1] AS g FROM facts), ms AS (SELECT q.query_id, tg.g FROM (SELECT DISTINCT query_id FROM v) q, tg WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.query_id = q.query_id AND v.g = tg.g AND v.rank <= 8)), sw AS (SELECT v.query_id, v.g, min(v.rank) AS rank FROM v JOIN ms USING (query_id, g) WHERE v.rank > 8 GROUP BY 1, 2), n AS (SELECT query_id, count(*) AS n FROM sw GROUP BY 1), al AS (SELECT v.query_id, v.item_id, v.rank FROM v LEFT JOIN n USING (query_id) WHERE v.rank <= 8 - coalesce(n, 0) UNION ALL SELECT v.query_id, v.item_id, v.rank FROM v JOIN sw ON v.query_id = sw.query_id AND v.rank = sw.rank) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM al"
+_COVER = f"{SCORED}, {TOP}, v AS (SELECT query_id, item_id, rank, genres_l[1] AS g FROM ranked JOIN facts USING (item_id)), tg AS (SELECT DISTINCT genres_l[1] AS g FROM facts), ms AS (SELECT q.query_id, tg.g FROM (SELECT DISTINCT query_id FROM v) q, tg WHERE NOT EXISTS (SELECT 1 FROM v WHERE v.query_id = q.query_id AND v.g = tg.g AND v.rank <= 8)), sw AS (SELECT v.query_id, v.g, min(v.rank) AS rank FROM v JOIN ms USING (query_id, g) WHERE v.rank > 8 GROUP BY 1, 2), n AS (SELECT query_id, count(*) AS n FROM sw GROUP BY 1), al AS (SELECT v.query_id, v.item_id, v.rank FROM v LEFT JOIN n USING (query_id) WHERE v.rank <= 8 - coalesce(n, 0) UNION ALL SELECT v.query_id, v.item_id, v.rank FROM v JOIN sw ON v.query_id = sw.query_id AND v.rank = sw.rank) SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM al"
 
 
 @query("f06_coverage", _COVER)
@@ -379,7 +383,7 @@ def i03(spark, sf):
     return v.select("item_id", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 6).alias("l1"))
 
 
-@query("i04_seed_average", "WITH s AS (SELECT vec_id % 20 AS query_id, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings WHERE vec_id % 3 = 0), m AS (SELECT query_id, pos, avg(x) AS x FROM s GROUP BY 1, 2) SELECT query_id, round(sum(x * x) / sum(x * x), 6) AS length, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM m GROUP BY 1")
+@query("i04_seed_average", "WITH s AS (SELECT label::BIGINT AS query_id, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM embeddings), m AS (SELECT query_id, pos, avg(x) AS x FROM s GROUP BY 1, 2) SELECT query_id, round(sum(x * x) / sum(x * x), 6) AS length, round(max(x) / sqrt(sum(x * x)), 6) AS largest FROM m GROUP BY 1")
 def i04(spark, sf):
     """Mean vectors of all items by label; each label has an unknown seed too (I4)."""
     items = item_vectors(spark, sf)
