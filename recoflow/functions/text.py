@@ -37,8 +37,11 @@ LANGUAGE_NAMES = {
     "jbo": "Lojban", "tok": "Toki Pona", "toki pona": "Toki Pona",
 }
 LANGUAGE_NOISE = ("+", "users choice", "mis", "und", "zxx", "n/a", "none", "nan")
-BLOCK_END = r"(?i)<\s*br\s*/?\s*>|</\s*(p|div|li|h[1-6])\s*>"
-MARKUP = r"<[^>]+>"
+BLOCK_END = r"(?i)<\s*(br|/p|/div|/li|/h[1-6])\s*/?>"
+MARKUP = r"<[^>]*>"
+#: Unicode white space and the information separators.
+WHITE = r"(?U)[\s\x1c-\x1f]+"
+EXCLUDED_AUTHORS = ("anonymous", "anonymous (first row software publishing inc.)", "failbetter games")
 PROFILE_SYSTEMS, PROFILE_TAGS = "Systems: ", "Tags: "
 
 
@@ -118,7 +121,7 @@ def description_text(c: str | Column, entities: bool = True) -> Column:
     plain = F.regexp_replace(F.regexp_replace(text_of(c), BLOCK_END, " "), MARKUP, "")
     if entities:
         plain = F.regexp_replace(_unescaped(plain), MARKUP, "")
-    return F.trim(F.regexp_replace(plain, r"\s+", " "))
+    return F.trim(F.regexp_replace(plain, WHITE, " "))
 
 
 def without_placeholders(c: str | Column) -> Column:

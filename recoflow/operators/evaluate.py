@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.sources.tables import numbered
+
 
 def judged(ranking: DataFrame, labels: DataFrame, key: str = "query_id") -> DataFrame:
     """Adds hit: 1 where the item is another of the query's label, else null.
@@ -89,14 +91,17 @@ def agreement(reference: DataFrame, other: DataFrame, k: int, key: str = "query_
 def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 7, *by: str) -> DataFrame:
     """Mean delta and its 2.5 and 97.5 percentiles over resampled queries (K9).
 
-    deltas: query_id, delta (and ``by``).  Each resample draws n queries by an md5 of
-    seed, resample and draw, so that results repeat.  Draws are grouped as they are
-    made: no list of resamples is ever held.
+    deltas: query_id (a number, where there is no ``by``), delta (and ``by``).  Each
+    resample draws n queries by an md5 of seed, resample and draw, so that results repeat.
+    Resamples are dealt to tasks and grouped as they are made: no list of them is held.
     """
-    order = Window.partitionBy(*by).orderBy("query_id")
-    indexed = deltas.withColumn("i", F.row_number().over(order) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*by)))
-    sizes = indexed.groupBy(*by).agg(F.max("n").alias("n"), F.avg("delta").alias("mean"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    if by:
+        indexed = deltas.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("query_id")) - 1)
+    else:
+        indexed = numbered(deltas, "query_id").withColumn("i", F.col("place") - 1)
+    sizes = indexed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
+    rounds = deltas.sparkSession.range(1, resamples + 1).withColumnRenamed("id", "b")
+    draws = rounds.crossJoin(sizes).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string")))
     draws = draws.withColumn("i", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n"))
     means = draws.join(indexed.select(*by, "i", "delta"), [*by, "i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))

@@ -136,6 +136,6 @@ def in_catalogue(candidates: DataFrame, items: DataFrame) -> DataFrame:
     return candidates.join(items.select("item_id"), "item_id", "left_semi")
 
 
-def without_names(df: DataFrame, column: str, names: tuple[str, ...] = ("anonymous", "various", "unknown")) -> DataFrame:
+def without_names(df: DataFrame, column: str, names: tuple[str, ...] = T.EXCLUDED_AUTHORS) -> DataFrame:
     """Catch-all names go."""
     return df.where(~F.lower(F.trim(T.text_of(column))).isin(*names))

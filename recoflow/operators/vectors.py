@@ -41,12 +41,13 @@ def _blocked(df: DataFrame, blocks: int, name: str) -> DataFrame:
     return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks)).cast("int"))
 
 
-def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
+def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """query_id, item_id, cos: the threshold join.
 
     queries: query_id, vector; items: item_id, vector.  Blocks of queries meet blocks
     of items in one matrix product a pair of blocks; only pairs at or above the floor
-    leave it, so memory is bounded whatever the sizes.
+    leave it, of these the ``most`` best a query and block, so memory is bounded whatever
+    the sizes.
     """
     q_blocks, i_blocks = max(1, -(-queries.count() // block)), max(1, -(-items.count() // block))
     q = _blocked(queries.select("query_id", F.col("vector").alias("q_vector")), q_blocks, "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
@@ -56,7 +57,14 @@ def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": a["query_id"][:0], "item_id": b["item_id"][:0], "cos": np.zeros(0)})
         product = np.stack(a["q_vector"].to_list()).astype(np.float64) @ np.stack(b["i_vector"].to_list()).astype(np.float64).T
-        r, c = np.nonzero(product >= floor)
+        keep = product >= floor
+        if most is not None and most < len(b):
+            ids = np.broadcast_to(b["item_id"].to_numpy(), product.shape)
+            first = np.lexsort((ids, -product), 1)[:, :most]
+            inside = np.zeros_like(keep)
+            np.put_along_axis(inside, first, True, 1)
+            keep &= inside
+        r, c = np.nonzero(keep)
         return pd.DataFrame({"query_id": a["query_id"].to_numpy()[r], "item_id": b["item_id"].to_numpy()[c], "cos": product[r, c]})
 
     kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, cos double"
@@ -64,9 +72,10 @@ def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """The k highest inner products of each query with rank, equals by id (G1)."""
+    """The k highest inner products of each query with rank, equals by id (G1); k of each
+    block leave its task."""
     order = Window.partitionBy("query_id").orderBy(F.desc("cos"), "item_id")
-    return above(queries, items, -np.inf, block).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    return above(queries, items, -np.inf, block, most=k).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
 def approximate(queries: DataFrame, items: DataFrame, floor: float, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:

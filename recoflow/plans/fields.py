@@ -91,7 +91,7 @@ def b09(spark, sf):
     return frame(spark, sf, "items").select("item_id", T.language_names("language").alias("languages"))
 
 
-@query("b10_descriptions", f"{ITEMS} SELECT item_id, trim(regexp_replace(regexp_replace(replace(description, '</p>', ' '), '<[^>]+>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM items")
+@query("b10_descriptions", f"{ITEMS} SELECT item_id, trim(regexp_replace(regexp_replace(replace(description, '</p>', ' '), '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM items")
 def b10(spark, sf):
     return frame(spark, sf, "items").select("item_id", T.description_text("description").alias("text"))
 

@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, or in tests without it a local one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    """A new folder under spark.checkpoint.dir; a local one only in local mode without
+    that setting, as on a cluster others would not see it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -97,17 +102,24 @@ RANKING = "key string, item_id long, score double, relevance double, rank long"
 
 def publish_ranking(rankings: DataFrame, path: str) -> None:
     """Write a ranking table beside its place, each key together and in rank order, and
-    move it there when whole (A9)."""
+    move it there when whole (A9).  What was there is moved aside first and deleted last;
+    if the move fails, it is put back."""
     spark = rankings.sparkSession
     beside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
     columns = [F.col(part.split()[0]).cast(part.split()[1]) for part in RANKING.split(", ")]
     rankings.select(*columns).repartition("key").sortWithinPartitions("key", "rank").write.parquet(beside)
     jvm = spark.sparkContext._jvm
-    source, target = jvm.org.apache.hadoop.fs.Path(beside), jvm.org.apache.hadoop.fs.Path(path)
+    source, target, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (beside, path, f"{beside}-old"))
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(target, True)
-    fs.rename(source, target)
+    replaces = fs.exists(target)
+    if replaces and not fs.rename(target, old):
+        raise OSError(f"{path} can't be moved aside")
+    if not fs.rename(source, target):
+        if replaces:
+            fs.rename(old, target)
+        raise OSError(f"{beside} can't be moved to {path}")
+    if replaces:
+        fs.delete(old, True)
 
 
 def stored_ranking(spark: SparkSession, path: str, excluded: DataFrame | None = None) -> DataFrame:

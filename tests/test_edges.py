@@ -113,3 +113,33 @@ def test_results_do_not_depend_on_partitions(spark):
     pairs = spark.createDataFrame(rows, "user_id string, item_id long, label int")
     results = {tuple(sorted(map(tuple, interactions.split(pairs.repartition(n)).collect()))) for n in (1, 4, 50)}
     assert len(results) == 1
+
+
+def test_description_patterns(spark):
+    assert one(spark, T.description_text("s"), s="a< /p>b</h2 />c<>d") == "a b cd"
+    assert one(spark, T.description_text("s"), s="a&nbsp; &nbsp;b\x1cc") == "a b c"
+
+
+def test_rankings_are_replaced_whole(spark, tmp_path):
+    from recoflow.sources import tables as src
+
+    path = f"file://{tmp_path}/ranks"
+    for n in (3, 5):
+        rows = spark.range(n).selectExpr("'k' AS key", "id AS item_id", "1.0d AS score", "0.5d AS relevance", "id + 1 AS rank")
+        src.publish_ranking(rows, path)
+        assert src.stored_ranking(spark, path).count() == n
+    assert [p.name for p in tmp_path.iterdir()] == ["ranks"]
+
+
+def test_nearest_of_small_blocks(spark):
+    import numpy as np
+
+    from recoflow.operators import vectors
+
+    v = np.random.default_rng(5).normal(size=(60, 4))
+    v[10:20] = v[0]
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item_id long, vector array<double>")
+    got = {(r.query_id, r["rank"]): r.item_id for r in vectors.nearest(items.withColumnRenamed("item_id", "query_id"), items, 4, block=7).collect()}
+    for q in range(60):
+        want = sorted(range(60), key=lambda i: (-round(float(v[q] @ v[i]), 9), i))[:4]
+        assert [got[q, r] for r in range(1, 5)] == want
