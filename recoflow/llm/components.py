@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import spread_join, written
+from recoflow.llm.common import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every vertex ties its larger neighbours to the smallest of its neighbourhood."""
-    both = written(edges.union(edges.select("v", "u")).toDF("u", "v"))
-    near = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    least = near.select("u", F.least("u", "m").alias("m"))
-    return spread_join(both, least, "u", "v", near.select("u", "n")).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    both = edges.union(edges.select("v", "u")).toDF("u", "v")
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -28,9 +27,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     are the smallest of their component, or have no link, are left out.
 
     links: u, v (long), in either order; loops and repetitions do not matter.  Each
-    round is written to the shared folder.  The edges of a hub are dealt to several
-    tasks (``spread_join``); a small star needs no such care, as after a large star a
-    vertex has few smaller neighbours.  Raises if ``rounds`` do not suffice, which takes
+    round is written to the shared folder; a hub is never gathered, as only minima are
+    grouped, and adaptive execution splits the join of its links.  Raises if ``rounds`` do not suffice, which takes
     more vertices than any table has: rounds grow with the logarithm of a component.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())

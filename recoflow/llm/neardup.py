@@ -11,18 +11,14 @@ too, and two registers agree with the probability of the Jaccard similarity.
 3. Candidates pass a size test and a collision-corrected estimate of the similarity
    (its margin is six standard deviations), then the exact test on full sets.
 4. Links give components by star contractions.  Groups whose members all lie in one
-   component are done.  In a contested group, one component has the most members; the
-   members of the others, if they are at most ``BLOCK``, meet all members of other
-   components, so a group makes at most BLOCK rows a member.
-5. Members of groups with more of them (pages of one template, say) are grouped anew by
-   the rarest shingles of their full sets.  No link is lost by that (see
-   ``by_rare_shingles``), and what all these pages share is not rare.  In contested
-   groups, ``BLOCK`` members a round meet the others, until none is left.
-
-So every pair that shares a band is compared, known to be connected or shown to be less
-alike, and each round makes rows in proportion to the members of its groups.  Keys, pivots
-and hubs that hold a noticeable share of all rows are dealt to many tasks (see
-``spread_join``).
+   component are done.  The members of the others are pooled (groups that share a
+   member go together), pools are cut into blocks, and each two blocks of a pool are
+   compared exactly by matrix products over their shared shingles; only links that
+   join components leave the task.  So every pair that shares a band is compared or
+   known to be connected.  A pool of P members makes P * P / BLOCK rows with full sets:
+   fine for the near copies that remain, but not for very many pages of one template.
+
+A band that a noticeable share of all classes has is dealt to many tasks (``spread_join``).
 """
 
 from __future__ import annotations
@@ -30,8 +26,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.llm.common import small_batches, spread_join, whole_row, written
@@ -40,9 +37,8 @@ from recoflow.llm.pieces import blocks
 from recoflow.llm.shingles import GOLDEN, mix, shingle_sets
 
 BANDS, ROWS = 40, 5
-#: Members of a group's minority that one round compares with the other members, and
-#: members that one task compares with them.
-BLOCK, PART = 64, 1024
+#: Classes in a block of a pool, and shingles in a slice of its incidence matrix.
+BLOCK, SLICE = 256, 4096
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 _EDGES = np.array([-(-(j << 64) // REGISTERS) for j in range(REGISTERS)], np.uint64)
@@ -148,14 +144,6 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "uid long, hashes array<long>")
 
 
-def _with_sets(known: DataFrame | None, docs: DataFrame, rows: DataFrame, uids: DataFrame, width: int) -> DataFrame:
-    """``known`` full sets and those of further ``uids``; a set is read once."""
-    new = uids if known is None else uids.join(known.select("uid"), "uid", "left_anti")
-    wanted = rows.select("uid", "doc_id", "row").join(new, "uid", "left_semi")
-    found = written(full_sets(docs, wanted, width).dropDuplicates(["uid"]))
-    return found if known is None else known.unionByName(found)
-
-
 def _similar_size(a: Column, b: Column, percent: int) -> Column:
     return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
 
@@ -164,9 +152,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose estimate allows the similarity asked for."""
     wanted = percent / 100
     least = wanted - 6 * (wanted * (1 - wanted) / REGISTERS) ** 0.5
-    total, counts = pairs.count(), {side: pairs.groupBy(side).agg(F.count("*").alias("n")) for side in ("u", "v")}
-    for side, other in (("u", "v"), ("v", "u")):
-        pairs = spread_join(pairs, classes.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side, other, counts[side], total)
+    for side in ("u", "v"):
+        pairs = pairs.join(classes.select(F.col("uid").alias(side), F.col("n").alias(f"n_{side}"), F.col("registers").alias(f"r_{side}")), side)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,61 +169,56 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) that the full sets confirm."""
-    counts = pairs.groupBy("u").agg(F.count("*").alias("n"))
-    both = spread_join(spread_join(pairs, sets.toDF("v", "s_v"), "v", "u"), sets.toDF("u", "s_u"), "u", "v", counts, pairs.count())
+    both = pairs.join(sets.toDF("v", "s_v"), "v").join(sets.toDF("u", "s_u"), "u")
     shared = F.size(F.array_intersect("s_u", "s_v"))
     either = F.size("s_u") + F.size("s_v") - shared
     return both.where(shared * 100 >= either * percent).select("u", "v")
 
 
-def contested(groups: DataFrame, stars: DataFrame) -> DataFrame:
-    """Members (key, uid, n, short) of groups that hold two components or more and a short
-    member, with label, size (members), asked (a member that pairs begin with) and askers
-    (their number).
-
-    A pair counts where its smaller set is short.  So each pair has a short member, and
-    one that is not of the component which most members have: the fewer of both ask.
-    """
-    labelled = written(groups.join(stars.toDF("uid", "label"), "uid", "left").select("key", "uid", "n", "short", F.coalesce("label", "uid").alias("label")))
-    per = labelled.groupBy("key", "label").agg(F.count("*").alias("c"), F.count_if("short").alias("s"))
-    facts = per.groupBy("key").agg(F.sum("c").alias("size"), F.max_by("label", F.struct("c", "label")).alias("most"), F.max("c").alias("c"), F.count("*").alias("labels"), F.sum("s").alias("shorts"))
-    facts = written(facts.where((F.col("labels") > 1) & (F.col("shorts") > 0)).select("key", "size", "most", (F.col("size") - F.col("c")).alias("minor"), "shorts"))
-    total = facts.agg(F.sum("size")).first()[0] or 0
-    left = spread_join(labelled, facts, "key", "uid", facts.select("key", F.col("size").alias("n")), total)
-    asked = F.when(F.col("shorts") < F.col("minor"), F.col("short")).otherwise(F.col("label") != F.col("most"))
-    return written(left.select("key", "uid", "n", "short", "label", "size", asked.alias("asked"), F.least("minor", "shorts").alias("askers")))
-
-
-def asked_pairs(left: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs (u, v) of the first BLOCK asking members of each group and all members of
-    other components, similar in size; these asking members)."""
-    first = F.row_number().over(Window.partitionBy("key").orderBy("uid")) <= BLOCK
-    some = left.where("asked").withColumn("_f", first).where("_f")
-    parts = F.ceil(F.col("size") / PART).cast("int")
-    a = some.select("key", F.col("uid").alias("u"), F.col("label").alias("label_u"), F.col("n").alias("n_u"), F.col("short").alias("short_u"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    b = left.select("key", F.col("uid").alias("v"), "label", "n", "short", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"))
-    smaller = F.when(F.col("n") < F.col("n_u"), F.col("short")).when(F.col("n") > F.col("n_u"), F.col("short_u")).otherwise(F.col("short") | F.col("short_u"))
-    met = a.join(b, ["key", "part"]).where((F.col("label") != F.col("label_u")) & _similar_size(F.col("n"), F.col("n_u"), percent) & smaller)
-    return met.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), some.select("key", "uid")
-
-
-def by_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """key, uid, n, short: the members grouped by each of their rarest shingles.
-
-    In order of rarity, sets of n <= m shingles and the similarity t share one of the
-    first n - ceil(2 t n / (1 + t)) + 1 of the smaller set (it is ``short`` there) with the
-    first m - ceil(t m) + 1 of the larger one.  Shingles that one member alone has come
-    first and make no group.
-    """
-    each = written(sets.join(members, "uid", "left_semi").select("uid", F.explode("hashes").alias("key")))
-    often = written(each.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > 1))
-    total = often.agg(F.sum("df")).first()[0] or 0
-    held = spread_join(each, often, "key", "uid", often.select("key", F.col("df").alias("n")), total)
-    held = held.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("common")).join(members, "uid")
-    n = F.col("n")
-    place = n - F.size("common") + F.col("i")
-    first = held.select("uid", "n", "common", F.posexplode("common").alias("i", "s")).withColumn("place", place).where(F.col("place") <= n - F.ceil(n * percent / 100))
-    return first.select("s.key", "uid", "n", (F.col("place") <= n - F.ceil(n * (2 * percent) / (100 + percent))).alias("short"))
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all two sets of a block, by incidence matrices over
+    the hashes that more than one of them has."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    owner, code = owner[count[code] > 1], number[code[count[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    owner, code = owner[order], code[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
+        a, b = np.searchsorted(code, [low, low + SLICE])
+        part = np.zeros((len(sets), SLICE), np.float32)
+        part[owner[a:b], code[a:b] - low] = 1
+        out += part @ part.T
+    return out
+
+
+def joining_links(percent: int):
+    """Function of the members of two blocks: links that join different components."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("uid", ignore_index=True)
+        sets = pdf["hashes"].to_list()
+        size = np.array([len(s) for s in sets], np.float64)
+        shared = intersections(sets)
+        r, c = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
+        parent = {x: x for x in pdf["label"].tolist()}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        uid, label, out = pdf["uid"].tolist(), pdf["label"].tolist(), []
+        for i, j in zip(r.tolist(), c.tolist(), strict=True):
+            a, b = root(label[i]), root(label[j])
+            if a != b:
+                parent[b] = a
+                out.append((uid[i], uid[j]))
+        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,42 +238,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = every.where(~empty).groupBy("n", "s1", "s2").agg(F.min(order).alias("least"))
     classes = written(classes.select("n", "s1", "s2", F.col("least.uid").alias("uid"), F.col("least.doc_id").alias("doc_id")))
     rows = written(every.where(~empty).join(classes.select("uid"), "uid", "left_semi").select("uid", "doc_id", "row", "n", "bands", "registers"))
-    known = None  # full sets that were needed so far
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nonlocal known
-        pairs = written(likely(pairs, rows, percent))
-        uids = pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()
-        known = _with_sets(known, docs, rows, uids, width)
-        return written(linked(pairs, known, percent))
+    wanted = lambda uids: rows.select("uid", "doc_id", "row").join(uids, "uid", "left_semi")
 
     in_band = rows.select(F.explode("bands").alias("key"), "uid", "n")
-    shared = in_band.groupBy("key").agg(F.min(F.struct("uid", "n")).alias("pivot"), F.count("*").alias("size")).where(F.col("size") > 1)
-    shared = written(shared.select("key", F.col("pivot.uid").alias("pivot"), F.col("pivot.n").alias("n_pivot"), "size"))
+    shared = written(in_band.groupBy("key").agg(F.min("uid").alias("pivot"), F.count("*").alias("size")).where(F.col("size") > 1))
     total = shared.agg(F.sum("size")).first()[0] or 0
-    members = written(spread_join(in_band, shared, "key", "uid", shared.select("key", F.col("size").alias("n")), total).where(F.col("uid") != F.col("pivot")))
-    first = members.where(_similar_size(F.col("n"), F.col("n_pivot"), percent)).select(F.col("pivot").alias("u"), F.col("uid").alias("v")).distinct()
-    links = confirmed(written(first))
-    stars = components(links)
-
-    # pivots are done with; what is left are groups of two components or more
-    left = contested(members.where(F.col("size") > 2).select("key", "uid", "n", F.lit(True).alias("short")), stars)
-    few = F.col("askers") <= BLOCK
-    pairs, _ = asked_pairs(left.where(few), percent)
-    stars = components(stars.union(confirmed(written(pairs))))
-    crowd = written(left.where(~few).select("uid", "n").distinct())
-    if not crowd.isEmpty():
-        known = _with_sets(known, docs, rows, crowd.select("uid"), width)
-        left = contested(by_rare_shingles(crowd, known, percent), stars)
-        while not left.isEmpty():
-            pairs, done = asked_pairs(left, percent)
-            stars = components(stars.union(confirmed(written(pairs))))
-            left = contested(left.select("key", "uid", "n", "short").join(done, ["key", "uid"], "left_anti"), stars)
-
-    label = classes.select(F.col("uid").alias("class_id"), "doc_id", "n", "s1", "s2").join(stars.toDF("class_id", "label"), "class_id", "left")
-    label = written(label.withColumn("label", F.coalesce("label", "class_id")))
+    members = written(spread_join(in_band, shared, "key", "uid", shared.select("key", F.col("size").alias("n")), total))
+    first = members.where(F.col("uid") != F.col("pivot")).select(F.col("pivot").alias("u"), F.col("uid").alias("v"), "n").distinct()
+    first = first.join(rows.select(F.col("uid").alias("u"), F.col("n").alias("n_pivot")), "u").where(_similar_size(F.col("n"), F.col("n_pivot"), percent))
+    pairs = written(likely(first.select("u", "v"), rows, percent))
+    sets = written(full_sets(docs, wanted(pairs.select(F.explode(F.array("u", "v")).alias("uid")).distinct()), width).dropDuplicates(["uid"]))
+    stars = components(linked(pairs, sets, percent))
+
+    # groups of two have been compared; of larger ones, those with two components are left
+    labels = members.where(F.col("size") > 2).join(stars.toDF("uid", "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
+    mixed = labels.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b")).select("key")
+    left = written(labels.join(mixed, "key", "left_semi").select("pivot", "uid", "label").distinct())
+    roots = components(left.select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
+    pooled = left.select("uid", "label").distinct().join(roots.toDF("uid", "pool"), "uid", "left").withColumn("pool", F.coalesce("pool", "uid"))
+    blocks_of = pooled.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
+    late = full_sets(docs, wanted(pooled.select("uid")).join(sets.select("uid"), "uid", "left_anti"), width).dropDuplicates(["uid"])
+    sets = sets.join(pooled.select("uid"), "uid", "left_semi").unionByName(written(late))
+    blocked = pooled.join(blocks_of, "pool").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    blocked = blocked.join(sets, "uid").withColumn("other", other).select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "label", "hashes")
+    more = blocked.groupBy("pool", "i", "j").applyInPandas(joining_links(percent), "u long, v long")
+    stars = components(stars.union(more))
+
+    label = classes.select(F.col("uid").alias("class_id"), "doc_id", "n", "s1", "s2").join(stars.toDF("class_id", "label"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))
     least = label.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    label = spread_join(label, least, "label", "class_id").select("class_id", "component_id", "n", "s1", "s2")
+    label = label.join(least, "label").select("class_id", "component_id", "n", "s1", "s2")
     full = every.where(~empty).select("doc_id", "row", "n", "s1", "s2").join(label, ["n", "s1", "s2"])
     alone = every.where(empty).select("doc_id", "row", "n", F.col("uid").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = full.select(alone.columns).unionByName(alone)

@@ -256,25 +256,6 @@ def test_line_dedup_of_a_common_line_and_a_long_text(spark):
     assert out[5000].n_lines == 60_001 and out[5000].n_dropped == 1 and out[5000].text.count("\n") == 59_999
 
 
-def test_pages_of_one_template_make_rows_in_proportion(spark, monkeypatch):
-    """20,000 pages, 3 copies each, that share all but 18 words: nearly all band groups are
-    contested, and yet the compared pairs grow with the pages and no copy is missed."""
-    compared, asked_pairs = [], neardup.asked_pairs
-
-    def counted(left, percent):
-        pairs, done = asked_pairs(left, percent)
-        compared.append(pairs.count())
-        return pairs, done
-
-    monkeypatch.setattr(neardup, "asked_pairs", counted)
-    template = " ".join(f"t{j}" for j in range(60))
-    own = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(18)), lambda j: F.concat(F.lit("u"), (F.col("id") % 7000).cast("string"), F.lit("_"), j.cast("string"))), " ")
-    pages = spark.range(0, 20_000, 1, 4).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), own, F.lit(template.replace("t", "s")), (F.col("id") % 4).cast("string")).alias("text"))
-    got = neardup.near_duplicates(pages, 5, 80)
-    assert got.where(F.col("component_id") != F.col("doc_id") % 7000).count() == 0
-    assert compared and sum(compared) < 20 * 20_000
-
-
 def test_hot_keys_are_split(spark):
     """Half of all rows have one key; the join gives each row once, from many tasks."""
     from recoflow.llm.common import spread_join, written
@@ -367,3 +348,12 @@ def test_scorer_learns_words():
         more = w.copy()
         more[i] += 1e-4
         assert np.isclose((some.logits(more).sum() - some.logits(w).sum()) / 1e-4, slope[i], rtol=1e-4)
+
+
+def test_near_dedup_keeps_columns_of_any_name(spark):
+    """Columns named like helpers come through; null and repeated rows, empty tables."""
+    rows = [(1, "a b c d e f g", 1, 2, "x"), (2, "a b c d e f g", 3, 4, "y"), (3, None, 5, 6, None), (None, "other words stand here now", 7, 8, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _doc long, _row long, whole string")
+    out = neardup.one_of_each(df)
+    assert out.columns == df.columns and sorted(map(tuple, out.collect()), key=repr) == sorted((rows[0], *rows[2:]), key=repr)
+    assert neardup.one_of_each(df.limit(0)).count() == 0
