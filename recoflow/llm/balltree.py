@@ -24,7 +24,7 @@ from recoflow.llm.common import written
 
 LEAF = 128
 #: Queries that search a tree in step.
-QUERIES = 256
+QUERIES = 1024
 
 
 class BallTree:
@@ -33,7 +33,7 @@ class BallTree:
 
     def __init__(self, points: np.ndarray, ids: np.ndarray, rows: np.ndarray):
         order = np.arange(len(points))
-        self.bounds, self.children, spans = [], [], [(0, len(points))]
+        self.bounds, left, spans = [], [], [(0, len(points))]
         k = 0
         while k < len(spans):
             low, high = spans[k]
@@ -45,12 +45,13 @@ class BallTree:
                 half = (high - low) // 2
                 parts = np.argpartition(axis @ far, half)
                 order[low:high] = order[low:high][parts]
-                self.children.append((len(spans), len(spans) + 1))
+                left.append(len(spans))
                 spans += [(low, low + half), (low + half, high)]
             else:
-                self.children.append(None)
+                left.append(0)
             k += 1
         self.points, self.ids, self.rows = points[order], ids[order], rows[order]
+        self.left = np.array(left)  #: first child (the second follows it); 0 for leaves
         self.read = 0  #: nodes that queries have opened
         self.centres = np.stack([self.points[a:b].mean(0) for a, b in self.bounds])
         self.radii = np.array([np.sqrt(((self.points[a:b] - c) ** 2).sum(1).max()) for (a, b), c in zip(self.bounds, self.centres, strict=True)])
@@ -66,37 +67,48 @@ class BallTree:
         out, that beat, or tie and have a smaller id than, the given k-th ``score`` (minus
         infinity: none) with id ``at``."""
         n, every = len(queries), np.arange(len(queries))
-        bounds = np.full((n, len(self.bounds)), -np.inf)  # of the open nodes
-        bounds[:, 0] = self.bound(queries, np.array([0]))[:, 0]
+        limits = self.bound(queries, np.arange(len(self.bounds)))
+        bounds = np.full_like(limits, -np.inf)  # of the open nodes
+        bounds[:, 0] = limits[:, 0]
         best, ids = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
         while True:
             useful = (bounds > score[:, None]) | ((bounds == score[:, None]) & (bounds > -np.inf) & (self.least < at[:, None]))
             node = np.where(useful, bounds, -np.inf).argmax(1)
-            going = useful[every, node]
-            if not going.any():
+            going = np.flatnonzero(useful[every, node])
+            if not len(going):
                 break
-            bounds[every[going], node[going]] = -np.inf
-            self.read += int(going.sum())
-            for x in np.unique(node[going]):
-                q = np.flatnonzero(going & (node == x))
-                if self.children[x] is not None:
-                    children = np.array(self.children[x])
-                    bounds[q[:, None], children] = self.bound(queries[q], children)
-                    continue
-                a, b = self.bounds[x]
-                got = queries[q] @ self.points[a:b].T
-                got[self.rows[a:b] == own[q, None]] = -np.inf
-                all_scores = np.concatenate([best[q], got], 1)
-                all_ids = np.concatenate([ids[q], np.broadcast_to(self.ids[a:b], got.shape)], 1)
-                first = np.lexsort((all_ids, -all_scores), 1)[:, :k]
-                best[q], ids[q] = np.take_along_axis(all_scores, first, 1), np.take_along_axis(all_ids, first, 1)
-                # the k-th score is the given one until k better points are found
-                s, i = best[q, -1], ids[q, -1]
-                better = (s > score[q]) | ((s == score[q]) & (i < at[q]))
-                score[q[better]], at[q[better]] = s[better], i[better]
+            node = node[going]
+            bounds[going, node] = -np.inf
+            self.read += len(going)
+            inner = self.left[node] > 0
+            for child in (self.left[node[inner]], self.left[node[inner]] + 1):
+                bounds[going[inner], child] = limits[going[inner], child]
+            q, leaf = going[~inner], node[~inner]
+            q, leaf = q[np.argsort(leaf, kind="stable")], np.sort(leaf)
+            starts = np.flatnonzero(np.diff(leaf, prepend=-1))
+            for x, part in zip(leaf[starts].tolist(), np.split(q, starts[1:]), strict=False):
+                self._read_leaf(x, part, queries, own, best, ids, score, at)
         r, c = np.nonzero(best > -np.inf)
         return r, ids[r, c], best[r, c].astype(np.int64)
 
+    def _read_leaf(self, x: int, q: np.ndarray, queries: np.ndarray, own: np.ndarray, best: np.ndarray, ids: np.ndarray, score: np.ndarray, at: np.ndarray) -> None:
+        """Take the points of leaf x into the best ones of the queries numbered q."""
+        a, b = self.bounds[x]
+        got = queries[q] @ self.points[a:b].T
+        got[self.rows[a:b] == own[q, None]] = -np.inf
+        hit = (got >= score[q, None]).any(1)
+        if not hit.any():
+            return
+        q, got = q[hit], got[hit]
+        all_scores = np.concatenate([best[q], got], 1)
+        all_ids = np.concatenate([ids[q], np.broadcast_to(self.ids[a:b], got.shape)], 1)
+        first = np.lexsort((all_ids, -all_scores), 1)[:, : best.shape[1]]
+        best[q], ids[q] = np.take_along_axis(all_scores, first, 1), np.take_along_axis(all_ids, first, 1)
+        # the k-th score is the given one until k better points are found
+        s, i = best[q, -1], ids[q, -1]
+        better = (s > score[q]) | ((s == score[q]) & (i < at[q]))
+        score[q[better]], at[q[better]] = s[better], i[better]
+
 
 FOUND = "uid long, query_id long, vec_id long, score long"
 
