@@ -102,9 +102,14 @@ def b10_pages(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.description_text("html").alias("text"))
 
 
-@query("b11_placeholders", f"{ITEMS} SELECT item_id, " + D.join(f"list_filter({D.split('system', ',')}, lambda x: lower(x) NOT IN ('none', 'n/a', 'na', 'null', 'nan', 'unknown'))") + " AS system FROM items")
+_RECORDED = "lower(x) NOT IN ('none', 'n/a', 'na', 'null', 'nan', 'unknown')"
+
+
+@query("b11_placeholders", f"{ITEMS}, {D.FACTS} SELECT item_id, " + D.join(f"list_filter({D.split('system', ',')}, lambda x: {_RECORDED})") + " AS system, " + D.join(f"list_filter(systems_l, lambda x: {_RECORDED})") + " AS system_clean FROM facts")
 def b11(spark, sf):
-    return frame(spark, sf, "items").select("item_id", T.without_placeholders("system").alias("system"))
+    """Placeholders go from the original and from the clean column."""
+    clean = T.joined(T.clean_systems("system"))
+    return frame(spark, sf, "items").select("item_id", T.without_placeholders("system").alias("system"), T.without_placeholders(clean).alias("system_clean"))
 
 
 @query("b12_clean_or_original", f"{ITEMS}, {D.FACTS} SELECT item_id, {D.join('tags_l')} AS tags, coalesce(genre, '') AS genre FROM facts")
