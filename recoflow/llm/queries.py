@@ -12,6 +12,8 @@ from recoflow.llm.balltree import top_k
 from recoflow.llm.bpe import round_trip
 from recoflow.llm.chat import ORACLE as CHAT_ORACLE
 from recoflow.llm.chat import format_chats
+from recoflow.llm.codes import ORACLE as CODES_ORACLE
+from recoflow.llm.codes import vector_codes
 from recoflow.llm.common import table
 from recoflow.llm.idfiles import id_files
 from recoflow.llm.linededup import ORACLE as LINES_ORACLE
@@ -60,6 +62,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k_search": op1_top_k_search,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -71,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_top_k_search": TOP_ORACLE,
     "op5_chat_formatting": CHAT_ORACLE,
     "op9_line_dedup": LINES_ORACLE,
+    "op13_vector_codes": CODES_ORACLE,
 }
