@@ -21,6 +21,8 @@ from recoflow.llm.linededup import op9_line_dedup
 from recoflow.llm.neardup import near_duplicates
 from recoflow.llm.packing import pack_documents
 from recoflow.llm.quality import classify
+from recoflow.llm.repeats import ORACLE as REPEATS_ORACLE
+from recoflow.llm.repeats import kept_digest, without_repeats
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
 from recoflow.llm.winnow import edited_fingerprints
@@ -62,6 +64,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_digest(without_repeats(table(spark, sf_dir, "documents"), length=100))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4)
 
@@ -77,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
 
@@ -84,5 +91,6 @@ ORACLES: dict[str, str] = {
     "op1_top_k_search": TOP_ORACLE,
     "op5_chat_formatting": CHAT_ORACLE,
     "op9_line_dedup": LINES_ORACLE,
+    "op12_suffix_dedup": REPEATS_ORACLE,
     "op13_vector_codes": CODES_ORACLE,
 }
