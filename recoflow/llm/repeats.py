@@ -5,8 +5,8 @@ meet in one task without moving every string of the corpus:
 
 1. The anchor of a string is the least hash of its grams of GRAM bytes, so equal strings
    have equal anchors.  Strings that follow each other and share an anchor form a segment
-   (about one for 37 bytes; at most as many strings as grams fit a string).  Only hashes
-   of anchor and segment, and the place, are shuffled.
+   (about one for 37 bytes; at most as many strings as grams fit a string).  Segments go
+   to buckets by anchor, as packed hashes and places; no text is shuffled for this.
 2. Segments of equal anchor and content form a class.  Whatever occurs in the class but is
    not its first occurrence goes whole.  Its first occurrence can hold more repeats only if
    its anchor has other classes too, or if it repeats itself; most of a corpus ends here.
@@ -16,31 +16,35 @@ meet in one task without moving every string of the corpus:
    Within a run they follow from the sample before (one less a byte), which streams the
    matching statistics of all places.  Places whose statistics reach ``length`` fall
    into groups of equal strings; all but the first of a group are marked.
-4. Anchors with more than HOT_CLASSES classes (the edge of a passage that very many
-   documents share) would overfill a bucket: their strings are compared by two 64-bit
-   hashes, grouped in the shuffle.
-
-Marks are gathered by document and joined with the texts.
+   The strings of an anchor with too many classes for one index are compared by two 64-bit
+   hashes, a part of them at a time.
+4. Anchors that very many segments have would overfill a bucket.  They are told by counts
+   over a share of the documents (which decides the way, never the result); their classes
+   are grouped in the shuffle, which combines equal ones early, and their strings are
+   compared by two 64-bit hashes there.
+
+Marks are gathered by document and joined with the texts, which are shuffled once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import small_batches, written
+from recoflow.llm.common import small_batches
 from recoflow.llm.shingles import mix
 
 LENGTH, GRAM = 100, 32
-#: Bytes of text whose hashes are held at once, and of segments in a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 1 << 21
-#: An anchor with more distinct segments than this is compared by hashes of strings.
-HOT_CLASSES = 1 << 14
+#: Bytes of text whose hashes are held at once, of text in a bucket, and in an index.
+BLOCK_BYTES, BUCKET_BYTES, INDEX_BYTES = 1 << 20, 1 << 25, 1 << 21
+#: An anchor is heavy if one in SHARE of the documents holds more than a SHARE-th of HEAVY
+#: segments with it, and more than that part of all segments which leaves MOST_HEAVY anchors.
+HEAVY, SHARE, MOST_HEAVY = 200_000, 64, 100_000
 #: Odd multipliers of the two rolling hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -69,16 +73,19 @@ def least_of(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(after[:n], before[width - 1 : width - 1 + n])
 
 
-def segments(block: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """begin, n, anchor, content, again of the segments of one text: the strings that begin
-    in [begin, begin + n) share an anchor; ``again`` tells that the anchor occurs more than
-    once in the segment, without which no string can be repeated within it."""
+def segments(block: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """begin, n, anchor, content, again of the segments of a block of texts, which end at
+    ``ends``: the strings that begin in [begin, begin + n) share an anchor; ``again`` tells
+    that the anchor occurs more than once in the segment, without which no string can be
+    repeated within it."""
     width = length - gram + 1
     one, two = Rolling(block, FACTORS[0]), Rolling(block, FACTORS[1])
     grams = one.of(slice(0, len(block) - gram + 1), slice(gram, None))
     least = least_of(grams, width)
-    change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+    whole = np.arange(len(least)) + length <= np.repeat(ends, np.diff(np.r_[0, ends]))[: len(least)]
+    change = np.flatnonzero(np.r_[True, (least[1:] != least[:-1]) | (whole[1:] != whole[:-1])])
     runs = np.diff(np.r_[change, len(least)])
+    change, runs = change[whole[change]], runs[whole[change]]
     # a run of one anchor that recurs can be of any length: cut it at every ``width``
     pieces = -(-runs // width)
     place = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -102,7 +109,8 @@ def _cut_blocks(data: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray
         yield a, data[a : a + BLOCK_BYTES + length - 1]
 
 
-SEGMENTS = "doc_id long, tie long, begin long, n int, anchor long, content long, again boolean"
+ID = ["known", "id", "tie"]
+SEGMENTS = "known boolean, id long, tie long, begin long, n int, anchor long, content long, again boolean"
 
 
 def _bytes_of(text: pa.Scalar) -> np.ndarray:
@@ -110,28 +118,108 @@ def _bytes_of(text: pa.Scalar) -> np.ndarray:
     return np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
 
 
-def _find_segments(length: int, gram: int):
+def _segments_of(batch: pa.RecordBatch, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """row, begin, n, anchor, content, again of the segments of a batch of texts, some texts
+    or a part of a long one at a time."""
+    held, size = [], 0
+    for i, text in enumerate(batch.column("text")):
+        for a, block in _cut_blocks(_bytes_of(text), length):
+            if held and size + len(block) > BLOCK_BYTES:
+                yield _block_segments(held, length, gram)
+                held, size = [], 0
+            held.append((i, a, block))
+            size += len(block)
+    if held:
+        yield _block_segments(held, length, gram)
+
+
+def _block_segments(held: list[tuple[int, int, np.ndarray]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    rows, offsets, blocks = zip(*held, strict=True)
+    ends = np.cumsum([len(b) for b in blocks])
+    begin, n, anchor, content, again = segments(np.concatenate(blocks), ends, length, gram)
+    part = np.searchsorted(ends, begin, "right")
+    return np.array(rows)[part], begin - np.r_[0, ends][part] + np.array(offsets)[part], n.astype(np.int32), anchor.view(np.int64), content.view(np.int64), again
+
+
+def _find_segments(length: int, gram: int, only: np.ndarray | None = None):
+    """The segments, or those of some anchors, as rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, size = [], 0
-            for i, text in enumerate(batch.column("text")):
-                for a, block in _cut_blocks(_bytes_of(text), length):
-                    begin, n, anchor, content, again = segments(block, length, gram)
-                    found.append((np.full(len(n), i), begin + a, n.astype(np.int32), anchor.view(np.int64), content.view(np.int64), again))
-                    size += len(n)
-                    if size > 100_000:
-                        yield _with_keys(batch, found)
-                        found, size = [], 0
-            if found:
-                yield _with_keys(batch, found)
+            for row, *rest in _segments_of(batch, length, gram):
+                keep = np.ones(len(row), bool) if only is None else np.isin(rest[2], only)
+                own = [batch.column(c).take(pa.array(row[keep])) for c in ID]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(x[keep]) for x in rest)], [*ID, "begin", "n", "anchor", "content", "again"])
 
     return run
 
 
-def _with_keys(batch: pa.RecordBatch, found: list[tuple]) -> pa.RecordBatch:
-    row, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
-    row = pa.array(row)
-    return pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), *map(pa.array, rest)], ["doc_id", "tie", "begin", "n", "anchor", "content", "again"])
+PACK = np.dtype([("anchor", "<i8"), ("content", "<i8"), ("begin", "<i8"), ("doc", "<u4"), ("n", "<i2"), ("again", "?")])
+
+
+def _pack_segments(length: int, gram: int, buckets: int, heavy: np.ndarray):
+    """The segments without heavy anchors, packed: of each bucket and some texts one row
+    with the columns of PACK one after the other, and the texts they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.stack([batch.column("known").to_numpy(zero_copy_only=False).astype(np.int64), batch.column("id").to_numpy(), batch.column("tie").to_numpy()], 1)
+            for row, begin, n, anchor, content, again in _segments_of(batch, length, gram):
+                bucket = (mix(anchor.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((row, bucket))
+                order = order[~np.isin(anchor[order], heavy)] if len(heavy) else order
+                used, ends = np.unique(bucket[order], return_index=True)
+                packed, texts = [], []
+                for a, b in zip(ends, np.r_[ends[1:], len(order)], strict=True):
+                    o = order[a:b]
+                    docs, doc = np.unique(row[o], return_inverse=True)
+                    fields = {"anchor": anchor[o], "content": content[o], "begin": begin[o], "doc": doc, "n": n[o], "again": again[o]}
+                    packed.append(b"".join(np.ascontiguousarray(fields[c], PACK[c]).tobytes() for c in PACK.names))
+                    texts.append(ids[docs].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "packed", "texts"])
+
+    return run
+
+
+def _unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The segments of a bucket, and the texts that their doc points to."""
+    parts, texts, before = [], [], 0
+    for packed, ids in zip(t.column("packed").to_pylist(), t.column("texts").to_pylist(), strict=True):
+        n, at = len(packed) // PACK.itemsize, 0
+        part = np.empty(n, PACK)
+        for c in PACK.names:
+            part[c] = np.frombuffer(packed, PACK[c], n, at)
+            at += n * PACK[c].itemsize
+        part["doc"] += before
+        texts.append(np.frombuffer(ids, np.int64).reshape(-1, 3))
+        before += len(texts[-1])
+        parts.append(part)
+    return np.concatenate(parts), np.concatenate(texts)
+
+
+JUDGED = "known boolean, id long, tie long, begin long, n int, anchor long, wanted boolean"
+
+
+def _judge(t: pa.Table) -> pa.Table:
+    """Of a bucket's segments those that an equal one comes before (not wanted), and the
+    first ones of classes that may hold more repeats (wanted)."""
+    s, texts = _unpacked(t)
+    places, doc = np.unique(texts, axis=0, return_inverse=True)  # in the order of documents
+    doc = doc.ravel()[s["doc"]]
+    by_place = np.argsort(doc << 40 | s["begin"]) if len(places) < 1 << 23 and s["begin"].max() < 1 << 40 else np.lexsort((s["begin"], doc))
+    order = by_place[np.lexsort((s["content"][by_place], s["anchor"][by_place]))]
+    s, doc = s[order], doc[order]
+    other_anchor = np.r_[True, s["anchor"][1:] != s["anchor"][:-1]]
+    first = other_anchor | np.r_[True, s["content"][1:] != s["content"][:-1]]
+    opens = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
+    copy = (doc != doc[opens]) | (s["begin"] != s["begin"][opens])  # a row that is there twice is no copy of itself
+    group = np.cumsum(other_anchor) - 1
+    kinds = np.bincount(group, weights=first)[group]
+    wanted = first & ((kinds > 1) | s["again"])
+    keep = copy | wanted
+    known, number, tie = places[doc[keep]].T
+    columns = [known.astype(bool), number, tie, s["begin"][keep], s["n"][keep].astype(np.int32), s["anchor"][keep], wanted[keep]]
+    return pa.table([pa.array(c) for c in columns], [*ID, "begin", "n", "anchor", "wanted"])
 
 
 class RunIndex:
@@ -161,12 +249,14 @@ class RunIndex:
             at = np.minimum(place + k, m - 1)
             key = key << 9 | np.where(place + k < self.ends, self.text[at].astype(np.int64) + 1, 0)
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(m, np.int64)
             rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-            if step >= (self.ends - place).max(initial=0) or rank[order[-1]] == m - 1:
+            if rank[order[-1]] == m - 1:
                 return order
+            if step >= (self.ends - place).max():
+                return np.argsort(rank * m + place)  # equal suffixes by place
             key = rank * (m + 1) + np.where(place + step < self.ends, rank[np.minimum(place + step, m - 1)] + 1, 0)
             step *= 2
 
@@ -204,7 +294,7 @@ class RunIndex:
         return out
 
 
-MARKS = "doc_id long, tie long, begin long, n int"
+MARKS = "known boolean, id long, tie long, begin long, n int"
 
 
 def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -213,27 +303,61 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def _mark_bucket(length: int):
+def _mark_bucket(length: int, index_bytes: int):
+    """Marks the repeated strings of a bucket's segments, whole anchors at a time."""
+
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("tie", "ascending"), ("begin", "ascending")])
-        nulls = t.column("doc_id").is_null().to_numpy()
-        t = t.take(pa.array(np.argsort(~nulls, kind="stable")))  # a null doc_id comes first
-        tie, begin = t.column("tie").to_numpy(), t.column("begin").to_numpy()
-        doc = t.column("doc_id").fill_null(0).to_numpy()
-        same = (np.diff(doc) == 0) & (np.diff(t.column("doc_id").is_null().to_numpy().astype(np.int8)) == 0) & (np.diff(tie) == 0) & (np.diff(begin) == 0)
-        t = t.filter(pa.array(np.r_[True, ~same]))  # rows equal in doc_id and text are there once
-        strings = t.column("bytes").to_pylist()
-        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        starts, ends = runs_of(RunIndex(strings).repeated(length))
-        row = np.searchsorted(np.cumsum(sizes), starts, "right")
-        begin = t.column("begin").to_numpy()[row] + starts - (np.cumsum(sizes) - sizes)[row]
-        own = t.take(pa.array(row))
-        return pa.table([own.column("doc_id"), own.column("tie"), pa.array(begin), pa.array((ends - starts).astype(np.int32))], ["doc_id", "tie", "begin", "n"])
+        t = t.sort_by([(c, "ascending") for c in ("anchor", *ID, "begin")])
+        keys = [t.column(c).to_numpy() for c in ("anchor", *ID, "begin")]
+        same = np.all([k[1:] == k[:-1] for k in keys], 0)  # rows equal in doc_id and text are there once
+        t = t.filter(pa.array(np.r_[True, ~same]))
+        sizes = pc.binary_length(t.column("bytes")).to_numpy()
+        anchor = t.column("anchor").to_numpy()
+        edges = np.r_[np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]), len(t)]
+        total, out, a = np.r_[0, np.cumsum(sizes)], [], 0
+        while a < len(edges) - 1:
+            b = max(a + 1, int(np.searchsorted(total[edges], total[edges[a]] + index_bytes, "right")) - 1)
+            out.append(_mark(t.slice(edges[a], edges[b] - edges[a]), length, index_bytes))
+            a = b
+        return pa.concat_tables(out)
 
     return run
 
 
-PIECES = "doc_id long, tie long, begin long, anchor long, hot boolean, bytes binary"
+def _repeated_by_hash(strings: list[bytes], length: int, parts: int) -> np.ndarray:
+    """As ``RunIndex.repeated``, by hashes of the strings, a part of the hashes at a time."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    before, out = np.cumsum(sizes) - sizes, np.zeros(sizes.sum(), bool)
+    for part in range(parts):
+        found = []
+        for s in range(0, len(strings), 5000):
+            block = np.frombuffer(b"".join(strings[s : s + 5000]), np.uint8)
+            ends = np.repeat(np.cumsum(sizes[s : s + 5000]), sizes[s : s + 5000])
+            begin = np.flatnonzero(np.arange(len(block)) + length <= ends)
+            one = Rolling(block, FACTORS[0]).of(begin, begin + length)
+            mine = one % np.uint64(parts) == part
+            found.append((before[s] + begin[mine], Rolling(block, FACTORS[1]).of(begin[mine], begin[mine] + length), one[mine]))
+        place, two, one = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((two, one))  # stable, so places ascend within equal strings
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        out[place[order[1:][same]]] = True
+    return out
+
+
+def _mark(t: pa.Table, length: int, index_bytes: int) -> pa.Table:
+    t = t.sort_by([(c, "ascending") for c in (*ID, "begin")])
+    strings = t.column("bytes").to_pylist()
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    parts = -(-int(sizes.sum()) // (4 * index_bytes))
+    again = RunIndex(strings).repeated(length) if parts == 1 else _repeated_by_hash(strings, length, parts)
+    starts, ends = runs_of(again)  # none reaches the last bytes of its segment
+    row = np.searchsorted(np.cumsum(sizes), starts, "right")
+    begin = t.column("begin").to_numpy()[row] + starts - (np.cumsum(sizes) - sizes)[row]
+    own = [t.column(c).take(pa.array(row)) for c in ID]
+    return pa.table([*own, pa.array(begin), pa.array((ends - starts).astype(np.int32))], [*ID, "begin", "n"])
+
+
+PIECES = "known boolean, id long, tie long, begin long, anchor long, bytes binary"
 
 
 def _lists(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
@@ -248,7 +372,7 @@ def _cut_out(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, begin, n, anchor, hot = _lists(batch.column("wanted"), "begin", "n", "anchor", "hot")
+            offsets, begin, n, anchor = _lists(batch.column("wanted"), "begin", "n", "anchor")
             rows, cuts, size = [], [], 0
             for i, text in enumerate(batch.column("text")):
                 data = memoryview(text.as_buffer())
@@ -257,79 +381,95 @@ def _cut_out(length: int):
                     rows.append((i, w))
                     size += len(cuts[-1])
                     if size > 4 * BLOCK_BYTES:
-                        yield _pieces(batch, rows, cuts, begin, anchor, hot)
+                        yield _pieces(batch, rows, cuts, begin, anchor)
                         rows, cuts, size = [], [], 0
             if rows:
-                yield _pieces(batch, rows, cuts, begin, anchor, hot)
+                yield _pieces(batch, rows, cuts, begin, anchor)
 
     return run
 
 
 def _pieces(batch: pa.RecordBatch, rows: list[tuple[int, int]], cuts: list[bytes], *fields: np.ndarray) -> pa.RecordBatch:
     row, w = np.array(rows).T
-    own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "tie")]
-    return pa.RecordBatch.from_arrays([*own, *(pa.array(x[w]) for x in fields), pa.array(cuts, pa.binary())], ["doc_id", "tie", "begin", "anchor", "hot", "bytes"])
+    own = [batch.column(c).take(pa.array(row)) for c in ID]
+    return pa.RecordBatch.from_arrays([*own, *(pa.array(x[w]) for x in fields), pa.array(cuts, pa.binary())], [*ID, "begin", "anchor", "bytes"])
 
 
-STRINGS = "doc_id long, tie long, begin long, one long, two long"
+STRINGS = "known boolean, id long, tie long, begin long, one long, two long"
 
 
 def _hash_strings(length: int):
-    """The hashes of every string of hot segments."""
+    """The hashes of every string of some segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for i, cut in enumerate(batch.column("bytes")):
-                block = np.frombuffer(cut.as_buffer(), np.uint8)
+                block = _bytes_of(cut)
                 n = len(block) - length + 1
                 one, two = (Rolling(block, f).of(slice(0, n), slice(length, None)).view(np.int64) for f in FACTORS)
                 found.append((np.full(n, i), batch.column("begin")[i].as_py() + np.arange(n), one, two))
             if found:
                 row, *rest = (np.concatenate(c) for c in zip(*found, strict=True))
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(row), batch.column("tie").take(row), *map(pa.array, rest)], ["doc_id", "tie", "begin", "one", "two"])
+                own = [batch.column(c).take(pa.array(row)) for c in ID]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, rest)], [*ID, "begin", "one", "two"])
 
     return run
 
 
-def _same_document(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Join on doc_id (nulls are equal) and tie; the columns of b but these follow a's."""
-    other = b.withColumnsRenamed({"doc_id": "_doc", "tie": "_tie"})
-    return a.join(other, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tie") == F.col("_tie")), how).drop("_doc", "_tie")
-
-
 def identified(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, text: a hash of the text tells rows of one doc_id apart, and orders them."""
+    """known, id, tie, text: doc_id as whether it is known and its value, which order like
+    it with null first; a hash of the text tells rows of one doc_id apart, and orders them."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    return docs.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+
+
+def heavy_anchors(rows: DataFrame, length: int, gram: int, heavy: int, share: int = SHARE) -> np.ndarray:
+    """Anchors of very many segments, at most about MOST_HEAVY, by counts over one in
+    ``share`` of the documents."""
+    some = rows.where(F.pmod(F.xxhash64(*ID, F.lit("share")), F.lit(share)) == 0).mapInArrow(_find_segments(length, gram), SEGMENTS)
+    counts = some.groupBy("anchor").agg(F.count("*").alias("n"))
+    many = counts.where(F.col("n") > heavy / share)
+    if not many.limit(1).count():
+        return np.zeros(0, np.int64)
+    total = some.count()
+    return np.array([r[0] for r in many.where(F.col("n") * MOST_HEAVY > total).select("anchor").collect()], np.int64)
+
+
+def _judge_heavy(rows: DataFrame, length: int, gram: int, heavy: np.ndarray) -> DataFrame:
+    """As ``_judge``, of the segments of heavy anchors: all their classes are searched."""
+    found = rows.where(F.octet_length("text") >= length).mapInArrow(_find_segments(length, gram, heavy), SEGMENTS)
+    place = F.struct(*ID, "begin")
+    classes = found.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count("*").alias("times"))
+    copies = found.join(classes.where("times > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.col("first"))
+    columns = (*ID, "begin", "n", "anchor")
+    return copies.select(*columns, F.lit(False).alias("wanted")).unionByName(classes.select("first.*", "n", "anchor", F.lit(True).alias("wanted")).select(*columns, "wanted"))
 
 
-def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_classes: int = HOT_CLASSES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, tie, begin, n: the strings that begin in [begin, begin + n) also begin earlier.
+def repeated_strings(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, heavy: int = HEAVY, share: int = SHARE, bucket_bytes: int = BUCKET_BYTES, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """known, id, tie, begin, n: the strings that begin in [begin, begin + n) also begin earlier.
 
     rows: as ``identified`` gives them.
     """
-    spark = rows.sparkSession
-    small_batches(spark)
-    found = written(rows.where(F.octet_length("text") >= length).mapInArrow(_find_segments(length, gram), SEGMENTS))
-    place = F.struct("doc_id", "tie", "begin")
-    classes = found.groupBy("anchor", "content").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count("*").alias("times"), F.first("again").alias("again"))
-    classes = written(classes)
-    shared = classes.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > 1)
-    told = classes.join(shared, "anchor", "left").where("times > 1 OR again OR kinds IS NOT NULL")
-    told = written(told.select("anchor", "content", "first", "n", "times", (F.col("again") | F.col("kinds").isNotNull()).alias("searched"), F.coalesce(F.col("kinds") > hot_classes, F.lit(False)).alias("hot")))
-    copies = found.join(told.where("times > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tie", "begin", "n")
-    wanted = told.where("searched").select("anchor", "n", "hot", "first.*")
-    wanted = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("begin", "n", "anchor", "hot")).alias("wanted"))
-    cut = written(_same_document(rows, wanted, "inner").mapInArrow(_cut_out(length), PIECES))
-    size = cut.where("NOT hot").agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // bucket_bytes))))
-    marked = cut.where("NOT hot").withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_mark_bucket(length), MARKS)
-    strings = cut.where("hot").mapInArrow(_hash_strings(length), STRINGS)
-    earliest = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = strings.join(earliest, ["one", "two"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "tie", "begin", F.lit(1).alias("n"))
-    return copies.unionByName(marked).unionByName(later)
+    small_batches(rows.sparkSession)
+    buckets = max(1, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // bucket_bytes))
+    many = heavy_anchors(rows, length, gram, heavy, share)
+    packed = rows.where(F.octet_length("text") >= length).mapInArrow(_pack_segments(length, gram, buckets, many), "bucket long, packed binary, texts binary")
+    judged = packed.groupBy("bucket").applyInArrow(_judge, JUDGED)
+    if len(many):
+        judged = judged.unionByName(_judge_heavy(rows, length, gram, many))
+    wanted = judged.where("wanted").groupBy(*ID).agg(F.collect_list(F.struct("begin", "n", "anchor")).alias("wanted"))
+    cut = rows.join(wanted, ID).mapInArrow(_cut_out(length), PIECES)
+    is_heavy = F.col("anchor").isin(many.tolist()) if len(many) else F.lit(False)
+    bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets))
+    marked = cut.where(~is_heavy).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_mark_bucket(length, index_bytes), MARKS)
+    marks = judged.where("NOT wanted").select(*ID, "begin", "n").unionByName(marked)
+    if len(many):
+        place = F.struct(*ID, "begin")
+        strings = cut.where(is_heavy).mapInArrow(_hash_strings(length), STRINGS)
+        earliest = strings.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+        marks = marks.unionByName(strings.join(earliest, ["one", "two"]).where(place != F.col("first")).select(*ID, "begin", F.lit(1).alias("n")))
+    return marks
 
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -339,7 +479,7 @@ def _remove(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, begin, n = _lists(batch.column("marks"), "begin", "n")
-            nth = batch.column("nth").to_numpy()
+            nth, doc_id = batch.column("nth").to_numpy(), pc.if_else(batch.column("known"), batch.column("id"), pa.scalar(None, pa.int64()))
             facts, kept, first, size = [], [], 0, 0
             for i, text in enumerate(batch.column("text")):
                 data, own = _bytes_of(text), slice(offsets[i], offsets[i + 1])
@@ -354,7 +494,7 @@ def _remove(length: int):
                 size += len(kept[-1])
                 if size > 4 * BLOCK_BYTES or i + 1 == len(batch):
                     columns = [pa.array(c, pa.int64()) for c in np.array(facts, np.int64).T]
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id")[first : i + 1], *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                    yield pa.RecordBatch.from_arrays([doc_id[first : i + 1], *columns, pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
                     facts, kept, first, size = [], [], i + 1, 0
 
     return run
@@ -370,9 +510,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, **options: int) -> Da
     stay whole; a text of any size is worked on in blocks.  A table without rows gives none.
     """
     rows = identified(docs)
-    marks = repeated_strings(rows, length, **options).groupBy("doc_id", "tie").agg(F.collect_list(F.struct("begin", "n")).alias("marks"))
-    nth = F.row_number().over(Window.partitionBy("doc_id", "tie").orderBy("tie"))
-    return _same_document(rows.withColumn("nth", nth), marks, "left").select("doc_id", "text", "marks", "nth").mapInArrow(_remove(length), KEPT)
+    marks = repeated_strings(rows, length, **options).groupBy(*ID).agg(F.collect_list(F.struct("begin", "n")).alias("marks"))
+    nth = F.row_number().over(Window.partitionBy(*ID).orderBy("tie"))
+    return rows.withColumn("nth", nth).join(marks, ID, "left").select("known", "id", "text", "marks", "nth").mapInArrow(_remove(length), KEPT)
 
 
 def kept_digest(found: DataFrame) -> DataFrame:
