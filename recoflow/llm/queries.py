@@ -25,6 +25,8 @@ from recoflow.llm.repeats import ORACLE as REPEATS_ORACLE
 from recoflow.llm.repeats import kept_digest, without_repeats
 from recoflow.llm.tokencount import count_tokens
 from recoflow.llm.tokenizers_io import tokenizer_path
+from recoflow.llm.trie import ORACLE as TRIE_ORACLE
+from recoflow.llm.trie import conversation_trie
 from recoflow.llm.winnow import edited_fingerprints
 
 
@@ -64,6 +66,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(without_repeats(table(spark, sf_dir, "documents"), length=100))
 
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_id_files": op8_id_files,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_suffix_dedup": op12_suffix_dedup,
     "op13_vector_codes": op13_vector_codes,
 }
@@ -91,6 +98,7 @@ ORACLES: dict[str, str] = {
     "op1_top_k_search": TOP_ORACLE,
     "op5_chat_formatting": CHAT_ORACLE,
     "op9_line_dedup": LINES_ORACLE,
+    "op11_prefix_trie": TRIE_ORACLE,
     "op12_suffix_dedup": REPEATS_ORACLE,
     "op13_vector_codes": CODES_ORACLE,
 }
