@@ -9,8 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block in the blocked search.
-BLOCK = 2048
+from recoflow.operators.blocks import BLOCK, CellIndex
 
 
 def dot(a: str | Column, b: str | Column) -> Column:
@@ -37,38 +36,15 @@ def seed_average(seeds: DataFrame, vectors: DataFrame, key: str = "query_id") ->
     return mean.select(key, unit("v").alias("vector"))
 
 
-def _blocked(df: DataFrame, blocks: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.pmod(F.xxhash64(df.columns[0]), F.lit(blocks)).cast("int"))
-
-
 def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """query_id, item_id, cos: the threshold join.
 
-    queries: query_id, vector; items: item_id, vector.  Blocks of queries meet blocks
-    of items in one matrix product a pair of blocks; only pairs at or above the floor
-    leave it, of these the ``most`` best a query and block, so memory is bounded whatever
-    the sizes.
+    queries: query_id, vector; items: item_id, vector.  Items are put into cells; a query
+    meets only the cells whose bound reaches the floor, in matrix products within one block
+    of a cell.  Only pairs at or above the floor leave it, of these the ``most`` best a
+    query and block.  To search the same items again, keep a ``CellIndex``.
     """
-    q_blocks, i_blocks = max(1, -(-queries.count() // block)), max(1, -(-items.count() // block))
-    q = _blocked(queries.select("query_id", F.col("vector").alias("q_vector")), q_blocks, "qb").withColumn("ib", F.explode(F.sequence(F.lit(0), F.lit(i_blocks - 1))))
-    i = _blocked(items.select("item_id", F.col("vector").alias("i_vector")), i_blocks, "ib").withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-
-    def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": a["query_id"][:0], "item_id": b["item_id"][:0], "cos": np.zeros(0)})
-        product = np.stack(a["q_vector"].to_list()).astype(np.float64) @ np.stack(b["i_vector"].to_list()).astype(np.float64).T
-        keep = product >= floor
-        if most is not None and most < len(b):
-            ids = np.broadcast_to(b["item_id"].to_numpy(), product.shape)
-            first = np.lexsort((ids, -product), 1)[:, :most]
-            inside = np.zeros_like(keep)
-            np.put_along_axis(inside, first, True, 1)
-            keep &= inside
-        r, c = np.nonzero(keep)
-        return pd.DataFrame({"query_id": a["query_id"].to_numpy()[r], "item_id": b["item_id"].to_numpy()[c], "cos": product[r, c]})
-
-    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, cos double"
-    return q.groupBy("qb", "ib").cogroup(i.groupBy("qb", "ib")).applyInPandas(multiply, kinds)
+    return CellIndex(items, block=block).search(queries, floor, most)
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
@@ -78,17 +54,17 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, block: int = BLOCK) ->
     return above(queries, items, -np.inf, block, most=k).withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
 
 
-def approximate(queries: DataFrame, items: DataFrame, floor: float, tables: int = 8, bucket: float = 0.5, seed: int = 7) -> DataFrame:
-    """Pairs at or above a cosine floor by locality-sensitive hashing of unit vectors,
-    where d^2 = 2 - 2 cos (I6)."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate(queries: DataFrame, items: DataFrame, floor: float, target: float = 0.97, cells: int | None = None) -> DataFrame:
+    """Pairs at or above a floor, by an inverted file (I6): a query looks into the cells that
+    should hold the share ``target`` of its pairs; what it finds there is exact."""
+    return CellIndex(items, cells).search(queries, floor, target=target)
+
 
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", numHashTables=tables, bucketLength=bucket, seed=seed)
-    q = queries.select("query_id", array_to_vector(unit("vector")).alias("v"))
-    i = items.select("item_id", array_to_vector(unit("vector")).alias("v"))
-    joined = model.fit(i).approxSimilarityJoin(q, i, (2 - 2 * floor) ** 0.5 + 1e-9, "d")
-    return joined.select(F.col("datasetA.query_id"), F.col("datasetB.item_id"), (1 - F.col("d") * F.col("d") / 2).alias("cos"))
+def recall(found: DataFrame, truth: DataFrame) -> float:
+    """Share of the true pairs that were found; 1 if there are none."""
+    pairs = ["query_id", "item_id"]
+    hits = truth.select(*pairs).join(found.select(*pairs).withColumn("hit", F.lit(1)), pairs, "left")
+    return hits.agg(F.coalesce(F.avg(F.coalesce("hit", F.lit(0))), F.lit(1.0))).first()[0]
 
 
 def embed(docs: DataFrame, key: str, text: str, features: int = 256) -> DataFrame:
