@@ -3,6 +3,7 @@ E7, E8, E18, F2, J, K, L)."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,10 +13,13 @@ from recoflow.functions import text as T
 from recoflow.operators import documents as docs_ops
 from recoflow.operators import evaluate, filters, interactions, ranking, vectors
 from recoflow.plans import duck as D
-from recoflow.plans import pipelines
+from recoflow.plans import pipelines, precompute
 from recoflow.plans.fixtures import LABELLED, cte, frame, table
+from recoflow.plans.precompute import Mode
 from recoflow.plans.registry import query
 from recoflow.plans.retrieval import POLICY_RULES, POOL_SQL, SCORED, TOP, facts, item_vectors, pairs, pool, scored, with_scores
+from recoflow.sources import tables as src
+from recoflow.sources.store import RankingStore
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
     return interactions.split(inter(spark, sf))
@@ -82,6 +86,10 @@ def _relevance(cos):
     return F.round(ranking.sigmoid(4 * cos - 1), 6)
 
 
+def _ranked(mode: Mode, stats: DataFrame) -> DataFrame:
+    return pipelines.mode_ranking(mode.queries, mode.items, mode.seen, stats, _relevance)
+
+
 def _mode_items(spark, sf):
     return item_vectors(spark, sf).join(facts(spark, sf).select("item_id", "item_tags"), "item_id")
 
@@ -93,7 +101,7 @@ def _mode_sql(queries: str, seen: str) -> str:
   c1 AS (SELECT * FROM c0 WHERE NOT EXISTS (SELECT 1 FROM sn WHERE sn.query_id = c0.query_id AND sn.item_id = c0.item_id)),
   c2 AS (SELECT *, max(shared) OVER (PARTITION BY query_id) AS most FROM c1),
   c3 AS (SELECT query_id, item_id, round(1 / (1 + exp(1 - 4 * cos)), 6) AS relevance FROM c2 WHERE shared >= 1 OR most = 0),
-  c4 AS (SELECT query_id, item_id, relevance, round(0.5 * relevance + 0.5 * coalesce(bayesian_avg, 2.5) / 5, 6) AS score FROM c3 LEFT JOIN stats USING (item_id) WHERE relevance >= 0.1),
+  c4 AS (SELECT query_id, item_id, relevance, round(0.5 * relevance + 0.5 * coalesce(bayesian_avg, 2.5) / 5, 7) AS score FROM c3 LEFT JOIN stats USING (item_id) WHERE relevance >= 0.1),
   ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM c4)"""
 
 
@@ -101,43 +109,52 @@ _MEAN_SQL = """SELECT {key} AS query_id, u.v, {tags} AS query_tags FROM (SELECT
   (SELECT {key}, pos, avg(x) AS x FROM (SELECT {key}, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS x FROM {seeds} s JOIN embeddings ON vec_id = s.item_id) GROUP BY 1, 2)) GROUP BY 1) u"""
 
 
-@query("j01_item_mode", f"{SCORED}, {_mode_sql('SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, tags_l AS query_tags FROM embeddings JOIN facts ON item_id = vec_id', 'SELECT vec_id AS query_id, vec_id AS item_id FROM embeddings')} SELECT query_id, item_id, relevance FROM ranks WHERE rank <= 500")
-def j01(spark, sf):
+def item_mode(spark, sf) -> Mode:
     """Every item as a query, itself excluded."""
     items = _mode_items(spark, sf)
-    queries = items.select(F.col("item_id").alias("query_id"), F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("item_tags").alias("query_tags"))
-    own = items.select(F.col("item_id").alias("query_id"), "item_id")
-    return pipelines.mode_ranking(queries, items, own, frame(spark, sf, "stats"), _relevance).select("query_id", "item_id", "relevance")
+    key = F.col("item_id").cast("string").alias("query_id")
+    queries = items.select(key, F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.col("item_tags").alias("query_tags"))
+    return Mode("item", queries, items, items.select(key, "item_id"))
+
+
+@query("j01_item_mode", f"{SCORED}, {_mode_sql('SELECT vec_id AS query_id, embedding::DOUBLE[] AS v, tags_l AS query_tags FROM embeddings JOIN facts ON item_id = vec_id', 'SELECT vec_id AS query_id, vec_id AS item_id FROM embeddings')} SELECT query_id, item_id, relevance, score, rank FROM ranks WHERE rank <= 500")
+def j01(spark, sf):
+    found = _ranked(item_mode(spark, sf), frame(spark, sf, "stats"))
+    return found.select(F.col("query_id").cast("long").alias("query_id"), "item_id", "relevance", "score", "rank")
 
 
 def _mean_queries(spark, sf, pairs: DataFrame, key: str) -> DataFrame:
     means = vectors.seed_average(pairs, item_vectors(spark, sf), key)
-    return means.select(F.col(key).alias("query_id"), "vector", F.array().cast("array<string>").alias("query_tags"))
+    return means.select(F.col(key).cast("string").alias("query_id"), "vector", F.array().cast("array<string>").alias("query_tags"))
 
 
-@query("j02_author_mode", f"{SCORED}, byau AS (SELECT DISTINCT unnest({D.AUTHORS}) AS author_id, item_id FROM items), {_mode_sql(_MEAN_SQL.format(key='author_id', seeds='byau', tags='[]::VARCHAR[]'), 'SELECT author_id AS query_id, item_id FROM byau')} SELECT query_id, count(*) AS n, round(sum(relevance), 3) AS total FROM ranks WHERE rank <= 500 GROUP BY 1")
-def j02(spark, sf):
+def author_mode(spark, sf) -> Mode:
     """Mean vectors of authors, without their own catalogue."""
     own = docs_ops.by_author(frame(spark, sf, "items"))
-    found = pipelines.mode_ranking(_mean_queries(spark, sf, own, "author_id"), _mode_items(spark, sf), own.withColumnRenamed("author_id", "query_id"), frame(spark, sf, "stats"), _relevance)
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("relevance"), 3).alias("total"))
+    return Mode("author", _mean_queries(spark, sf, own, "author_id"), _mode_items(spark, sf), own.withColumnRenamed("author_id", "query_id"))
+
+
+@query("j02_author_mode", f"{SCORED}, byau AS (SELECT DISTINCT unnest({D.AUTHORS}) AS author_id, item_id FROM items), {_mode_sql(_MEAN_SQL.format(key='author_id', seeds='byau', tags='[]::VARCHAR[]'), 'SELECT author_id AS query_id, item_id FROM byau')} SELECT query_id, item_id, relevance, rank FROM ranks WHERE rank <= 500")
+def j02(spark, sf):
+    return _ranked(author_mode(spark, sf), frame(spark, sf, "stats")).select("query_id", "item_id", "relevance", "rank")
 
 
 _J03_SEEDS = "(SELECT user_id, item_id FROM inter WHERE label = 1)"
 
 
-@query("j03_reviewer_mode", f"{LABELLED}{_ITEMS}, {cte('plays').removeprefix('WITH ')}, {_mode_sql(_MEAN_SQL.format(key='user_id', seeds=_J03_SEEDS, tags='[]::VARCHAR[]'), 'SELECT user_id AS query_id, item_id FROM reviews UNION SELECT user_id, item_id FROM plays')} SELECT query_id, count(*) AS n, round(sum(relevance), 3) AS total FROM ranks WHERE rank <= 500 GROUP BY 1")
-def j03(spark, sf):
+def reviewer_mode(spark, sf) -> Mode:
     """Mean vectors of users' positives, without what they reviewed or played."""
-    reviews = frame(spark, sf, "reviews")
     good = inter(spark, sf).where(F.col("label") == 1).select("user_id", "item_id")
-    seen = interactions.seen(reviews, frame(spark, sf, "plays")).withColumnRenamed("user_id", "query_id")
-    found = pipelines.mode_ranking(_mean_queries(spark, sf, good, "user_id"), _mode_items(spark, sf), seen, frame(spark, sf, "stats"), _relevance)
-    return found.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.sum("relevance"), 3).alias("total"))
+    seen = interactions.seen(frame(spark, sf, "reviews"), frame(spark, sf, "plays")).withColumnRenamed("user_id", "query_id")
+    return Mode("reviewer", _mean_queries(spark, sf, good, "user_id"), _mode_items(spark, sf), seen)
 
 
-@query("j04_vibe_mode")
-def j04(spark, sf):
+@query("j03_reviewer_mode", f"{LABELLED}{_ITEMS}, {cte('plays').removeprefix('WITH ')}, {_mode_sql(_MEAN_SQL.format(key='user_id', seeds=_J03_SEEDS, tags='[]::VARCHAR[]'), 'SELECT user_id AS query_id, item_id FROM reviews UNION SELECT user_id, item_id FROM plays')} SELECT query_id, item_id, relevance, rank FROM ranks WHERE rank <= 500")
+def j03(spark, sf):
+    return _ranked(reviewer_mode(spark, sf), frame(spark, sf, "stats")).select("query_id", "item_id", "relevance", "rank")
+
+
+def vibe_mode(spark, sf) -> Mode:
     """Canonical system and tag texts against item texts by hashed text vectors."""
     items = frame(spark, sf, "items")
     texts = items.select("item_id", T.profile_text(T.clean_systems("system"), T.merged_tags("genre", "tags")).alias("text"))
@@ -149,17 +166,63 @@ def j04(spark, sf):
     asked = embedded.where(F.col("k").startswith("q")).select(F.substring("k", 2, 999).alias("query_id"), "vector")
     asked = asked.withColumn("query_tags", T.parsed_profile("query_id")["tags"])
     none = docs.select(F.lit("").alias("query_id"), "item_id").limit(0)
-    return pipelines.mode_ranking(asked, docs, none, frame(spark, sf, "stats"), _relevance)
+    return Mode("vibe", asked, docs, none)
 
 
-@query("j06_stored_or_live", f"{SCORED}, {TOP} SELECT query_id, item_id, rank, CASE WHEN query_id % 3 = 0 THEN 'stored' ELSE 'live' END AS source FROM ranked WHERE rank <= 10")
+@query("j04_vibe_mode")
+def j04(spark, sf):
+    return _ranked(vibe_mode(spark, sf), frame(spark, sf, "stats"))
+
+
+MODES = (item_mode, author_mode, reviewer_mode, vibe_mode)
+
+
+def _store(spark) -> RankingStore:
+    return RankingStore(spark, src.scratch(spark))
+
+
+def _ranks_sql(queries: str, seen: str, tables: str) -> str:
+    """The ranks of ``_mode_sql`` under names of their own."""
+    names = ("iv", "qs", "sn", "c0", "c1", "c2", "c3", "c4", "ranks")
+    return re.sub(rf"\b({'|'.join(names)})\b", lambda m: f"{m[0]}_{tables}", _mode_sql(queries, seen))
+
+
+_J05 = ", ".join((
+    f"{LABELLED}{_ITEMS}, {cte('plays').removeprefix('WITH ')}, byau AS (SELECT DISTINCT unnest({D.AUTHORS}) AS author_id, item_id FROM items)",
+    _ranks_sql("SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS v, tags_l AS query_tags FROM embeddings JOIN facts ON item_id = vec_id", "SELECT vec_id::VARCHAR AS query_id, vec_id AS item_id FROM embeddings", "i"),
+    _ranks_sql(_MEAN_SQL.format(key="author_id", seeds="byau", tags="[]::VARCHAR[]"), "SELECT author_id AS query_id, item_id FROM byau", "a"),
+    _ranks_sql(_MEAN_SQL.format(key="user_id", seeds=_J03_SEEDS, tags="[]::VARCHAR[]"), "SELECT user_id AS query_id, item_id FROM reviews UNION SELECT user_id, item_id FROM plays", "r"),
+))
+
+
+@query("j05_bulk_publish", f"{_J05} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id AS key, item_id, score, relevance, rank FROM ranks_{m[0]} WHERE rank <= 500" for m in ("item", "author", "reviewer")))
+def j05(spark, sf):
+    """All four modes published as one version (J5); the rows of three are read back, the
+    fourth (``j04_vibe_mode``) has text vectors that SQL does not make."""
+    store = _store(spark)
+    version = precompute.precompute(store, [m(spark, sf) for m in MODES], frame(spark, sf, "stats"), _relevance)
+    return reduce(DataFrame.unionByName, [store.read(m, version).select(F.lit(m).alias("mode"), "key", "item_id", "score", "relevance", "rank") for m in ("item", "author", "reviewer")])
+
+
+@query("j05_incremental_publish", f"{_J05} SELECT query_id AS key, item_id, score, relevance, rank FROM ranks_i WHERE rank <= 500")
+def j05_again(spark, sf):
+    """Item rankings of a smaller catalogue with older ratings, then an update to the whole one,
+    which ranks only the keys that it can change."""
+    store, mode, stats = _store(spark), item_mode(spark, sf), frame(spark, sf, "stats")
+    older = (F.col("item_id") % 40) != 7
+    before = Mode("item", mode.queries.where((F.col("query_id").cast("long") % 40) != 7), mode.items.where(older), mode.seen.where(older))
+    precompute.precompute(store, [before], stats.where(F.col("item_id") != 11), _relevance)
+    precompute.precompute(store, [mode], stats, _relevance)
+    return store.read("item")
+
+
+@query("j06_stored_or_live", f"{_J05} SELECT query_id AS key, item_id, score, relevance, rank, CASE WHEN query_id::BIGINT % 3 = 0 THEN 'stored' ELSE 'live' END AS source FROM ranks_i WHERE rank <= 500")
 def j06(spark, sf):
-    """Stored rankings for some keys, the live plan for the rest."""
-    every = scored(spark, sf)
-    live = lambda q: ranking.ranked(every.join(q.select("query_id"), "query_id", "left_semi"), F.desc("score"), most=10)
-    asked = every.select("query_id").distinct()
-    stored = live(asked.where(F.col("query_id") % 3 == 0)).select("query_id", "item_id", "rank")
-    return pipelines.stored_or_live(asked, stored, live)
+    """A published table answers the keys it has; only the others are ranked."""
+    store, mode, stats = _store(spark), item_mode(spark, sf), frame(spark, sf, "stats")
+    some = Mode("item", mode.queries.where(F.col("query_id").cast("long") % 3 == 0), mode.items, mode.seen)
+    precompute.precompute(store, [some], stats, _relevance)
+    return store.lookup(mode.queries.select(F.col("query_id").alias("key")), "item", precompute.live_ranking(mode, stats, _relevance))
 
 
 @query("j07_selection")
@@ -184,8 +247,6 @@ def j08(spark, sf):
 @query("j09_refilter", f"{SCORED}, {TOP} SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM ranked JOIN facts USING (item_id) WHERE year >= 1995")
 def j09(spark, sf):
     """A stored pool filtered anew, without scoring."""
-    from recoflow.sources import tables as src
-
     path = src.scratch(spark)
     ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").write.parquet(path)
     kept = src.read(spark, path).join(facts(spark, sf).select("item_id", "year"), "item_id").where(filters.year_between(F.lit(1995), F.lit(9999)))
