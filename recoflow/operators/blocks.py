@@ -119,18 +119,22 @@ class CellIndex:
                     n = blocks[cell]
                     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                     take = pa.array(np.repeat(row, n))
-                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(take), part.column("q").take(take), pa.array(np.repeat(first[cell], n) + place)], ["query_id", "q", "block"])
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(take), part.column("q").take(take), pa.array(np.repeat(first[cell], n) + place), part.column("skip").take(take)], ["query_id", "q", "block", "skip"])
 
         kind = queries.schema["query_id"].dataType.simpleString()
-        ready = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q")).where(F.col("q").isNotNull())
-        return ready.mapInArrow(send, f"query_id {kind}, q array<double>, block long")
+        ready = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("q"), *self._skip(queries)).where(F.col("q").isNotNull())
+        return ready.mapInArrow(send, f"query_id {kind}, q array<double>, block long, skip array<{self.kind}>")
+
+    def _skip(self, queries: DataFrame) -> list:
+        return [F.col("skip") if "skip" in queries.columns else F.lit(None).cast(f"array<{self.kind}>").alias("skip")]
 
     def search(self, queries: DataFrame, floor: float = -np.inf, most: int | None = None, target: float | None = None) -> DataFrame:
         """query_id, item_id, cos of the pairs at or above the floor, of these the ``most``
         best of a query and block (equals by item_id).  With ``target``, a query looks only
         into the cells that should hold that share of its pairs, the fullest first.
 
-        queries: query_id, vector.
+        queries: query_id, vector and, optionally, skip: an array of item_ids (numbers) that
+        the query must not get.
         """
         kind = queries.schema["query_id"].dataType.simpleString()
         if not len(self.centres):
@@ -139,8 +143,8 @@ class CellIndex:
         parts = F.array(*[F.lit(int(max(1, x))) for x in self.blocks])
         at = F.col("cell").cast("int")
         block = (F.get(first, at) + F.pmod(F.xxhash64("item_id"), F.get(parts, at))).cast("long")
-        held = self.rows.select(block.alias("block"), F.lit(False).alias("asks"), F.lit(None).cast(kind).alias("query_id"), "item_id", F.col("vector").alias("v"))
-        asked = self._sent(queries, floor, target).select("block", F.lit(True).alias("asks"), "query_id", F.lit(None).cast(self.kind).alias("item_id"), F.col("q").alias("v"))
+        held = self.rows.select(block.alias("block"), F.lit(False).alias("asks"), F.lit(None).cast(kind).alias("query_id"), "item_id", F.col("vector").alias("v"), *self._skip(self.rows))
+        asked = self._sent(queries, floor, target).select("block", F.lit(True).alias("asks"), "query_id", F.lit(None).cast(self.kind).alias("item_id"), F.col("q").alias("v"), "skip")
         both = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "asks")
         return both.mapInArrow(_past_blocks(floor, most), f"query_id {kind}, item_id {self.kind}, cos double")
 
@@ -178,7 +182,15 @@ def _past_blocks(floor: float, most: int | None):
                 for c in range(0, len(part), 512):
                     ask = part.slice(c, 512)
                     product = _matrix(ask.column("v")) @ items.T
-                    keep = product >= floor
+                    skip = ask.column("skip")
+                    if skip.null_count < len(skip):
+                        own = np.repeat(np.arange(len(skip)), np.nan_to_num(skip.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                        known, unwanted = ids.to_numpy(zero_copy_only=False), skip.flatten().to_numpy(zero_copy_only=False)
+                        for side, step in (("left", 0), ("right", -1)):  # ids are sorted; two rows of one id stand side by side
+                            at = np.clip(np.searchsorted(known, unwanted, side) + step, 0, len(known) - 1)
+                            hit = known[at] == unwanted
+                            product[own[hit], at[hit]] = -np.inf
+                    keep = (product >= floor) & (product > -np.inf)
                     if most is not None and most < len(items):
                         best = np.argsort(-product, 1, kind="stable")[:, :most]
                         inside = np.zeros_like(keep)

@@ -493,16 +493,3 @@ def k19(spark, sf):
     floors = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.55, 0.6)]))
     n = scored(spark, sf).withColumn("floor", floors).where(F.col("relevance") >= F.col("floor")).groupBy("floor", "query_id").agg(F.count("*").alias("n"))
     return n.groupBy("floor").agg(F.round(F.percentile("n", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("n", F.lit(0.1)), 6).alias("worst_decile"))
-
-
-@query("i11_trained_scorer")
-def i11(spark, sf):
-    """A logistic pair scorer on cosine and shared tags, selected on other queries (I11,
-    I12): its relevance for all candidates."""
-    known = pool(spark, sf).withColumn("shared", F.size(F.array_intersect("query_tags", "item_tags")).cast("double"))
-    data = evaluate.judged(known, classes(spark, sf)).withColumn("label", F.coalesce("hit", F.lit(0)).cast("double")).select("query_id", "item_id", "cos", "shared", "label")
-    train, valid = data.where(F.col("query_id") % 2 == 0), data.where(F.col("query_id") % 2 == 1)
-    model, _ = pipelines.train_scorer(train, ["cos", "shared"], valid)
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(data).select("query_id", "item_id", F.round(vector_to_array("probability")[1], 6).alias("relevance"))

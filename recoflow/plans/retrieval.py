@@ -425,13 +425,6 @@ def i01(spark, sf):
     return found.select("doc_id", F.round(vectors.norm("vector"), 6).alias("length"))
 
 
-@query("i02_query_vectors")
-def i02(spark, sf):
-    """A second encoder over query texts."""
-    texts = frame(spark, sf, "items").select("item_id", T.profile_text(T.clean_systems("system"), T.merged_tags("genre", "tags")).alias("query_text"))
-    return vectors.embed(texts, "item_id", "query_text").select("item_id", F.round(vectors.norm("vector"), 6).alias("length"))
-
-
 @query("i08_pair_scores", f"{cte('items')} SELECT a.item_id AS query_id, b.item_id, round(1 / (1 + exp(-(length(a.tags) - length(coalesce(b.author, '')))::DOUBLE)), 6) AS relevance FROM items a JOIN items b ON b.item_id = a.item_id + 1")
 def i08(spark, sf):
     """The scorer hook with a scorer of text lengths."""
