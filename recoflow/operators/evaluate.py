@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recoflow.sources.tables import numbered
-
 
 def judged(ranking: DataFrame, labels: DataFrame, key: str = "query_id") -> DataFrame:
     """Adds hit: 1 where the item is another of the query's label, else null.
@@ -88,26 +86,39 @@ def agreement(reference: DataFrame, other: DataFrame, k: int, key: str = "query_
     return flags.join(moved, key, "left")
 
 
+#: The prime of the hash that makes weights, and the steps at which a number
+#: in [0, 1) is one more under a Poisson law of mean 1.
+PRIME = 2147483647
+POISSON_STEPS = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940581, 0.99991676, 0.99998975, 0.99999888)
+
+
+def resample_weight(unit: Column, b: Column) -> Column:
+    """How often resample b draws a row: Poisson of mean 1, from the row's number in [0, PRIME)
+    by a linear hash of b, so that rows are independent and results repeat."""
+    step, shift = (b * 1103515245 + 12345) % PRIME, (b * 22695477 + 1) % PRIME
+    u = (unit * step + shift) % PRIME / PRIME
+    return sum((u >= t).cast("int") for t in POISSON_STEPS)
+
+
 def bootstrap(deltas: DataFrame, resamples: int = 2000, seed: int = 7, *by: str) -> DataFrame:
     """Mean delta and its 2.5 and 97.5 percentiles over resampled queries (K9).
 
-    deltas: query_id (a number, where there is no ``by``), delta (and ``by``).  Each
-    resample draws n queries by an md5 of seed, resample and draw, so that results repeat.
-    Resamples are dealt to tasks and grouped as they are made: no list of them is held.
+    deltas: query_id, delta (and ``by``); one row a query and ``by``.  Every resample gives
+    each query a Poisson weight by a hash of seed, query and resample, the same for all
+    variants, so that they are paired; weights and weighted deltas are added up where the
+    rows are, and a row a partition, resample and variant is shuffled.  Nothing is drawn,
+    numbered or joined.
     """
-    if by:
-        indexed = deltas.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("query_id")) - 1)
-    else:
-        indexed = numbered(deltas, "query_id").withColumn("i", F.col("place") - 1)
-    sizes = indexed.groupBy(*by).agg(F.count("*").alias("n"), F.avg("delta").alias("mean"))
-    rounds = deltas.sparkSession.range(1, resamples + 1).withColumnRenamed("id", "b")
-    draws = rounds.crossJoin(sizes).withColumn("d", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col("d").cast("string")))
-    draws = draws.withColumn("i", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % F.col("n"))
-    means = draws.join(indexed.select(*by, "i", "delta"), [*by, "i"]).groupBy(*by, "b").agg(F.avg("delta").alias("m"))
-    ends = means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    sizes = sizes.select(*by, "n", "mean")
-    out = sizes.join(ends, list(by)) if by else sizes.crossJoin(F.broadcast(ends))
+    unit = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("query_id").cast("string"))), 1, 8), 16, 10).cast("long") % PRIME
+    rows = deltas.select(*by, F.col("delta").cast("double").alias("delta"), unit.alias("_u"))
+    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples).cast("long"))))
+    # resample 0 is the sample itself
+    w = F.when(F.col("b") == 0, 1).otherwise(resample_weight(F.col("_u"), F.col("b")))
+    sums = each.select(*by, "b", "delta", w.alias("w")).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("delta")).alias("wd"))
+    means = sums.where("w > 0").select(*by, "b", "w", (F.col("wd") / F.col("w")).alias("m"))
+    sample = F.when(F.col("b") == 0, F.col("m"))
+    drawn = F.when(F.col("b") > 0, F.col("m"))
+    out = means.groupBy(*by).agg(F.max(F.when(F.col("b") == 0, F.col("w"))).alias("n"), F.max(sample).alias("mean"), F.percentile(drawn, F.lit(0.025)).alias("low"), F.percentile(drawn, F.lit(0.975)).alias("high"))
     return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 

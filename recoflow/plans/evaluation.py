@@ -395,17 +395,21 @@ def k08(spark, sf):
     return found.groupBy("filter").agg(F.count("*").alias("n_queries"), F.round(F.avg("overlap"), 6).alias("overlap"))
 
 
-def _bootstrap_sql(deltas: str, n_boot: int) -> str:
-    return f"""dl AS ({deltas}), ix AS (SELECT delta, row_number() OVER (ORDER BY query_id) - 1 AS i FROM dl), sz AS (SELECT count(*) AS n, avg(delta) AS mean FROM dl),
-  dr AS (SELECT b, CAST('0x' || substr(md5('7|' || b || '|' || d), 1, 8) AS BIGINT) % n AS i FROM sz, range(1, {n_boot + 1}) t(b), range(1, 100000) u(d) WHERE d <= n),
-  ms AS (SELECT b, avg(delta) AS m FROM dr JOIN ix USING (i) GROUP BY 1), en AS (SELECT quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms)"""
+def _bootstrap_sql(deltas: str, n_boot: int, by: str = "0") -> str:
+    """en: by, n, mean, low, high, significant of a table of query_id, delta (and ``by``)."""
+    steps = " + ".join(f"(u >= {t})::INT" for t in evaluate.POISSON_STEPS)
+    p = evaluate.PRIME
+    return f"""dl AS MATERIALIZED (SELECT {by} AS g, delta, CAST('0x' || substr(md5('7|' || query_id), 1, 8) AS BIGINT) % {p} AS x FROM ({deltas})),
+  dr AS (SELECT g, b, delta, {steps} AS w FROM (SELECT g, b, delta, ((x * ((b * 1103515245 + 12345) % {p}) + (b * 22695477 + 1) % {p}) % {p})::DOUBLE / {p} AS u FROM dl, range(1, {n_boot + 1}) t(b))),
+  ms AS (SELECT g, b, sum(w * delta) / sum(w) AS m FROM dr GROUP BY 1, 2 HAVING sum(w) > 0), ed AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM ms GROUP BY 1),
+  en AS (SELECT g, n, mean, low, high, low > 0 OR high < 0 AS significant FROM ed JOIN (SELECT g, count(*) AS n, avg(delta) AS mean FROM dl GROUP BY 1) USING (g))"""
 
 
 _DELTA = f"{SCORED}, {TOP}, bycos AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM scored), {TRUTH}"
 _M1, _M2 = metrics_sql("ranked", (10,)), metrics_sql("bycos", (10,)).replace("nrel", "nrel2").replace("hit", "hit2").replace("met ", "met2 ")
 
 
-@query("k09_k10_bootstrap", f"{_DELTA}, {_M1}, {_M2}, {_bootstrap_sql('SELECT query_id, met.ndcg_10 - met2.ndcg_10 AS delta FROM met JOIN met2 USING (query_id)', 2000)} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, low > 0 OR high < 0 AS significant FROM sz, en")
+@query("k09_k10_bootstrap", f"{_DELTA}, {_M1}, {_M2}, {_bootstrap_sql('SELECT query_id, met.ndcg_10 - met2.ndcg_10 AS delta FROM met JOIN met2 USING (query_id)', 2000)} SELECT n, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, significant FROM en")
 def k09(spark, sf):
     """Two scorers on the same pools: paired NDCG change with its interval."""
     s, n = judged(spark, sf), relevant(spark, sf)
@@ -476,15 +480,36 @@ def k17(spark, sf):
     return _round(evaluate.metrics_by(v.withColumn("rank", place), None, "w", relevant=relevant(spark, sf)), "w", "n_queries")
 
 
-@query("k18_tag_orders")
+_K18_TAGS = {
+    "given": "tags_l", "frequent": "f.tags", "rare": "list_reverse(f.tags)", "sorted": "list_sort(tags_l)", "reversed": "list_reverse(tags_l)",
+    "hashed": "list_transform(list_sort(list_transform(tags_l, lambda t: md5(t) || t)), lambda t: t[33:])",
+}
+_K18_ORDERS = " UNION ALL ".join(f"SELECT '{name}' AS variant, item_id AS query_id, ({tags})[1:3] AS query_tags FROM facts JOIN f USING (item_id)" for name, tags in _K18_TAGS.items())
+_K18 = f"""{SCORED}, {TRUTH}, tn AS (SELECT t, count(*) AS n FROM (SELECT unnest(tags_l) AS t FROM facts) GROUP BY 1),
+  f AS (SELECT item_id, coalesce(list(t ORDER BY n DESC, t) FILTER (t IS NOT NULL), []) AS tags FROM (SELECT item_id, unnest(CASE WHEN len(tags_l) = 0 THEN [NULL] ELSE tags_l END) AS t FROM facts) LEFT JOIN tn USING (t) GROUP BY 1),
+  od AS ({_K18_ORDERS}),
+  lv AS (SELECT variant, s.*, query_tags, len(list_intersect(query_tags, i.tags_l)) AS shared FROM scored s JOIN od USING (query_id) JOIN facts i ON i.item_id = s.item_id),
+  lw AS (SELECT *, CASE WHEN shared >= CASE WHEN len(query_tags) >= 3 THEN 2 ELSE 1 END THEN 0 WHEN shared >= 1 THEN 1 ELSE 2 END AS level FROM lv),
+  lx AS (SELECT *, min(level) OVER (PARTITION BY variant, query_id) AS best FROM lw), kp AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY variant, query_id ORDER BY score DESC, item_id) AS rank FROM lx WHERE level <= best),
+  sz AS (SELECT variant, avg(n) AS mean_pool FROM (SELECT variant, query_id, count(*) AS n FROM kp GROUP BY 1, 2) GROUP BY 1), {metrics_sql('kp', (10,), 'query_id, variant')},
+  {_bootstrap_sql("SELECT m.query_id, m.variant, m.ndcg_10 - g.ndcg_10 AS delta FROM met m JOIN met g ON g.query_id = m.query_id AND g.variant = 'given'", 2000, 'variant')}"""
+
+
+@query("k18_tag_orders", f"{_K18} SELECT en.g AS variant, n, round(mean_pool, 6) AS mean_pool, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, significant FROM en JOIN sz ON sz.variant = en.g")
 def k18(spark, sf):
-    """Four orders of the query's tags under the first-three-tags prefilter."""
-    p = pool(spark, sf).drop("query_tags")
-    full = facts(spark, sf).select(F.col("item_id").alias("query_id"), F.col("item_tags").alias("query_tags"))
-    asked = pipelines.tag_orders(full).withColumn("query_tags", F.slice("query_tags", 1, 2))
-    v = p.join(asked, "query_id").withColumn("query_id", F.struct("variant", "query_id"))
-    kept = filters.tag_prefilter(v, min_matches=2, matches_from=2).groupBy("query_id").agg(F.count("*").alias("n"))
-    return kept.groupBy(F.col("query_id.variant").alias("variant")).agg(F.count("*").alias("n_queries"), F.round(F.avg("n"), 6).alias("mean_pool"))
+    """Six orders of the query's tags, of which the prefilter sees the first three: pool sizes,
+    and the change of NDCG from the given order with its interval (K18)."""
+    known = facts(spark, sf).select("item_id", "item_tags")
+    asked = pipelines.tag_orders(known.select(F.col("item_id").alias("query_id"), F.col("item_tags").alias("query_tags"))).withColumn("query_tags", F.slice("query_tags", 1, 3))
+    v = judged(spark, sf).join(known, "item_id").join(asked, "query_id").withColumn("_q", F.struct("variant", "query_id"))
+    kept = ranking.ranked(filters.tag_prefilter(v, key="_q"), F.desc("score"), key="_q")
+    sizes = kept.groupBy("_q").agg(F.count("*").alias("n")).groupBy(F.col("_q.variant").alias("variant")).agg(F.avg("n").alias("mean_pool"))
+    n_rel = asked.select("query_id", "variant").join(relevant(spark, sf), "query_id").select(F.struct("variant", "query_id").alias("_q"), "n_rel")
+    found = evaluate.query_metrics(kept.select("_q", "item_id", "rank", "hit"), None, (10,), key="_q", relevant=n_rel).select("_q.*", "ndcg_10")
+    # the given order's value beside all others of the query, without a join
+    given = F.max(F.when(F.col("variant") == "given", F.col("ndcg_10"))).over(Window.partitionBy("query_id"))
+    ends = evaluate.bootstrap(found.select("query_id", "variant", (F.col("ndcg_10") - given).alias("delta")).where(F.col("delta").isNotNull()), 2000, 7, "variant")
+    return ends.join(sizes, "variant").select("variant", "n", *[F.round(c, 6).alias(c) for c in ("mean_pool", "mean", "low", "high")], "significant")
 
 
 @query("k19_floor_depths", f"{SCORED}, n AS (SELECT f AS floor, query_id, count(*) AS n FROM scored, (SELECT unnest([0.0, 0.55, 0.6]::DOUBLE[]) AS f) WHERE relevance >= f GROUP BY 1, 2) SELECT floor, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.1), 6) AS worst_decile FROM n GROUP BY 1")
