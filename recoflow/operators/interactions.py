@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from recoflow.functions import text as T
@@ -94,9 +94,21 @@ def canonical(picks: DataFrame, key: str, ranks: DataFrame) -> DataFrame:
     return placed.groupBy(key).agg(F.transform(inorder, lambda x: x["v"]).alias("values"))
 
 
-def text_pairs(pairs: DataFrame, profiles: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs with both texts; a pair that lacks one is left out."""
-    return pairs.join(profiles.select("user_id", "profile_text"), "user_id").join(docs.select("item_id", "doc_text"), "item_id")
+def _observed(rows: DataFrame, whole: Column, observation: Observation | None) -> DataFrame:
+    """The whole rows; ``observation`` gets n_kept and n_skipped in the same pass, once the
+    rows have been computed."""
+    marked = rows.withColumn("_whole", whole)
+    if observation is not None:
+        count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+        marked = marked.observe(observation, count(F.col("_whole")).alias("n_kept"), count(~F.col("_whole")).alias("n_skipped"))
+    return marked.where("_whole").drop("_whole")
+
+
+def text_pairs(pairs: DataFrame, profiles: DataFrame, docs: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """Pairs with both texts, and their labels (D6, L2, L4); a pair that lacks a text is left
+    out, and counted where there is an ``observation``."""
+    both = pairs.join(profiles.select("user_id", "profile_text"), "user_id", "left").join(docs.select("item_id", "doc_text"), "item_id", "left")
+    return _observed(both, F.col("profile_text").isNotNull() & F.col("doc_text").isNotNull(), observation)
 
 
 def triplets(parts: DataFrame) -> DataFrame:
@@ -105,6 +117,20 @@ def triplets(parts: DataFrame) -> DataFrame:
     return parts.where(F.col("label") == 1).select("user_id", F.col("item_id").alias("positive")).join(first, "user_id")
 
 
+def text_triplets(parts: DataFrame, profiles: DataFrame, docs: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """user_id, positive, negative with profile_text, positive_text, negative_text (L3): each
+    positive with the user's first negative that has a text.  Positives without a profile,
+    a text or such a negative are left out, and counted where there is an ``observation``."""
+    known = docs.where(F.col("doc_text").isNotNull())
+    usable = parts.where(F.col("label") == 0).join(known.select("item_id", "doc_text"), "item_id")
+    first = usable.groupBy("user_id").agg(F.min(F.struct("item_id", "doc_text")).alias("n")).select("user_id", F.col("n.item_id").alias("negative"), F.col("n.doc_text").alias("negative_text"))
+    rows = parts.where(F.col("label") == 1).select("user_id", F.col("item_id").alias("positive"))
+    rows = rows.join(profiles.select("user_id", "profile_text"), "user_id", "left").join(first, "user_id", "left")
+    rows = rows.join(known.select(F.col("item_id").alias("positive"), F.col("doc_text").alias("positive_text")), "positive", "left")
+    whole = F.col("profile_text").isNotNull() & F.col("negative").isNotNull() & F.col("positive_text").isNotNull()
+    return _observed(rows, whole, observation).select("user_id", "positive", "negative", "profile_text", "positive_text", "negative_text")
+
+
 def sampled(pairs: DataFrame, share: float, *key: str) -> DataFrame:
     """A share of the rows by a hash of their key, the same at every run."""
     return pairs.where(hash_unit(*key) < share)

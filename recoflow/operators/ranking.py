@@ -55,6 +55,29 @@ def by_relevance(scored: DataFrame, key: str = "query_id") -> DataFrame:
     return ranked(scored, F.desc("relevance"), F.desc("score"), key=key)
 
 
+def peeled(scored: DataFrame, most: int, key: str = "query_id") -> DataFrame:
+    """key, item_id, rank, aside, heavy: what the author cap decides without looking at the
+    whole pool; aside is null where it must, and heavy then has the authors that matter.
+
+    Authors of at most ``most`` items of a pool can never be full, so they do not matter; an
+    item with no other author stays.  An author who shares no item with another one that
+    matters gets its first ``most`` items.  Of items with the very same authors only the
+    first ``most`` can stay: if one of those was set aside, an author was full, and if none
+    was, all are now.
+    """
+    each = scored.select(key, "rank", F.explode(F.array_distinct("authors")).alias("a"))
+    each = each.withColumn("n", F.count("*").over(Window.partitionBy(key, "a"))).where(F.col("n") > most)
+    each = each.withColumn("k", F.count("*").over(Window.partitionBy(key, "rank")))
+    own = Window.partitionBy(key, "a")
+    each = each.withColumn("together", F.max("k").over(own)).withColumn("nth", F.row_number().over(own.orderBy("rank")))
+    items = each.groupBy(key, "rank").agg(F.max("together").alias("together"), F.max("nth").alias("nth"), F.array_sort(F.collect_list("a")).alias("heavy"))
+    found = scored.select(key, "item_id", "rank").join(items, [key, "rank"], "left")
+    same = F.row_number().over(Window.partitionBy(key, "heavy").orderBy("rank"))
+    late = F.when(F.col("heavy").isNotNull(), same > most)
+    aside = F.when(F.col("heavy").isNull(), F.lit(False)).when(F.col("together") == 1, F.col("nth") > most).when(late, F.lit(True))
+    return found.select(key, "item_id", "rank", aside.alias("aside"), "heavy")
+
+
 def capped(scored: DataFrame, most: int = 2, page: int | None = None, off: Column | None = None, key: str = "query_id") -> DataFrame:
     """At most ``most`` results of any author, greedily by rank.
 
@@ -63,16 +86,14 @@ def capped(scored: DataFrame, most: int = 2, page: int | None = None, off: Colum
     fill a page that stays short (F4); where ``off`` holds, nothing is set aside (F5).
     New ranks.
 
-    Of items of the very same authors only the first ``most`` can stay: if one of those
-    was set aside, an author was full, and if none was, all are now.  So the fold over a
-    key gets so many of each set of authors, however long the pool is.
+    Most items are decided by counts (``peeled``); only those whose authors hang together
+    are folded over, a pool at a time.
     """
-    same = F.row_number().over(Window.partitionBy(key, F.array_sort("authors")).orderBy("rank"))
     marked = scored.select(key, "item_id", "rank", "authors", (F.lit(False) if off is None else F.coalesce(off, F.lit(False))).alias("_off"))
     marked = marked.withColumn("_off", F.max("_off").over(Window.partitionBy(key)))
-    marked = marked.withColumn("_late", F.coalesce(F.size("authors") > 0, F.lit(False)) & (same > most))
-    entry = F.struct("rank", "item_id", "authors")
-    pools = marked.where(~F.col("_late")).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("pool"), F.max("_off").alias("_off"))
+    decided = peeled(marked.where(~F.col("_off")), most, key)
+    entry = F.struct("rank", "item_id", F.col("heavy").alias("authors"))
+    pools = decided.where(F.col("aside").isNull()).groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("pool"))
     start = F.struct(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>")).alias("n"), F.array().cast("array<bigint>").alias("kept"))
 
     def step(state: Column, x: Column) -> Column:
@@ -84,9 +105,8 @@ def capped(scored: DataFrame, most: int = 2, page: int | None = None, off: Colum
         return F.when(full, state).otherwise(taken)
 
     folded = pools.withColumn("kept", F.aggregate("pool", start, step, lambda s: s["kept"]))
-    aside = ~F.array_contains("kept", F.col("x.rank")) & ~F.col("_off")
-    each = folded.withColumn("x", F.explode("pool")).select(key, "x.item_id", "x.rank", aside.alias("aside"))
-    each = each.union(marked.where("_late").select(key, "item_id", "rank", (~F.col("_off")).alias("aside")))
+    each = folded.withColumn("x", F.explode("pool")).select(key, "x.item_id", "x.rank", (~F.array_contains("kept", F.col("x.rank"))).alias("aside"))
+    each = each.union(decided.where(F.col("aside").isNotNull()).select(key, "item_id", "rank", "aside")).union(marked.where("_off").select(key, "item_id", "rank", F.lit(False)))
     if page is None:
         kept = each.where(~F.col("aside"))
     else:

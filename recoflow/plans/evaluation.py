@@ -50,11 +50,6 @@ def l02(spark, sf):
     return parts(spark, sf).where((F.col("split") == "train") & (F.col("label") == 1)).select("user_id", "item_id")
 
 
-@query("l03_triplets", f"{LABELLED}, neg AS (SELECT user_id, min(item_id) AS negative FROM parts WHERE label = 0 GROUP BY 1) SELECT user_id, item_id AS positive, negative FROM parts JOIN neg USING (user_id) WHERE label = 1")
-def l03(spark, sf):
-    return interactions.triplets(parts(spark, sf))
-
-
 def _profile_sql(pairs: str, key: str, least: int = 1) -> str:
     return f"""f AS (SELECT p.{key}, p.item_id, systems_l, tags_l FROM ({pairs}) p JOIN facts USING (item_id)),
   sz AS (SELECT {key}, count(DISTINCT item_id) AS n_items FROM f GROUP BY 1 HAVING count(DISTINCT item_id) >= {least}),
@@ -66,6 +61,18 @@ def _profile_sql(pairs: str, key: str, least: int = 1) -> str:
 _ITEMS = f", {cte('items').removeprefix('WITH ')}, {D.FACTS}"
 
 
+_TRAIN = "SELECT user_id, item_id FROM parts WHERE split = 'train' AND label = 1"
+
+
+@query("l03_triplets", f"{LABELLED}{_ITEMS}, {_profile_sql(_TRAIN, 'user_id')}, doc AS (SELECT item_id, {D.profile('systems_l', 'tags_l')} AS doc_text FROM facts WHERE trim(title) <> ''), neg AS (SELECT user_id, min(item_id) AS negative FROM parts JOIN doc USING (item_id) WHERE label = 0 GROUP BY 1) SELECT user_id, p.item_id AS positive, negative, profile_text, a.doc_text AS positive_text, b.doc_text AS negative_text FROM parts p JOIN neg USING (user_id) JOIN prof USING (user_id) JOIN doc a ON a.item_id = p.item_id JOIN doc b ON b.item_id = negative WHERE label = 1")
+def l03(spark, sf):
+    """Profile, positive and negative with their texts (L3)."""
+    found, items = parts(spark, sf), frame(spark, sf, "items")
+    good = found.where((F.col("split") == "train") & (F.col("label") == 1)).select("user_id", "item_id")
+    docs = docs_ops.complete(items, ("title",)).select("item_id", T.profile_text(T.clean_systems("system"), T.merged_tags("genre", "tags")).alias("doc_text"))
+    return interactions.text_triplets(found, interactions.taste_profiles(good, items, "user_id"), docs)
+
+
 @query("e07_user_profiles", f"{LABELLED}{_ITEMS}, {_profile_sql('SELECT user_id, item_id FROM inter WHERE label = 1 UNION SELECT user_id, item_id FROM reviews WHERE rating >= 4 AND user_id IN (SELECT user_id FROM users)', 'user_id')} SELECT user_id, n_items, profile_text FROM prof")
 def e07(spark, sf):
     """Taste profiles of users over liked items."""

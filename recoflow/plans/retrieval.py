@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recoflow.functions import text as T
 from recoflow.operators import documents as docs_ops
-from recoflow.operators import facets, filters, interactions, ranking, vectors
+from recoflow.operators import facets, filters, interactions, names, ranking, vectors
 from recoflow.plans import duck as D
 from recoflow.plans.fixtures import LABELLED, cte, frame, table
 from recoflow.plans.registry import query
@@ -238,17 +238,21 @@ def d10(spark, sf):
     return top.join(frame(spark, sf, "items").select("item_id", "published"), "item_id", "left").select("query_id", "item_id", T.text_of("published").alias("published"))
 
 
-@query("d13_name_resolution", "WITH ask AS (SELECT n_nationkey AS request_id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) WHEN n_nationkey = 5 THEN 'zzz' ELSE substr(n_name, 4, 5) END AS typed FROM nation), lab AS (SELECT n_nationkey AS k, n_name AS label, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS pop FROM nation) SELECT request_id, arg_min(k, struct_pack(a := lower(label) <> lower(typed), b := pop)) FILTER (WHERE k IS NOT NULL) AS found FROM ask LEFT JOIN lab ON contains(lower(label), lower(typed)) GROUP BY request_id")
+@query("d13_name_resolution", """WITH lab AS (SELECT c_custkey AS key, c_name AS label, row_number() OVER (ORDER BY count(o_orderkey) DESC, c_custkey) AS place FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2),
+  ask AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 5 WHEN 0 THEN upper(c_name) WHEN 1 THEN substr(c_name, 14) WHEN 2 THEN 'zz' || o_custkey WHEN 3 THEN substr(c_name, 17) ELSE 'MER#' END AS typed FROM orders JOIN customer ON c_custkey = o_custkey),
+  tx AS (SELECT DISTINCT lower(typed) AS typed FROM ask), hit AS (SELECT typed, arg_min(key, struct_pack(a := lower(label) <> typed, b := place)) FILTER (WHERE key IS NOT NULL) AS found FROM tx LEFT JOIN lab ON contains(lower(label), typed) GROUP BY 1)
+  SELECT request_id, found FROM ask JOIN hit ON hit.typed = lower(ask.typed)""")
 def d13(spark, sf):
-    """Typed names to keys: an exact label first, else the most popular that holds it."""
-    nation = table(spark, sf, "nation")
-    typed = F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).when(F.col("n_nationkey") == 5, "zzz").otherwise(F.substring("n_name", 4, 5))
-    asked = nation.select(F.col("n_nationkey").alias("request_id"), typed.alias("typed"))
-    from pyspark.sql import Window
-
-    labels = nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("label"), F.row_number().over(Window.orderBy("n_regionkey", "n_nationkey")).alias("pop"))
-    hit = asked.join(F.broadcast(labels), F.contains(F.lower("label"), F.lower("typed")), "left")
-    return hit.groupBy("request_id").agg(F.min_by("k", F.struct((F.lower("label") != F.lower("typed")), "pop")).alias("found"))
+    """Typed customer names to keys: an exact label first, else the most popular (by number
+    of orders) that holds the text (D13)."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    n = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    counted = customers.join(n, "c_custkey", "left").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("label"), F.coalesce("n", F.lit(0)).alias("n"))
+    labels = counted.select("key", "label", (-F.col("n")).alias("place"))
+    name, kind = F.col("c_name"), F.col("o_orderkey") % 5
+    typed = F.when(kind == 0, F.upper(name)).when(kind == 1, F.substring(name, 14, 99)).when(kind == 2, F.concat(F.lit("zz"), F.col("o_custkey").cast("string"))).when(kind == 3, F.substring(name, 17, 99)).otherwise(F.lit("MER#"))
+    asked = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("request_id"), typed.alias("typed"))
+    return names.resolved(asked, labels)
 
 
 @query("h04_overlap", f"{SCORED}, {TOP}, byrel AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM scored), a AS (SELECT * FROM byrel WHERE rank <= 10), b AS (SELECT * FROM ranked WHERE rank <= 10) SELECT a.query_id, round(count(b.item_id) / count(*), 6) AS overlap FROM a LEFT JOIN b ON a.query_id = b.query_id AND a.item_id = b.item_id GROUP BY 1")
