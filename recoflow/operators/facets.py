@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.functions import text as T
@@ -67,10 +67,49 @@ def default_thresholds(pool: DataFrame, key: str = "query_id") -> DataFrame:
 def depth_summary(rankings: DataFrame, few: int = 25, key: str = "query_id") -> DataFrame:
     """Keys, rows, median depth and share of short lists of a ranking table."""
     depth = rankings.groupBy(key).agg(F.count("*").alias("n"))
-    return depth.agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"), F.percentile("n", F.lit(0.5)).alias("median_depth"), F.avg((F.col("n") < few).cast("int")).alias("share_short"))
+    facts = depth.agg(F.count("*").alias("n_keys"), F.sum("n").alias("n_rows"), F.avg((F.col("n") < few).cast("int")).alias("share_short"))
+    middle = quantiles(depth, "n", {"median_depth": 0.5})
+    return facts.join(middle, how="left").select("n_keys", "n_rows", "median_depth", "share_short")
+
+
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], *by: str, ranges: int = 64) -> DataFrame:
+    """Exact quantiles of a column, linearly interpolated, one row a group of ``by`` (nulls are
+    a group) that has values; nulls and NaN of the column don't count.
+
+    Equal values are counted before they are shuffled.  A sketch cuts each group's distinct
+    values into ``ranges``; counts of ranges tell which of them hold the wanted places, and
+    only these are sorted, a range at a time.  So no task holds the values of a group.
+    """
+    group = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(1).alias("_all"))
+    value = F.col(column).cast("double")
+    counts = df.select(group.alias("_g"), F.nanvl(value, F.lit(None).cast("double")).alias("_v")).where(F.col("_v").isNotNull()).groupBy("_g", "_v").agg(F.count("*").alias("_c"))
+    cuts = counts.groupBy("_g").agg(F.percentile_approx("_v", [k / ranges for k in range(1, ranges)], 100 * ranges).alias("_cuts"))
+    cut = counts.join(cuts, "_g").withColumn("_r", F.size(F.filter("_cuts", lambda b: b < F.col("_v")))).drop("_cuts")
+    whole = Window.partitionBy("_g")
+    sizes = cut.groupBy("_g", "_r").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.withColumn("_before", F.sum("_n").over(whole.orderBy("_r")) - F.col("_n")).withColumn("_total", F.sum("_n").over(whole))
+    place = lambda q: F.lit(float(q)) * (F.col("_total") - 1)
+    holds = F.lit(False)
+    for q in shares.values():
+        for at in (F.floor(place(q)), F.ceil(place(q))):
+            holds = holds | ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_n")))
+    rows = cut.join(sizes.where(holds), ["_g", "_r"])
+    rows = rows.withColumn("_end", F.col("_before") + F.sum("_c").over(Window.partitionBy("_g", "_r").orderBy("_v")))
+    value_at = lambda at: F.max(F.when((F.col("_end") - F.col("_c") <= at) & (at < F.col("_end")), F.col("_v")))
+    ends = [x for name, q in shares.items() for x in (value_at(F.floor(place(q))).alias(f"_a_{name}"), value_at(F.ceil(place(q))).alias(f"_b_{name}"), F.max(place(q) - F.floor(place(q))).alias(f"_f_{name}"))]
+    found = rows.groupBy("_g").agg(*ends)
+    between = lambda n: (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n)
+    return found.select(*[F.col(f"_g.{c}").alias(c) for c in by], *map(between, shares))
 
 
 def distribution(df: DataFrame, column: str, *by: str) -> DataFrame:
     """Mean, median, p90, p99 and maximum, linearly interpolated."""
-    at = lambda q: F.percentile(column, F.lit(q))
-    return df.groupBy(*by).agg(F.avg(column).alias("mean"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(column).alias("max"))
+    facts = df.groupBy(*by).agg(F.avg(column).alias("mean"), F.max(column).alias("max"))
+    found = quantiles(df, column, {"p50": 0.5, "p90": 0.9, "p99": 0.99}, *by)
+    if not by:
+        return facts.join(found, how="left").select("mean", "p50", "p90", "p99", "max")
+    other = found.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return facts.join(other, same, "left").select(*by, "mean", "p50", "p90", "p99", "max")

@@ -30,6 +30,26 @@ def score_pairs(pairs: DataFrame, make_scorer, keys: tuple[str, ...] = ("query_i
     return pairs.select(*keys, "query_text", "doc_text").mapInPandas(run, f"{kinds}, relevance double")
 
 
+def shared_terms():
+    """A scorer for ``score_pairs``: the share of terms that two texts have in common, from -4
+    (none) to 4 (all).  Terms are runs of a-z and 0-9 in lower case."""
+    import re
+
+    cut = re.compile("[a-z0-9]+")
+
+    def score(queries: list[str], docs: list[str]) -> list[float]:
+        sets: dict[str, frozenset[str]] = {}
+        terms = lambda t: sets.get(t) or sets.setdefault(t, frozenset(cut.findall(t.lower())))
+        out = []
+        for q, d in zip(queries, docs, strict=True):
+            a, b = terms(q), terms(d)
+            shared = len(a & b)
+            out.append(8 * shared / max(1, len(a) + len(b) - shared) - 4)
+        return out
+
+    return score
+
+
 def blend(relevance: Column, rating: Column, weight: float | Column = 0.5) -> Column:
     """(1 - w) relevance + w rating / 5; an unrated item counts as 2.5."""
     w = F.lit(weight) if not isinstance(weight, Column) else weight

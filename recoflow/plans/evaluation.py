@@ -432,14 +432,33 @@ def k10(spark, sf):
     return found.select("n_pairs", *[F.round(c, 5).alias(c) for c in ("mean", "p99", "max")])
 
 
-@query("k11_sweep_report", f"{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos FROM scored), v AS (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([3, 10]) AS cap) WHERE pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')}, cost AS (SELECT cap, count(*) / count(DISTINCT query_id) AS pairs FROM v GROUP BY 1) SELECT cap::INT AS cap, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr, round(any_value(pairs), 6) AS pairs FROM met JOIN cost USING (cap) GROUP BY 1")
+REPORT_CAPS = (5, 10, *CAPS)
+_K11 = f"""{SCORED}, {TRUTH}, pc AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS pos, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS whole, count(*) OVER (PARTITION BY query_id) AS n_all FROM scored),
+  v AS MATERIALIZED (SELECT pc.*, cap, row_number() OVER (PARTITION BY query_id, cap ORDER BY score DESC, item_id) AS rank FROM pc, (SELECT unnest([{', '.join('NULL' if c is None else str(c) for c in REPORT_CAPS)}]) AS cap) WHERE cap IS NULL OR pos <= cap), {metrics_sql('v', (10,), 'query_id, cap')},
+  cost AS (SELECT cap, avg(n) AS pairs, avg(same) AS overlap FROM (SELECT cap, query_id, count(*) AS n, sum((rank <= 10 AND whole <= 10)::INT) / least(10, any_value(n_all)) AS same FROM v GROUP BY 1, 2) GROUP BY 1),
+  q AS (SELECT cap, count(*) AS n_queries, avg(recall_10) AS recall_10, avg(ndcg_10) AS ndcg_10, avg(rr) AS rr FROM met GROUP BY 1),
+  {_bootstrap_sql("SELECT m.query_id, coalesce(m.cap, 0) AS c, m.ndcg_10 - g.ndcg_10 AS delta FROM met m JOIN met g ON g.query_id = m.query_id AND g.cap IS NULL", 2000, "c")}"""
+
+
+@query("k11_sweep_report", f"{_K11} SELECT q.cap::INT AS cap, n_queries, round(recall_10, 6) AS recall_10, round(ndcg_10, 6) AS ndcg_10, round(rr, 6) AS rr, round(pairs, 6) AS pairs, round(overlap, 6) AS overlap, round(mean, 6) AS change, round(low, 6) AS low, round(high, 6) AS high, significant FROM q JOIN cost ON cost.cap IS NOT DISTINCT FROM q.cap JOIN en ON g = coalesce(q.cap, 0)")
 def k11(spark, sf):
-    """Quality and cost per cap."""
-    s = judged(spark, sf)
-    quality = evaluate.sweep(s, None, (3, 10), relevant=relevant(spark, sf))
-    sizes = s.groupBy("query_id").agg(F.count("*").alias("n")).withColumn("cap", F.explode(F.array(F.lit(3), F.lit(10))))
-    cost = sizes.groupBy("cap").agg(F.avg(F.least("n", "cap")).alias("pairs"))
-    return _round(quality.join(cost, "cap"), "cap", "n_queries")
+    """Per cap: quality, cost, agreement with the whole pool's first ten, and the change of
+    NDCG from the whole pool with its interval (K11)."""
+    whole = ranking.ranked(ranking.ranked(judged(spark, sf), F.desc("cos"), name="pos"), F.desc("score"), name="whole").withColumn("n_all", F.count("*").over(Window.partitionBy("query_id")))
+    caps = F.explode(F.array(*[F.lit(c or 0) for c in REPORT_CAPS]))  # 0: none
+    v = whole.withColumn("cap", caps).where((F.col("cap") == 0) | (F.col("pos") <= F.col("cap")))
+    v = v.withColumn("_q", F.struct("query_id", "cap"))
+    v = ranking.ranked(v, F.desc("score"), key="_q")
+    same = F.sum(((F.col("rank") <= 10) & (F.col("whole") <= 10)).cast("int")) / F.least(F.lit(10), F.first("n_all"))
+    cost = v.groupBy("cap", "query_id").agg(F.count("*").alias("n"), same.alias("same")).groupBy("cap").agg(F.avg("n").alias("pairs"), F.avg("same").alias("overlap"))
+    n_rel = relevant(spark, sf).withColumn("cap", caps).select(F.struct("query_id", "cap").alias("_q"), "n_rel")
+    found = evaluate.query_metrics(v.select("_q", "item_id", "rank", "hit"), None, (10,), key="_q", relevant=n_rel).select("_q.*", "recall_10", "ndcg_10", "rr")
+    uncut = F.max(F.when(F.col("cap") == 0, F.col("ndcg_10"))).over(Window.partitionBy("query_id"))
+    ends = evaluate.bootstrap(found.select("query_id", "cap", (F.col("ndcg_10") - uncut).alias("delta")), 2000, 7, "cap")
+    quality = evaluate.mean_metrics(found, "cap")
+    out = quality.join(cost, "cap").join(ends.select("cap", F.col("mean").alias("change"), "low", "high", "significant"), "cap")
+    cap = F.when(F.col("cap") > 0, F.col("cap")).alias("cap")
+    return out.select(cap, "n_queries", *[F.round(c, 6).alias(c) for c in ("recall_10", "ndcg_10", "rr", "pairs", "overlap", "change", "low", "high")], "significant")
 
 
 @query("k12_equivalence", "SELECT 0::BIGINT AS n_differences")
@@ -477,14 +496,17 @@ def k16(spark, sf):
     return evaluate.audit(top.select("item_id").join(facts(spark, sf), "item_id"), "IFComp")
 
 
-@query("k17_weight_sweep", f"{SCORED}, {TRUTH}, v AS (SELECT query_id, item_id, w, row_number() OVER (PARTITION BY query_id, w ORDER BY round((1 - w) * relevance + w * coalesce(bayesian_avg, 2.5) / 5, 9) DESC, item_id) AS rank FROM scored, (SELECT unnest([0.0, 0.5, 0.75]::DOUBLE[]) AS w)), {metrics_sql('v', (10,), 'query_id, w')} SELECT w, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1")
+@query("k17_weight_sweep", f"{SCORED}, {TRUTH}, rs AS (SELECT *, min(relevance) OVER q AS a, max(relevance) OVER q AS b FROM scored WINDOW q AS (PARTITION BY query_id)), sc AS (SELECT 'raw' AS scheme, query_id, item_id, relevance AS r, bayesian_avg FROM rs UNION ALL SELECT 'rescaled', query_id, item_id, CASE WHEN b > a THEN (relevance - a) / (b - a) ELSE 0 END, bayesian_avg FROM rs), v AS (SELECT query_id, item_id, scheme, w, row_number() OVER (PARTITION BY query_id, scheme, w ORDER BY round((1 - w) * r + w * coalesce(bayesian_avg, 2.5) / 5, 9) DESC, item_id) AS rank FROM sc, (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS w)), {metrics_sql('v', (10,), 'query_id, scheme, w')} SELECT scheme, w, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1, 2")
 def k17(spark, sf):
-    """Metrics by the weight of the rating in the blend."""
-    weights = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.5, 0.75)]))
-    v = judged(spark, sf).withColumn("w", weights)
-    v = v.withColumn("score", F.round(ranking.blend(F.col("relevance"), F.col("bayesian_avg"), F.col("w")), 9))
-    place = F.row_number().over(Window.partitionBy("query_id", "w").orderBy(F.desc("score"), "item_id")).cast("long")
-    return _round(evaluate.metrics_by(v.withColumn("rank", place), None, "w", relevant=relevant(spark, sf)), "w", "n_queries")
+    """Metrics by the weight of the rating in the blend, of raw relevance and of relevance
+    rescaled within each pool (K17)."""
+    raw = judged(spark, sf).withColumn("rescaled", ranking.rescaled("relevance"))
+    score = lambda c, w: F.round(ranking.blend(F.col(c), F.col("bayesian_avg"), w), 9)
+    variants = [F.struct(F.struct(F.lit(n).alias("scheme"), F.lit(w).alias("w")).alias("v"), score(c, w).alias("score")) for n, c in (("raw", "relevance"), ("rescaled", "rescaled")) for w in (0.3, 0.5, 0.7)]
+    v = raw.select("query_id", "item_id", "hit", F.explode(F.array(*variants)).alias("x")).select("query_id", "item_id", "hit", "x.*")
+    place = F.row_number().over(Window.partitionBy("query_id", "v").orderBy(F.desc("score"), "item_id")).cast("long")
+    found = evaluate.metrics_by(v.withColumn("rank", place), None, "v", relevant=relevant(spark, sf))
+    return _round(found.select("v.*", *[c for c in found.columns if c != "v"]), "scheme", "w", "n_queries")
 
 
 _K18_TAGS = {
@@ -519,9 +541,16 @@ def k18(spark, sf):
     return ends.join(sizes, "variant").select("variant", "n", *[F.round(c, 6).alias(c) for c in ("mean_pool", "mean", "low", "high")], "significant")
 
 
-@query("k19_floor_depths", f"{SCORED}, n AS (SELECT f AS floor, query_id, count(*) AS n FROM scored, (SELECT unnest([0.0, 0.55, 0.6]::DOUBLE[]) AS f) WHERE relevance >= f GROUP BY 1, 2) SELECT floor, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.1), 6) AS worst_decile FROM n GROUP BY 1")
+K19_FLOORS = (0.0, 0.1, 0.2, 0.3)
+
+
+@query("k19_floor_depths", f"{SCORED}, n AS (SELECT f AS floor, query_id, count(*) AS n FROM scored, (SELECT unnest([{', '.join(map(str, K19_FLOORS))}]::DOUBLE[]) AS f) WHERE 1 / (1 + exp(5 - 8 * cos)) >= f GROUP BY 1, 2) SELECT floor, round(quantile_cont(n, 0.5), 6) AS median, round(quantile_cont(n, 0.1), 6) AS worst_decile FROM n GROUP BY 1")
 def k19(spark, sf):
-    """Depth of lists by relevance floor."""
-    floors = F.explode(F.array(*[F.lit(x) for x in (0.0, 0.55, 0.6)]))
-    n = scored(spark, sf).withColumn("floor", floors).where(F.col("relevance") >= F.col("floor")).groupBy("floor", "query_id").agg(F.count("*").alias("n"))
-    return n.groupBy("floor").agg(F.round(F.percentile("n", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("n", F.lit(0.1)), 6).alias("worst_decile"))
+    """Depth of lists by relevance floor (K19); relevance by a steeper scorer than ``scored``
+    has, whose values reach down to the floors."""
+    from recoflow.operators.facets import quantiles
+
+    floors = F.explode(F.array(*[F.lit(x) for x in K19_FLOORS]))
+    s = scored(spark, sf).withColumn("relevance", ranking.sigmoid(8 * F.col("cos") - 5))
+    n = s.withColumn("floor", floors).where(F.col("relevance") >= F.col("floor")).groupBy("floor", "query_id").agg(F.count("*").alias("n"))
+    return _round(quantiles(n, "n", {"median": 0.5, "worst_decile": 0.1}, "floor"), "floor")

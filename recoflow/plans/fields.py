@@ -35,13 +35,19 @@ def a04(spark, sf):
     return src.numbered(src.read(spark, path), "p_partkey").select("place", "p_partkey")
 
 
-@query("a05_skip_if_present", "SELECT count(*) AS n_rows FROM nation")
+@query("a05_skip_if_present", "SELECT 'kept' AS state, l_orderkey, l_linenumber FROM lineitem UNION ALL SELECT 'replaced', l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25")
 def a05(spark, sf):
     """A second ingest leaves what is there; overwriting replaces it (A5)."""
-    path = src.scratch(spark)
-    src.ingest(table(spark, sf, "nation"), path)
-    src.ingest(table(spark, sf, "region"), path)
-    return src.read(spark, path).agg(F.count("*").alias("n_rows"))
+    path, whole = src.scratch(spark), table(spark, sf, "lineitem")
+    part = whole.where("l_quantity > 25")
+    src.ingest(whole, path)
+    src.ingest(part, path)
+    kept = src.read(spark, path, ["l_orderkey", "l_linenumber"])
+    other = src.scratch(spark)
+    src.ingest(whole, other)
+    src.ingest(part, other, overwrite=True)
+    replaced = src.read(spark, other, ["l_orderkey", "l_linenumber"])
+    return kept.select(F.lit("kept").alias("state"), "*").unionByName(replaced.select(F.lit("replaced").alias("state"), "*"))
 
 
 @query("a06_manifest", "SELECT 'part' AS name, (SELECT count(*) FROM part) AS n_rows, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' AS columns UNION ALL SELECT 'lineitem', (SELECT count(*) FROM lineitem), 'l_orderkey,l_partkey,l_suppkey,l_linenumber,l_quantity,l_extendedprice,l_discount,l_tax,l_returnflag,l_linestatus,l_shipdate'")

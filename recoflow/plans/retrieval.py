@@ -429,16 +429,17 @@ def i01(spark, sf):
     return found.select("doc_id", F.round(vectors.norm("vector"), 6).alias("length"))
 
 
-@query("i08_pair_scores", f"{cte('items')} SELECT a.item_id AS query_id, b.item_id, round(1 / (1 + exp(-(length(a.tags) - length(coalesce(b.author, '')))::DOUBLE)), 6) AS relevance FROM items a JOIN items b ON b.item_id = a.item_id + 1")
-def i08(spark, sf):
-    """The scorer hook with a scorer of text lengths."""
-    items = frame(spark, sf, "items")
-    both = items.select(F.col("item_id").alias("query_id"), F.col("tags").alias("query_text"), (F.col("item_id") + 1).alias("item_id")).join(items.select("item_id", F.col("author").alias("doc_text")), "item_id")
+_TERMS = "list_filter(list_distinct(string_split_regex(lower({}), '[^a-z0-9]+')), lambda w: w <> '')"
 
-    def lengths():
-        return lambda queries, docs: [len(q) - len(d) for q, d in zip(queries, docs, strict=True)]
 
-    return ranking.score_pairs(both, lengths).withColumn("relevance", F.round("relevance", 6))
+@query("i08_pair_scores", f"{SCORED}, tx AS MATERIALIZED (SELECT item_id, {D.profile('systems_l', 'tags_l')} AS t FROM facts), w AS MATERIALIZED (SELECT item_id, {_TERMS.format('t')} AS w FROM tx), pr AS (SELECT query_id, s.item_id, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS n FROM pairs s JOIN w a ON a.item_id = s.query_id JOIN w b ON b.item_id = s.item_id) SELECT query_id, item_id, round(1 / (1 + exp(-(8 * CASE WHEN n = 0 THEN 0 ELSE shared / (n - shared) END - 4))), 6) AS relevance FROM pr")
+def i08(spark, sf):
+    """Query and item texts of all candidates through the scorer hook, with the scorer of
+    shared terms (I8)."""
+    texts = frame(spark, sf, "items").select("item_id", T.profile_text(T.clean_systems("system"), T.merged_tags("genre", "tags")).alias("doc_text"))
+    asked = texts.select(F.col("item_id").alias("query_id"), F.col("doc_text").alias("query_text"))
+    both = pairs(spark, sf).select("query_id", "item_id").join(texts, "item_id").join(asked, "query_id")
+    return ranking.score_pairs(both, ranking.shared_terms).withColumn("relevance", F.round("relevance", 6))
 
 
 @query("i10_rescaled_blend", f"{SCORED}, r AS (SELECT *, min(relevance) OVER w AS a, max(relevance) OVER w AS b FROM scored WINDOW w AS (PARTITION BY query_id)) SELECT query_id, item_id, round(0.5 * CASE WHEN b > a THEN (relevance - a) / (b - a) ELSE 0 END + 0.5 * coalesce(bayesian_avg, 2.5) / 5, 6) AS score FROM r")

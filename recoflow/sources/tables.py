@@ -50,10 +50,11 @@ def ordered(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*(keys or df.columns))
 
 
-def numbered(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
+def numbered(df: DataFrame, key: str, bucket_rows: int = 1_000_000, most_buckets: int = 2000) -> DataFrame:
     """Adds place: the row's number in key order, counted by ranges of the key, so that
-    no task sees the whole table."""
-    bounds = df.select(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
+    no task sees the whole table; as many ranges as its rows ask for."""
+    buckets = max(2, min(most_buckets, -(-df.count() // bucket_rows)))
+    bounds = df.select(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
     limits = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast(f"array<{df.schema[key].dataType.simpleString()}>")
     cut = df.withColumn("_b", F.size(F.filter(limits, lambda b: b < F.col(key))))
     before = cut.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))
