@@ -70,3 +70,13 @@ def test_nothing_to_search(spark):
     assert vectors.above(some, none, 0.5).collect() == []
     assert vectors.above(some.limit(0), frame(spark, clustered(3, 4), "item_id"), 0.5).collect() == []
     assert vectors.recall(none.selectExpr("item_id query_id", "item_id"), none.selectExpr("item_id query_id", "item_id")) == 1.0
+
+
+def test_text_vectors(spark):
+    texts = [(1, "red green red"), (2, "Red, GREEN red!"), (3, "blue"), (4, None), (5, "green red blue blue")]
+    found = {r["k"]: np.array(r["vector"]) for r in vectors.embed(spark.createDataFrame(texts, "k long, text string"), "k", "text", 64).collect()}
+    assert np.allclose(found[1], found[2]) and all(abs(np.linalg.norm(found[k]) - 1) < 1e-9 for k in (1, 3, 5)) and not found[4].any()
+    assert found[5] @ found[3] > found[5] @ found[1] > 0 and abs(found[1] @ found[3]) < 1e-9
+    # weight: count times the logarithm of (documents + 1) over (documents with the word + 1)
+    red, green = 2 * np.log(6 / 4), np.log(6 / 4)
+    assert np.allclose(sorted(found[1][found[1] > 0]), sorted([green, red] / np.hypot(green, red)))
