@@ -170,10 +170,16 @@ def b19(spark, sf):
     return docs_ops.displayed(frame(spark, sf, "items"), "tags")
 
 
-@query("b20_profile_display", f"{ITEMS}, {D.FACTS} SELECT item_id, {D.join('systems_l')} || ' // ' || {D.join('tags_l')} AS display FROM facts")
+@query("b20_profile_display", f"{ITEMS}, {D.FACTS}, tn AS (SELECT v, count(*) AS n FROM (SELECT unnest(tags_l) AS v FROM facts) GROUP BY 1), o AS (SELECT item_id, string_agg(v, ', ' ORDER BY n DESC, v) AS t FROM (SELECT item_id, unnest(tags_l) AS v FROM facts) JOIN tn USING (v) GROUP BY 1) SELECT item_id, {D.join('systems_l')} || ' // ' || {D.join('tags_l')} AS display, {D.join('systems_l')} || ' // ' || coalesce(t, '') AS by_frequency FROM facts LEFT JOIN o USING (item_id)")
 def b20(spark, sf):
+    """Profiles as a page shows them, tags as given and by frequency in the corpus."""
     parsed = b14(spark, sf).select("item_id", T.parsed_profile("query_text").alias("p"))
-    return parsed.select("item_id", F.concat(T.joined(F.col("p.systems")), F.lit(" // "), T.joined(F.col("p.tags"))).alias("display"))
+    tags = parsed.select("item_id", F.explode("p.tags").alias("value"))
+    counts = tags.groupBy("value").agg((-F.count("*")).alias("place"))
+    ordered = interactions.canonical(tags, "item_id", counts)
+    shown = lambda t: F.concat(T.joined(F.col("p.systems")), F.lit(" // "), T.joined(t))
+    frequent = F.coalesce("values", F.array().cast("array<string>"))
+    return parsed.join(ordered, "item_id", "left").select("item_id", shown(F.col("p.tags")).alias("display"), shown(frequent).alias("by_frequency"))
 
 
 @query("b21_rating_cells", f"{cte('stats')} SELECT item_id, printf('%.1f', avg_rating) || ' (' || review_count || ')' AS cell FROM stats")
@@ -195,6 +201,21 @@ def b23(spark, sf):
     return frame(spark, sf, "items").select("item_id", F.concat("title", F.lit(" — "), T.text_of("author"), year).alias("label"))
 
 
+@query("b23_author_labels", f"{ITEMS}, {D.FACTS}, a AS (SELECT DISTINCT unnest(authors_l) AS author_id, item_id FROM facts) SELECT author_id, author_id || '  ·  ' || count(*) || CASE WHEN count(*) = 1 THEN ' game' ELSE ' games' END AS label FROM a GROUP BY 1")
+def b23_authors(spark, sf):
+    """Authors but catch-all ones, with the number of their items."""
+    n = filters.without_names(docs_ops.by_author(frame(spark, sf, "items")), "author_id").groupBy("author_id").agg(F.count("*").alias("n"))
+    return n.select("author_id", F.concat("author_id", F.lit("  ·  "), F.col("n").cast("string"), F.when(F.col("n") == 1, " game").otherwise(" games")).alias("label"))
+
+
+@query("b23_reviewer_labels", f"{cte('reviews', 'users')} SELECT u.user_id, name || '  ·  ' || count(r.user_id) || ' reviews' AS label FROM users u LEFT JOIN reviews r USING (user_id) GROUP BY u.user_id, name")
+def b23_reviewers(spark, sf):
+    """Reviewers with the number of their reviews."""
+    n = frame(spark, sf, "reviews").groupBy("user_id").agg(F.count("*").alias("n"))
+    users = frame(spark, sf, "users").join(n, "user_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return users.select("user_id", F.concat(F.coalesce("name", "user_id"), F.lit("  ·  "), F.col("n").cast("string"), F.lit(" reviews")).alias("label"))
+
+
 # --- E: vocabularies and statistics -------------------------------------------------
 
 
