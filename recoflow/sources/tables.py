@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only in local mode without
-    that setting, as on a cluster others would not see it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder under spark.checkpoint.dir or the session's checkpoint folder; a local one
+    only in local mode without either, as on a cluster others would not see it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = chosen.get() if chosen.isDefined() else None
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
