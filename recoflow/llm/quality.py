@@ -293,7 +293,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
     """Per row of ``docs``: doc_id, weak_label (posterior of good), score, keep (score >=
     least).  Null text is empty: no labeller votes and only the bias and the length
     speak.  Rows map one to one: repeated rows and null doc_ids stay; further columns
-    are dropped; an empty table stays empty.  Texts are read twice, to train and to
+    are dropped; an empty table stays empty.  Texts are read three times, to vote, to train and to
     score; memory grows with the longest text only.
     """
     model = train(docs, written(voted(docs)), sample)
@@ -317,7 +317,7 @@ def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataF
 
 def keep_good(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns.  Texts
-    are read twice, to train and to score, rather than shuffled for a join."""
+    are read three times, to vote, to train and to score, rather than shuffled for a join."""
     model = train(docs, written(voted(docs)), sample)
 
     @F.pandas_udf("boolean")
