@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recoflow.functions import text as T
+
 
 def judged(ranking: DataFrame, labels: DataFrame, key: str = "query_id") -> DataFrame:
     """Adds hit: 1 where the item is another of the query's label, else null.
@@ -86,6 +88,19 @@ def agreement(reference: DataFrame, other: DataFrame, k: int, key: str = "query_
     return flags.join(moved, key, "left")
 
 
+def variant_pages(ranking: DataFrame, base: Column, size: int, *by: str, key: str = "query_id") -> DataFrame:
+    """key, by, n, overlap, same_first, identical: a variant's page of each query against the
+    query's page under ``base`` (K6).  ``rank`` is null in rows that a variant does not keep;
+    an empty base page counts as overlapped whole."""
+    inside = F.collect_list(F.when(F.col("rank") <= size, F.struct("rank", "item_id")))
+    page = F.transform(F.array_sort(inside), lambda x: x["item_id"])
+    per = ranking.groupBy(key, *by).agg(F.count("rank").alias("n"), page.alias("page"))
+    per = per.withColumn("base", F.max(F.when(base, F.col("page"))).over(Window.partitionBy(key)))
+    overlap = F.when(F.size("base") == 0, 1.0).otherwise(F.size(F.array_intersect("page", "base")) / F.size("base"))
+    same = F.coalesce(F.get("page", F.lit(0)) == F.get("base", F.lit(0)), F.lit(False)).cast("int")
+    return per.select(key, *by, "n", overlap.alias("overlap"), same.alias("same_first"), (F.col("page") == F.col("base")).cast("int").alias("identical"))
+
+
 #: The prime of the hash that makes weights, and the steps at which a number
 #: in [0, 1) is one more under a Poisson law of mean 1.
 PRIME = 2147483647
@@ -158,9 +173,57 @@ def hit_rate(log: DataFrame, stored: DataFrame, key: str = "query_id") -> DataFr
     return log.join(keys, key, "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("hit_rate"))
 
 
-def audit(pages: DataFrame, suspect: str) -> DataFrame:
-    """issue, n: faults on result pages (K16): blank fields, suspect tags."""
-    blank = [F.when(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "", F.lit(f"blank {c}")) for c in ("title", "author", "year", "tags", "system", "description") if c in pages.columns]
-    issues = F.array_compact(F.array(*blank, F.when(F.col("tags").rlike(suspect), F.lit("suspect tag"))))
-    return pages.select(F.explode(issues).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
-
+# Texts that read as absent, and tags that no result page should show.
+ABSENT = ("", "-", "--", "n/a", "na", "none", "unknown", "untitled", "?", "tbd")
+SUSPECT_TAGS = {
+    "not-a-game": r"^not a game$",
+    "tool/utility": r"^(tool|utility|utilities|authoring system|development system)$",
+    "library/extension": r"^(library|extension|code library|inform 7 extension)$",
+    "index/catalogue": r"^(index|catalog|catalogue|directory|list of games)$",
+    "review/essay": r"^(review|reviews|essay|article|criticism)$",
+    "unplayable": r"^(unfinished|incomplete|abandoned|broken|non-working)$",
+    "template/sample": r"^(template|sample|test|example|placeholder)$",
+    "collection": r"^(collection|anthology|compilation)$",
+}
+
+
+def surfaced(pages: DataFrame, most: int = 3) -> DataFrame:
+    """item_id, seen_in: every item of the pages (mode, key, item_id) once, with the first
+    ``most`` of the ``mode:key`` that show it."""
+    seen = pages.select("item_id", F.concat_ws(":", "mode", "key").alias("by")).distinct()
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("by"))
+    few = seen.withColumn("_p", place).where(F.col("_p") <= most)
+    return few.groupBy("item_id").agg(F.array_sort(F.collect_list("by")).alias("seen_in"))
+
+
+def audit(pages: DataFrame, items: DataFrame, suspect: dict[str, str] | None = None) -> DataFrame:
+    """issue, item_id, tag, seen_in: the faults of all items that result pages show.
+
+    pages: mode, key, item_id; items: item_id, title, author, year, tags, system, description.
+    An item counts once, however many pages show it; one that the catalogue lacks has all
+    fields blank.  A suspect tag matches a pattern as a whole, in any case; each such tag is
+    a row.
+    """
+    text = lambda c: F.lower(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"^\s+|\s+$", ""))
+    fault = lambda issue, tag=None: F.struct(F.lit(issue).alias("issue"), (F.lit(None).cast("string") if tag is None else tag).alias("tag"))
+    names = {"title": "empty title", "author": "empty author", "year": "missing year", "system": "no system", "description": "no description"}
+    tags = T.split_values("tags", ",")
+    blank = [F.when(text(c).isin(*ABSENT), fault(issue)) for c, issue in names.items()]
+    blank.append(F.when(F.size(tags) == 0, fault("no tags")))
+    bad = [_suspects(tags, name, pattern, fault) for name, pattern in (suspect or SUSPECT_TAGS).items()]
+    shown = surfaced(pages).join(items.select("item_id", *names, "tags"), "item_id", "left")
+    faults = F.concat(F.array_compact(F.array(*blank)), *bad)
+    return shown.select("item_id", "seen_in", F.explode(faults).alias("f")).select("f.issue", "item_id", "f.tag", "seen_in")
+
+
+def _suspects(tags: Column, name: str, pattern: str, fault) -> Column:
+    return F.transform(F.filter(tags, lambda t: F.lower(t).rlike(pattern)), lambda t: fault(f"suspect tag: {name}", t))
+
+
+def audit_summary(asked: DataFrame, pages: DataFrame, faults: DataFrame) -> DataFrame:
+    """issue, n_items, n: items and rows of each fault, with the queries of each mode that were
+    run, and those that gave an empty page (n_items: 0)."""
+    empty = asked.join(pages.select("mode", "key").distinct(), ["mode", "key"], "left_anti")
+    counted = lambda rows, label: rows.groupBy(F.concat(F.lit(label), F.col("mode")).alias("issue")).agg(F.lit(0).cast("long").alias("n_items"), F.count("*").alias("n"))
+    found = faults.groupBy("issue").agg(F.countDistinct("item_id").alias("n_items"), F.count("*").alias("n"))
+    return found.unionByName(counted(asked, "queries: ")).unionByName(counted(empty, "empty queries: "))

@@ -25,6 +25,32 @@ def facet_counts(results: DataFrame, facets: tuple[str, ...] = ("genre", "system
     return each.groupBy(key, "facet", "value").agg(F.count("*").alias("n"))
 
 
+def vocabularies(items: DataFrame, facets: tuple[str, ...] = ("genre", "system", "author", "tags")) -> DataFrame:
+    """facet, label, n: the corpus's values in any case alike, in their most frequent casing
+    (the least of equals), with the number of their items (E19).
+
+    One pass over the items: a value is counted where it stands, and once an item for its
+    key, so only casings are shuffled.  Sort by (n, label) for a menu.
+    """
+    def casings(facet: str) -> Column:
+        values = F.array_distinct(T.split_values(facet, TERM_FIELDS[facet]))
+        keys = F.transform(values, lambda v: F.lower(v))
+        first = lambda v, i: (F.array_position(keys, F.lower(v)) == i + 1).cast("int")
+        return F.transform(values, lambda v, i: F.struct(F.lit(facet).alias("facet"), F.lower(v).alias("key"), v.alias("value"), first(v, i).alias("first")))
+
+    each = items.select(F.explode(F.concat(*map(casings, facets))).alias("c")).select("c.*")
+    counted = each.groupBy("facet", "key", "value").agg(F.count("*").alias("n"), F.sum("first").alias("items"))
+    label = F.min_by("value", F.struct(-F.col("n"), F.col("value")))
+    return counted.groupBy("facet", "key").agg(label.alias("label"), F.sum("items").alias("n")).drop("key")
+
+
+def year_list(items: DataFrame, year: str = "year") -> DataFrame:
+    """year: from the last to the first that occurs, without gaps (E19); none if no item has
+    a year."""
+    ends = items.agg(F.max(year).alias("b"), F.min(year).alias("a"))
+    return ends.select(F.explode(F.expr("CASE WHEN a IS NOT NULL THEN sequence(b, a, IF(b = a, 1, -1)) END")).alias("year"))
+
+
 def year_span(results: DataFrame, corpus: DataFrame, key: str = "query_id") -> DataFrame:
     """First and last year of a result set; the corpus's where it has none."""
     whole = corpus.agg(F.min("year").alias("_a"), F.max("year").alias("_b"))

@@ -114,16 +114,39 @@ def _relaxed(pool: DataFrame, ladder: list[Column], key: str) -> DataFrame:
 POLICIES = ("tags1", "tags1_system", "tags2of3", "tags2of3_system", "tags2")
 
 
+def _policy_rules() -> tuple[dict[str, Column], Column]:
+    """What each policy asks of a candidate, and the first relaxation of all."""
+    tags = F.size(F.array_intersect("query_tags", "item_tags"))
+    system = F.size(F.array_intersect("query_systems", "item_systems")) >= 1
+    most = F.when(F.size("query_tags") >= 3, 2).otherwise(1)
+    return {"tags1": tags >= 1, "tags1_system": (tags >= 1) & system, "tags2of3": tags >= most, "tags2of3_system": (tags >= most) & system, "tags2": tags >= 2}, tags >= 1
+
+
 def prefiltered_by(pool: DataFrame, policy: str, key: str = "query_id") -> DataFrame:
     """The pool under one of the compared policies (C18): one shared tag; and a shared
     system; two tags from three on; and a shared system; two tags always.  Each relaxes
     to one tag and then to the candidate of the highest cosine."""
-    tags = F.size(F.array_intersect("query_tags", "item_tags"))
-    system = F.size(F.array_intersect("query_systems", "item_systems")) >= 1
-    most = F.when(F.size("query_tags") >= 3, 2).otherwise(1)
-    rule = {"tags1": tags >= 1, "tags1_system": (tags >= 1) & system, "tags2of3": tags >= most, "tags2of3_system": (tags >= most) & system, "tags2": tags >= 2}[policy]
+    rules, one = _policy_rules()
     first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cos"), "item_id"))
-    return _relaxed(pool.withColumn("_first", first), [rule, tags >= 1, F.col("_first") == 1], key).drop("_first")
+    return _relaxed(pool.withColumn("_first", first), [rules[policy], one, F.col("_first") == 1], key).drop("_first")
+
+
+def prefilter_variants(pool: DataFrame, floors: tuple[float, ...], policies: tuple[str, ...] = POLICIES, key: str = "query_id") -> DataFrame:
+    """Every row of the pool once a floor and policy, with ``kept``: whether the pool cut at
+    that floor keeps it under that policy (K6).  Rows that are not kept stay, so that a
+    query which a floor leaves empty still counts.
+
+    The pool is shuffled by its key once: the candidate of the highest cosine is the same at
+    every floor that leaves any, and the windows of the variants lie within a key.
+    """
+    rules, one = _policy_rules()
+    first = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("cos"), "item_id")) == 1
+    level = lambda p: F.when(rules[p], 0).when(one, 1).when(F.col("_first"), 2).otherwise(3)
+    each = F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(p).alias("policy"), level(p).alias("_level")) for f in floors for p in policies])
+    out = pool.withColumn("_first", first).withColumn("_v", F.explode(each)).select("*", "_v.*")
+    above = F.col("cos") >= F.col("floor")
+    best = F.min(F.when(above, F.col("_level"))).over(Window.partitionBy(key, "floor", "policy"))
+    return out.withColumn("kept", F.coalesce(above & (F.col("_level") <= best), F.lit(False))).drop("_first", "_v", "_level")
 
 
 def without_seen(candidates: DataFrame, seen: DataFrame, key: str = "query_id") -> DataFrame:

@@ -17,7 +17,7 @@ from recoflow.plans import pipelines, precompute
 from recoflow.plans.fixtures import LABELLED, cte, frame, table
 from recoflow.plans.precompute import Mode
 from recoflow.plans.registry import query
-from recoflow.plans.retrieval import POLICY_RULES, POOL_SQL, SCORED, TOP, facts, item_vectors, pairs, pool, scored, with_scores
+from recoflow.plans.retrieval import FLOOR, POLICY_RULES, POOL_SQL, SCORED, TOP, facts, item_vectors, pairs, pool, scored, with_scores
 from recoflow.sources import tables as src
 from recoflow.sources.store import RankingStore
 
@@ -202,6 +202,18 @@ _J05 = ", ".join((
 ))
 
 
+@query("d05_unseen", f"{_J05} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id AS key, item_id FROM c1_{m[0]}" for m in ("item", "author", "reviewer")))
+def d05(spark, sf):
+    """Candidates of each key without what it must not get: itself, an author's own catalogue,
+    what a user has reviewed or played (D5, E9)."""
+    return reduce(DataFrame.unionByName, [_unseen(m(spark, sf)) for m in MODES[:3]])
+
+
+def _unseen(mode: Mode) -> DataFrame:
+    near = vectors.above(mode.queries, mode.items, FLOOR)
+    return filters.without_seen(near, mode.seen).select(F.lit(mode.name).alias("mode"), F.col("query_id").alias("key"), "item_id")
+
+
 @query("j05_bulk_publish", f"{_J05} " + " UNION ALL ".join(f"SELECT '{m}' AS mode, query_id AS key, item_id, score, relevance, rank FROM ranks_{m[0]} WHERE rank <= 500" for m in ("item", "author", "reviewer")))
 def j05(spark, sf):
     """All four modes published as one version (J5); the rows of three are read back, the
@@ -379,6 +391,40 @@ def k06(spark, sf):
     return _round(found.select("floor", "policy", "mean", "p90"), "floor", "policy")
 
 
+def _k06_levels() -> str:
+    level = "CASE WHEN {} THEN 0 WHEN shared >= 1 THEN 1 WHEN pos = 1 THEN 2 ELSE 3 END AS level"
+    return " UNION ALL ".join(f"SELECT query_id, item_id, score, cos, floor, '{p}' AS policy, {level.format(r)} FROM v0" for p, r in POLICY_RULES.items())
+
+
+_K06_QUALITY = f"""{POOL_SQL}, {TRUTH}, v0 AS (SELECT pool.*, fl.f AS floor, row_number() OVER (PARTITION BY fl.f, query_id ORDER BY cos DESC, item_id) AS pos FROM pool, (SELECT unnest([{', '.join(map(str, FLOORS))}]::DOUBLE[]) AS f) fl),
+  lv AS ({_k06_levels()}), lb AS (SELECT *, coalesce(cos >= floor AND level <= min(CASE WHEN cos >= floor THEN level END) OVER (PARTITION BY query_id, floor, policy), false) AS kept FROM lv),
+  kp AS MATERIALIZED (SELECT query_id, item_id, floor, policy, kept, CASE WHEN kept THEN row_number() OVER (PARTITION BY query_id, floor, policy ORDER BY kept DESC, score DESC, item_id) END AS rank FROM lb),
+  pg AS (SELECT query_id, floor, policy, sum(kept::INT) AS n, coalesce(list(item_id ORDER BY rank) FILTER (rank <= 25), []) AS page FROM kp GROUP BY 1, 2, 3),
+  cm AS (SELECT p.*, b.page AS base FROM pg p JOIN pg b ON b.query_id = p.query_id AND b.floor = {FLOORS[0]} AND b.policy = 'tags1'),
+  ag AS (SELECT floor, policy, avg(n) AS pairs, quantile_cont(n, 0.9) AS p90, avg(CASE WHEN len(base) = 0 THEN 1 ELSE len(list_intersect(page, base)) / len(base) END) AS overlap, avg(coalesce(page[1] = base[1], false)::INT) AS same_first, avg((page = base)::INT) AS identical FROM cm GROUP BY 1, 2),
+  {metrics_sql('kp', (10, 25), 'query_id, floor, policy')}, mm AS (SELECT floor, policy, count(*) AS n_queries, avg(recall_10) AS recall_10, avg(recall_25) AS recall_25, avg(ndcg_10) AS ndcg_10 FROM met GROUP BY 1, 2)"""
+
+
+@query("k06_policy_quality", f"{_K06_QUALITY} SELECT floor, policy, n_queries, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("recall_10", "recall_25", "ndcg_10", "pairs", "p90", "overlap", "same_first", "identical")) + " FROM mm JOIN ag USING (floor, policy)")
+def k06_quality(spark, sf):
+    """Quality, cost and first pages of five floors by five policies; pages of 25 against those
+    of the lowest floor and the loosest policy, with the share of identical ones (K6)."""
+    from recoflow.operators.facets import quantiles
+
+    v = filters.prefilter_variants(evaluate.judged(pool(spark, sf), classes(spark, sf)), FLOORS)
+    place = F.row_number().over(Window.partitionBy("query_id", "floor", "policy").orderBy(F.desc("kept"), F.desc("score"), "item_id"))
+    v = v.withColumn("rank", F.when(F.col("kept"), place).cast("long"))
+    per = evaluate.variant_pages(v, (F.col("floor") == FLOORS[0]) & (F.col("policy") == "tags1"), 25, "floor", "policy")
+    ends = quantiles(per, "n", {"p90": 0.9}, "floor", "policy")
+    means = per.groupBy("floor", "policy").agg(F.avg("n").alias("pairs"), *[F.avg(c).alias(c) for c in ("overlap", "same_first", "identical")])
+    variants = v.select("query_id", F.struct("floor", "policy").alias("v"), "item_id", "rank", "hit")
+    n_rel = relevant(spark, sf).withColumn("v", F.explode(F.array(*[F.struct(F.lit(f).alias("floor"), F.lit(p).alias("policy")) for f in FLOORS for p in filters.POLICIES])))
+    key = F.struct("query_id", "v").alias("_q")
+    found = evaluate.query_metrics(variants.select(key, "item_id", "rank", "hit"), None, (10, 25), key="_q", relevant=n_rel.select(key, "n_rel"))
+    quality = evaluate.mean_metrics(found.select("_q", "_q.v.floor", "_q.v.policy", "recall_10", "recall_25", "ndcg_10"), "floor", "policy", key="_q")
+    return _round(quality.join(means, ["floor", "policy"]).join(ends.select("floor", "policy", "p90"), ["floor", "policy"]), "floor", "policy", "n_queries")
+
+
 _PAGES = f"{SCORED}, {TOP}, bycos AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY cos DESC, item_id) AS rank FROM scored), pa AS (SELECT query_id, list(item_id ORDER BY rank) AS a FROM bycos WHERE rank <= 10 GROUP BY 1), pb AS (SELECT query_id, list(item_id ORDER BY rank) AS b FROM ranked WHERE rank <= 10 GROUP BY 1), mv AS (SELECT query_id, avg(abs(x.rank - ranked.rank)) AS d FROM bycos x JOIN ranked USING (query_id, item_id) WHERE x.rank <= 10 GROUP BY 1)"
 
 
@@ -487,13 +533,51 @@ def k15(spark, sf):
     return evaluate.hit_rate(log, scored(spark, sf)).select("n", F.round("hit_rate", 6).alias("hit_rate"))
 
 
-@query("k16_audit", f"{SCORED}, {TOP}, dp AS (SELECT query_id, row_number() OVER (ORDER BY count(*) DESC, query_id) AS pl FROM scored GROUP BY 1), pg AS (SELECT facts.* FROM ranked JOIN facts USING (item_id) WHERE rank <= 10 AND query_id IN (SELECT query_id FROM dp WHERE pl <= 40)), x AS (SELECT unnest([CASE WHEN trim(title) = '' THEN 'blank title' END, CASE WHEN year IS NULL THEN 'blank year' END, CASE WHEN regexp_matches(tags, 'IFComp') THEN 'suspect tag' END]) AS issue FROM pg) SELECT issue, count(*) AS n FROM x WHERE issue IS NOT NULL GROUP BY 1")
+AUDITED, AUDIT_PAGE = 40, 10
+_K16_ASKED = {
+    "item": "SELECT item_id::VARCHAR AS key, coalesce(review_count, 0) AS n, item_id AS tie FROM items LEFT JOIN stats USING (item_id)",
+    "author": "SELECT author_id AS key, count(*) AS n, author_id AS tie FROM byau GROUP BY 1",
+    "reviewer": "SELECT user_id AS key, count(*) AS n, user_id AS tie FROM reviews JOIN users USING (user_id) GROUP BY 1",
+}
+_SQL_SUSPECTS = ", ".join(f"list_transform(list_filter({D.split('tags', ',')}, lambda t: regexp_matches(lower(t), {D.quoted(p)})), lambda t: struct_pack(issue := 'suspect tag: {n}', tag := t))" for n, p in evaluate.SUSPECT_TAGS.items())
+_SQL_BLANKS = ", ".join(f"CASE WHEN lower(regexp_replace(coalesce({c}::VARCHAR, ''), '^\\s+|\\s+$', '', 'g')) IN ({', '.join(map(D.quoted, evaluate.ABSENT))}) THEN struct_pack(issue := '{i}', tag := NULL::VARCHAR) END" for c, i in (("title", "empty title"), ("author", "empty author"), ("year", "missing year"), ("system", "no system"), ("description", "no description")))
+_K16 = f"""{_J05}, asked AS ({" UNION ALL ".join(f"SELECT '{m}' AS mode, key FROM (SELECT * FROM ({q}) ORDER BY n DESC, tie LIMIT {AUDITED})" for m, q in _K16_ASKED.items())}),
+  pages AS (SELECT mode, key, item_id FROM asked JOIN ({" UNION ALL ".join(f"SELECT '{m}' AS mode, query_id AS key, item_id, rank FROM ranks_{m[0]}" for m in _K16_ASKED)}) USING (mode, key) WHERE rank <= {AUDIT_PAGE}),
+  sn2 AS (SELECT item_id, list_sort(list(DISTINCT mode || ':' || key))[1:3] AS seen_in FROM pages GROUP BY 1),
+  faults AS (SELECT f.issue AS issue, item_id, f.tag AS tag, seen_in FROM (SELECT item_id, seen_in, unnest(list_concat(list_filter([{_SQL_BLANKS}, CASE WHEN len({D.split('tags', ',')}) = 0 THEN struct_pack(issue := 'no tags', tag := NULL::VARCHAR) END], lambda x: x IS NOT NULL), {_SQL_SUSPECTS})) AS f FROM sn2 LEFT JOIN facts USING (item_id)))"""
+
+
+def _audited(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The most popular keys of three modes (mode, key), and their first pages."""
+    items, stats = frame(spark, sf, "items"), frame(spark, sf, "stats")
+    n = F.count("*").alias("n")
+    popular = {
+        "item": items.join(stats, "item_id", "left").select(F.col("item_id").cast("string").alias("key"), F.coalesce("review_count", F.lit(0)).alias("n"), F.col("item_id").alias("tie")),
+        "author": docs_ops.by_author(items).groupBy(F.col("author_id").alias("key")).agg(n).withColumn("tie", F.col("key")),
+        "reviewer": frame(spark, sf, "reviews").join(frame(spark, sf, "users").select("user_id"), "user_id", "left_semi").groupBy(F.col("user_id").alias("key")).agg(n).withColumn("tie", F.col("key")),
+    }
+    asked = {m: p.orderBy(F.desc("n"), "tie").limit(AUDITED).select(F.lit(m).alias("mode"), "key") for m, p in popular.items()}
+    pages = []
+    for mode in (m(spark, sf) for m in MODES[:3]):
+        some = mode.queries.join(asked[mode.name].select(F.col("key").alias("query_id")), "query_id", "left_semi")
+        found = pipelines.mode_ranking(some, mode.items, mode.seen, stats, _relevance, most=AUDIT_PAGE)
+        pages.append(found.select(F.lit(mode.name).alias("mode"), F.col("query_id").alias("key"), "item_id"))
+    return reduce(DataFrame.unionByName, asked.values()), reduce(DataFrame.unionByName, pages)
+
+
+@query("k16_audit", f"{_K16} SELECT issue, count(DISTINCT item_id) AS n_items, count(*) AS n FROM faults GROUP BY 1 UNION ALL SELECT 'queries: ' || mode, 0, count(*) FROM asked GROUP BY 1 UNION ALL SELECT 'empty queries: ' || mode, 0, count(*) FROM asked WHERE NOT EXISTS (SELECT 1 FROM pages WHERE pages.mode = asked.mode AND pages.key = asked.key) GROUP BY 1")
 def k16(spark, sf):
-    """Faults on the first pages of the 40 longest rankings."""
-    s = scored(spark, sf)
-    keys = pipelines.top_keys(s, 40)
-    top = ranking.ranked(s.join(keys, "query_id", "left_semi"), F.desc("score"), most=10)
-    return evaluate.audit(top.select("item_id").join(facts(spark, sf), "item_id"), "IFComp")
+    """Faults on the first pages of the most popular items, authors and reviewers, and queries
+    without results (K16)."""
+    asked, pages = _audited(spark, sf)
+    return evaluate.audit_summary(asked, pages, evaluate.audit(pages, facts(spark, sf)))
+
+
+@query("k16_audit_rows", f"{_K16} SELECT issue, item_id, tag, array_to_string(seen_in, ' | ') AS seen_in FROM faults")
+def k16_rows(spark, sf):
+    """Each fault with its item and up to three queries that show it."""
+    _, pages = _audited(spark, sf)
+    return evaluate.audit(pages, facts(spark, sf)).withColumn("seen_in", F.array_join("seen_in", " | "))
 
 
 @query("k17_weight_sweep", f"{SCORED}, {TRUTH}, rs AS (SELECT *, min(relevance) OVER q AS a, max(relevance) OVER q AS b FROM scored WINDOW q AS (PARTITION BY query_id)), sc AS (SELECT 'raw' AS scheme, query_id, item_id, relevance AS r, bayesian_avg FROM rs UNION ALL SELECT 'rescaled', query_id, item_id, CASE WHEN b > a THEN (relevance - a) / (b - a) ELSE 0 END, bayesian_avg FROM rs), v AS (SELECT query_id, item_id, scheme, w, row_number() OVER (PARTITION BY query_id, scheme, w ORDER BY round((1 - w) * r + w * coalesce(bayesian_avg, 2.5) / 5, 9) DESC, item_id) AS rank FROM sc, (SELECT unnest([0.3, 0.5, 0.7]::DOUBLE[]) AS w)), {metrics_sql('v', (10,), 'query_id, scheme, w')} SELECT scheme, w, count(*) AS n_queries, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(rr), 6) AS rr FROM met GROUP BY 1, 2")

@@ -269,6 +269,22 @@ def e19(spark, sf):
     return facets.facet_counts(everything, ("genre", "system", "author", "tags")).drop("query_id")
 
 
+_VALUES = {"genre": D.distinct(D.split("genre")), "system": D.distinct(D.split("system")), "author": D.AUTHORS, "tags": D.distinct(D.split("tags", ","))}
+_EACH = " UNION ALL ".join(f"SELECT item_id, '{f}' AS facet, unnest({v}) AS value FROM items" for f, v in _VALUES.items())
+
+
+@query("e19_vocabularies", f"{ITEMS}, ev AS ({_EACH}), cs AS (SELECT facet, lower(value) AS key, value, count(*) AS n FROM ev GROUP BY 1, 2, 3), lb AS (SELECT facet, key, arg_min(value, struct_pack(a := -n, b := value)) AS label FROM cs GROUP BY 1, 2), sz AS (SELECT facet, lower(value) AS key, count(DISTINCT item_id) AS n FROM ev GROUP BY 1, 2) SELECT facet, label, n FROM lb JOIN sz USING (facet, key)")
+def e19_vocabularies(spark, sf):
+    """The values that filters offer, canonically cased."""
+    return facets.vocabularies(frame(spark, sf, "items"))
+
+
+@query("e19_years", f"{ITEMS}, {D.FACTS} SELECT unnest(range(max(year), min(year) - 1, -1))::INT AS year FROM facts")
+def e19_years(spark, sf):
+    """All years from the last to the first, those without items too."""
+    return facets.year_list(docs_ops.clean_fields(frame(spark, sf, "items")))
+
+
 @query("e21_coverage", f"{_COUNTS} SELECT round((SELECT sum(n_items) FROM (SELECT n_items FROM n ORDER BY n_items DESC, value LIMIT 5)) / (SELECT sum(n_items) FROM n), 6) AS share")
 def e21(spark, sf):
     found = docs_ops.coverage(frame(spark, sf, "items"), T.merged_tags("genre", "tags"), 5)

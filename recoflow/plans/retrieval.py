@@ -204,14 +204,6 @@ def d04(spark, sf):
     return interactions.liked(positives, reviews, users)
 
 
-@query("d05_unseen", f"{cte('reviews', 'plays')} SELECT u.user_id, i.item_id FROM (SELECT DISTINCT user_id FROM reviews) u, (SELECT DISTINCT item_id FROM reviews) i WHERE NOT EXISTS (SELECT 1 FROM reviews r WHERE r.user_id = u.user_id AND r.item_id = i.item_id) AND NOT EXISTS (SELECT 1 FROM plays p WHERE p.user_id = u.user_id AND p.item_id = i.item_id)")
-def d05(spark, sf):
-    """Candidates of a user without what was reviewed or played."""
-    reviews = frame(spark, sf, "reviews")
-    every = reviews.select("user_id").distinct().crossJoin(F.broadcast(reviews.select("item_id").distinct()))
-    return filters.without_seen(every, interactions.seen(reviews, frame(spark, sf, "plays")), key="user_id")
-
-
 @query("d06_l04_text_pairs", f"{cte('items')}, {D.FACTS}, o AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS item_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT user_id, o.item_id, c_name AS profile_text, {D.profile('systems_l', 'tags_l')} AS doc_text FROM o JOIN customer ON c_custkey = user_id JOIN facts ON facts.item_id = o.item_id WHERE trim(title) <> ''")
 def d06(spark, sf):
     bought = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("item_id")).distinct()
