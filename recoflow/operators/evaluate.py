@@ -22,7 +22,7 @@ def judged(ranking: DataFrame, labels: DataFrame, key: str = "query_id") -> Data
 def label_counts(labels: DataFrame, key: str = "query_id") -> DataFrame:
     """key, n_rel: the number of other items of its label."""
     sizes = labels.groupBy("label").agg((F.count("*") - 1).alias("n_rel")).where(F.col("n_rel") > 0)
-    return labels.join(F.broadcast(sizes), "label").select(F.col("item_id").alias(key), "n_rel")
+    return labels.join(sizes, "label").select(F.col("item_id").alias(key), "n_rel")
 
 
 def query_metrics(ranking: DataFrame, truth: DataFrame | None, ks: tuple[int, ...] = (5, 10, 20), mrr_at: int | None = None, key: str = "query_id", relevant: DataFrame | None = None) -> DataFrame:

@@ -36,6 +36,24 @@ def seed_average(seeds: DataFrame, vectors: DataFrame, key: str = "query_id") ->
     return mean.select(key, unit("v").alias("vector"))
 
 
+def seed_space(query_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
+    """item_id, vector: the space that seeds are averaged in (I4): the query encoder's vectors
+    of items, so that a mean lies where query texts do; the documents' vectors where the
+    query encoder gave none at all.  The spaces are never mixed: a seed that only the
+    documents have does not count while there are query vectors."""
+    double = F.transform("vector", lambda x: x.cast("double")).alias("vector")
+    none = query_vectors.limit(1).agg((F.count("*") == 0).alias("_none"))  # one row
+    docs = doc_vectors.select("item_id", double).crossJoin(F.broadcast(none)).where("_none").drop("_none")
+    return query_vectors.select("item_id", double).unionByName(docs)
+
+
+def centred(vectors: DataFrame) -> DataFrame:
+    """Vectors less the mean of all; dimensions are averaged as groups."""
+    means = vectors.select(F.posexplode("vector").alias("pos", "x")).groupBy("pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("_mean"))  # one row
+    return vectors.crossJoin(F.broadcast(mean)).withColumn("vector", F.zip_with("vector", "_mean", lambda x, m: x.cast("double") - m)).drop("_mean")
+
+
 def above(queries: DataFrame, items: DataFrame, floor: float, block: int = BLOCK, most: int | None = None) -> DataFrame:
     """query_id, item_id, cos: the threshold join.
 

@@ -252,7 +252,7 @@ def j07(spark, sf):
     q = pools.select("query_id").distinct()
     free = {c.split()[0]: c.split()[1] for c in filters.FILTER_COLUMNS.split(", ")}
     specs = q.withColumns({c: F.lit(None).cast(k) for c, k in free.items()}).withColumn("min_rating", F.when(F.col("query_id") % 2 == 0, 2.5))
-    targets = q.crossJoin(F.broadcast(known.select(F.explode("values").alias("target")).distinct()))
+    targets = q.crossJoin(known.select(F.explode("values").alias("target")).distinct())
     return pipelines.select_results(pools, specs, targets, page=8)
 
 

@@ -309,7 +309,7 @@ def f06(spark, sf):
     """Pages of eight that lack a genre get its best item."""
     first = facts(spark, sf).select("item_id", F.slice(T.genres("genre"), 1, 1).alias("values"))
     top = ranking.ranked(scored(spark, sf), F.desc("score")).select("query_id", "item_id", "rank").join(first, "item_id")
-    targets = top.select("query_id").distinct().crossJoin(F.broadcast(first.select(F.explode("values").alias("target")).distinct()))
+    targets = top.select("query_id").distinct().crossJoin(first.select(F.explode("values").alias("target")).distinct())
     return ranking.covered(top, targets, page=8)
 
 
@@ -389,6 +389,26 @@ def i04(spark, sf):
     return mean.select("query_id", F.round(vectors.norm("vector"), 6).alias("length"), F.round(F.array_max("vector"), 6).alias("largest"))
 
 
+_MEANS = "SELECT '{0}' AS space, query_id, pos, avg(x / len) AS x FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS len FROM {1}) GROUP BY 2, 3"
+
+
+@query("i04_seed_spaces", f"""WITH d AS (SELECT vec_id, label::BIGINT AS query_id, unnest(range(1, 65)) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT pos, avg(x) AS mean FROM d GROUP BY 1),
+  c AS (SELECT vec_id, query_id, pos, x - mean AS x FROM d JOIN m USING (pos) WHERE vec_id % 9 <> 4), a AS ({_MEANS.format('query', 'c')} UNION ALL {_MEANS.format('document', 'd')})
+  SELECT space, query_id, round(max(x) / sqrt(sum(x * x)), 5) AS largest, round(min(x) / sqrt(sum(x * x)), 5) AS smallest FROM a GROUP BY 1, 2""")
+def i04_spaces(spark, sf):
+    """Mean vectors by label in a query space that some items are missing from (vectors less
+    their mean stand for an encoder), and in the documents' space where there is no query
+    space (I4)."""
+    items = item_vectors(spark, sf)
+    seeds = table(spark, sf, "embeddings").select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("item_id"))
+    asked = vectors.centred(items).where(F.col("item_id") % 9 != 4)
+    out = None
+    for name, space in (("query", vectors.seed_space(asked, items)), ("document", vectors.seed_space(asked.limit(0), items))):
+        mean = vectors.seed_average(seeds, space).select(F.lit(name).alias("space"), "query_id", F.round(F.array_max("vector"), 5).alias("largest"), F.round(F.array_min("vector"), 5).alias("smallest"))
+        out = mean if out is None else out.unionByName(mean)
+    return out
+
+
 @query("i06_inverted_file", "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), p AS (SELECT q.vec_id AS query_id, count(*) AS n FROM e q JOIN e c ON q.vec_id <> c.vec_id AND list_inner_product(q.v, c.v) >= 0.25 WHERE q.vec_id % 50 = 0 GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS n_pairs, true AS all_exact, true AS recall_reached FROM p")
 def i06(spark, sf):
     """Pairs of a query set found by probing cells: that their recall reaches 0.9, and that

@@ -80,3 +80,21 @@ def test_text_vectors(spark):
     # weight: count times the logarithm of (documents + 1) over (documents with the word + 1)
     red, green = 2 * np.log(6 / 4), np.log(6 / 4)
     assert np.allclose(sorted(found[1][found[1] > 0]), sorted([green, red] / np.hypot(green, red)))
+
+
+def test_seeds_are_averaged_in_one_space(spark):
+    rng = np.random.default_rng(2)
+    docs, asked = {i: rng.normal(size=4) for i in range(6)}, {i: rng.normal(size=4) for i in (0, 1, 2, 4)}
+    frame = lambda v: spark.createDataFrame([(i, list(map(float, x))) for i, x in v.items()], "item_id long, vector array<double>")
+    seeds = spark.createDataFrame([("a", 0), ("a", 1), ("a", 3), ("b", 3), ("c", 99)], "query_id string, item_id long")
+
+    def mean(space, ids):
+        m = np.mean([space[i] / np.linalg.norm(space[i]) for i in ids if i in space], axis=0)
+        return m / np.linalg.norm(m)
+
+    got = {r.query_id: r.vector for r in vectors.seed_average(seeds, vectors.seed_space(frame(asked), frame(docs))).collect()}
+    assert set(got) == {"a"} and np.allclose(got["a"], mean(asked, [0, 1]))  # b's seed has no query vector
+    got = {r.query_id: r.vector for r in vectors.seed_average(seeds, vectors.seed_space(frame({}), frame(docs))).collect()}
+    assert set(got) == {"a", "b"} and np.allclose(got["a"], mean(docs, [0, 1, 3])) and np.allclose(got["b"], mean(docs, [3]))
+    less = {r.item_id: r.vector for r in vectors.centred(frame(docs)).collect()}
+    assert np.allclose([less[i] for i in range(6)], np.array([docs[i] for i in range(6)]) - np.mean(list(docs.values()), axis=0))
