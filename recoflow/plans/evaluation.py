@@ -411,7 +411,10 @@ def k06_quality(spark, sf):
     of the lowest floor and the loosest policy, with the share of identical ones (K6)."""
     from recoflow.operators.facets import quantiles
 
-    v = filters.prefilter_variants(evaluate.judged(pool(spark, sf), classes(spark, sf)), FLOORS)
+    path = src.scratch(spark)  # pages, sizes and metrics read the pool, which is searched for once
+    used = ("query_id", "item_id", "cos", "score", "hit", "query_tags", "item_tags", "query_systems", "item_systems")
+    evaluate.judged(pool(spark, sf), classes(spark, sf)).select(*used).write.parquet(path)
+    v = filters.prefilter_variants(src.read(spark, path), FLOORS)
     place = F.row_number().over(Window.partitionBy("query_id", "floor", "policy").orderBy(F.desc("kept"), F.desc("score"), "item_id"))
     v = v.withColumn("rank", F.when(F.col("kept"), place).cast("long"))
     per = evaluate.variant_pages(v, (F.col("floor") == FLOORS[0]) & (F.col("policy") == "tags1"), 25, "floor", "policy")
