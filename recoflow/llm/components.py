@@ -22,21 +22,28 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links are stars: no vertex has two smaller neighbours, or both a
+    smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    each = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not each.agg(F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()[0]
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(u, v) with u > v, where v is the smallest vertex that u reaches; vertices that
     are the smallest of their component, or have no link, are left out.
 
     links: u, v (long), in either order; loops and repetitions do not matter.  Each
     round is written to the shared folder; a hub is never gathered, as only minima are
-    grouped, and adaptive execution splits the join of its links.  Raises if ``rounds`` do not suffice, which takes
-    more vertices than any table has: rounds grow with the logarithm of a component.
+    grouped, and adaptive execution splits the join of its links.  Links that are stars
+    need no round.  Raises if ``rounds`` do not suffice, which takes more vertices than
+    any table has: rounds grow with the logarithm of a component.
     """
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v")).distinct())
-    state = None
-    for _ in range(rounds):
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if not now[0] or now == state:
+    for done in range(rounds + 1):
+        if _settled(edges):
             return edges
-        state = now
-        edges = written(_small_star(_large_star(edges)))
+        if done < rounds:
+            edges = written(_small_star(_large_star(edges)))
     raise RuntimeError(f"components are not settled after {rounds} rounds")

@@ -11,12 +11,11 @@ too, and two registers agree with the probability of the Jaccard similarity.
 3. Candidates pass a size test and a collision-corrected estimate of the similarity
    (its margin is six standard deviations), then the exact test on full sets.
 4. Links give components by star contractions.  Groups whose members all lie in one
-   component are done.  The members of the others are pooled (groups that share a
-   member go together), pools are cut into blocks, and each two blocks of a pool are
-   compared exactly by matrix products over their shared shingles; only links that
-   join components leave the task.  So every pair that shares a band is compared or
-   known to be connected.  A pool of P members makes P * P / BLOCK rows with full sets:
-   fine for the near copies that remain, but not for very many pages of one template.
+   component are done.  The members of the others meet by their rarest shingles
+   (``rarest``, ``meeting``): a pair of the similarity asked for can't miss that, so
+   every pair that shares a band is compared or known to be connected.  Pairs of one
+   component are left out, the others go through estimate and exact test as in 3.
+   Pages of one template below the similarity meet only where their own words do.
 
 A band that a noticeable share of all classes has is dealt to many tasks (``spread_join``).
 """
@@ -26,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +35,8 @@ from recoflow.llm.pieces import blocks
 from recoflow.llm.shingles import GOLDEN, mix, shingle_sets
 
 BANDS, ROWS = 40, 5
-#: Classes in a block of a pool, and shingles in a slice of its incidence matrix.
-BLOCK, SLICE = 256, 4096
+#: Larger sets that one part of a common shingle holds.
+PART = 1024
 REGISTERS = BANDS * ROWS
 MANTISSA = 10
 _EDGES = np.array([-(-(j << 64) // REGISTERS) for j in range(REGISTERS)], np.uint64)
@@ -175,50 +173,44 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= either * percent).select("u", "v")
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all two sets of a block, by incidence matrices over
-    the hashes that more than one of them has."""
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    number = np.cumsum(count > 1) - 1
-    owner, code = owner[count[code] > 1], number[code[count[code] > 1]]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
-        a, b = np.searchsorted(code, [low, low + SLICE])
-        part = np.zeros((len(sets), SLICE), np.float32)
-        part[owner[a:b], code[a:b] - low] = 1
-        out += part @ part.T
-    return out
-
-
-def joining_links(percent: int):
-    """Function of the members of two blocks: links that join different components."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("uid", ignore_index=True)
-        sets = pdf["hashes"].to_list()
-        size = np.array([len(s) for s in sets], np.float64)
-        shared = intersections(sets)
-        r, c = np.nonzero(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
-        parent = {x: x for x in pdf["label"].tolist()}
-
-        def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        uid, label, out = pdf["uid"].tolist(), pdf["label"].tolist(), []
-        for i, j in zip(r.tolist(), c.tolist(), strict=True):
-            a, b = root(label[i]), root(label[j])
-            if a != b:
-                parent[b] = a
-                out.append((uid[i], uid[j]))
-        return pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-
-    return run
+def rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """The shingles by which sets that reach the similarity must meet: uid, label, n, h, df
+    (sets that have h), pos (place of h in its set, rarest first, from 0).
+
+    sets: uid, label, n, hashes; a written table.  Sets of n shingles that reach it share
+    at least percent % of n, so one of the first n - that + 1 places of each.  Shingles
+    of one set alone come first and are only counted.
+    """
+    tokens = sets.select("uid", "label", "n", F.explode("hashes").alias("h"))
+    often = written(tokens.groupBy("h").agg(F.count("*").alias("df")).where(F.col("df") > 1))
+    total = often.agg(F.sum("df")).first()[0] or 0
+    common = spread_join(tokens, often, "h", "uid", often.select("h", F.col("df").alias("n")), total)
+    ranked = common.groupBy("uid", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common"))
+    alone = F.col("n") - F.size("common")
+    reach = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1
+    first = F.slice("common", F.lit(1), F.greatest(F.lit(0), reach - alone).cast("int"))
+    return ranked.select("uid", "label", "n", alone.alias("alone"), F.posexplode(first)).select("uid", "label", "n", "col.h", "col.df", (F.col("alone") + F.col("pos")).alias("pos"))
+
+
+def meeting(rare: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different labels that share one of their rarest shingles and could
+    still reach the similarity.
+
+    The larger set comes with all places that ``rarest`` gives, the smaller one with those
+    that suffice for partners of its size or more (n less 2 p / (1 + p) of n, plus 1).
+    Of two sets below the similarity that have only common passages, the smaller one's
+    places are filled by what is its own.  A shingle that many sets have is dealt into
+    parts of about PART larger sets; the smaller ones go to all its parts.
+    """
+    parts = F.ceil(F.col("df") / PART).cast("int")
+    reach = F.col("n") - F.expr(f"(2 * {percent} * n + {99 + percent}) div {100 + percent}") + 1
+    large = rare.select("h", F.pmod(F.xxhash64("uid"), parts).cast("int").alias("part"), *[F.col(c).alias(f"{c}_u") for c in ("uid", "label", "n", "pos")])
+    small = rare.where(F.col("pos") < reach).select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *[F.col(c).alias(f"{c}_v") for c in ("uid", "label", "n", "pos")])
+    ordered = F.struct("n_v", "uid_v") < F.struct("n_u", "uid_u")
+    least = F.expr(f"({percent} * (n_u + n_v) + {99 + percent}) div {100 + percent}")
+    enough = F.least(F.col("n_u") - F.col("pos_u"), F.col("n_v") - F.col("pos_v")) >= least
+    both = large.join(small, ["h", "part"]).where(ordered & (F.col("label_u") != F.col("label_v")) & _similar_size(F.col("n_u"), F.col("n_v"), percent) & enough)
+    return both.select(F.col("uid_u").alias("u"), F.col("uid_v").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -253,16 +245,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # groups of two have been compared; of larger ones, those with two components are left
     labels = members.where(F.col("size") > 2).join(stars.toDF("uid", "label"), "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     mixed = labels.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(F.col("a") != F.col("b")).select("key")
-    left = written(labels.join(mixed, "key", "left_semi").select("pivot", "uid", "label").distinct())
-    roots = components(left.select(F.col("pivot").alias("u"), F.col("uid").alias("v")))
-    pooled = left.select("uid", "label").distinct().join(roots.toDF("uid", "pool"), "uid", "left").withColumn("pool", F.coalesce("pool", "uid"))
-    blocks_of = pooled.groupBy("pool").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    late = full_sets(docs, wanted(pooled.select("uid")).join(sets.select("uid"), "uid", "left_anti"), width).dropDuplicates(["uid"])
-    sets = sets.join(pooled.select("uid"), "uid", "left_semi").unionByName(written(late))
-    blocked = pooled.join(blocks_of, "pool").withColumn("own", F.pmod(F.xxhash64("uid"), F.col("n_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
-    blocked = blocked.join(sets, "uid").withColumn("other", other).select("pool", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "uid", "label", "hashes")
-    more = blocked.groupBy("pool", "i", "j").applyInPandas(joining_links(percent), "u long, v long")
+    left = written(labels.join(mixed, "key", "left_semi").select("uid", "label").distinct())
+    late = full_sets(docs, wanted(left.select("uid")).join(sets.select("uid"), "uid", "left_anti"), width).dropDuplicates(["uid"])
+    sets = sets.join(left.select("uid"), "uid", "left_semi").unionByName(late)
+    sets = written(sets.join(left, "uid").select("uid", "label", F.size("hashes").alias("n"), "hashes"))
+    pairs = written(likely(meeting(rarest(sets, percent), percent), rows, percent))
+    more = linked(pairs, sets.select("uid", "hashes"), percent)
     stars = components(stars.union(more))
 
     label = classes.select(F.col("uid").alias("class_id"), "doc_id", "n", "s1", "s2").join(stars.toDF("class_id", "label"), "class_id", "left").withColumn("label", F.coalesce("label", "class_id"))

@@ -64,13 +64,47 @@ def near_copies(seed, n):
 
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates(spark, width, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 40)  # pools of several blocks
+    monkeypatch.setattr(neardup, "PART", 10)  # common shingles in several parts
     rows = near_copies(width, 150)
     got = neardup.near_duplicates(docs_frame(spark, rows), width, 80).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, width)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def met(spark, sets, folder):
+    rows = [(k, k, len(s), sorted(s)) for k, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "uid long, label long, n int, hashes array<long>")
+    frame.write.parquet(str(folder))
+    return {(r.u, r.v) for r in neardup.meeting(neardup.rarest(spark.read.parquet(str(folder)), 80), 80).collect()}
+
+
+def test_rarest_shingles_miss_no_link(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(neardup, "PART", 16)
+    rng = random.Random(6)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(900), rng.randint(1, 60))
+        for _ in range(rng.randint(1, 25)):
+            drop = rng.randint(0, len(base) // 4)
+            sets.append(set(rng.sample(base, len(base) - drop)) | set(rng.sample(range(900), rng.randint(0, len(base) // 4))))
+    links = {(a, b) for a, x in enumerate(sets) for b, y in enumerate(sets) if (len(y), b) < (len(x), a) and 100 * len(x & y) >= 80 * len(x | y)}
+    found = met(spark, sets, tmp_path / "sets")
+    assert len(links) > 200 and links <= found
+    assert not met(spark, [], tmp_path / "none")
+
+
+def test_pages_of_one_template_do_not_pair(spark, tmp_path):
+    rng = random.Random(7)
+    template = " ".join(f"t{k}" for k in range(106))
+    counts = []
+    for pages in (300, 1200):
+        texts = [f"{template} {' '.join(rng.choice('abcdefghijkl') + str(rng.randrange(100)) for _ in range(15))}" for _ in range(pages)]
+        sets = [set(h.view(np.int64).tolist()) for h in shingle_sets(texts, 5)]
+        assert 0.7 < len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 0.8
+        counts.append(len(met(spark, sets, tmp_path / str(pages))))
+    assert counts[0] <= 300 and counts[1] <= 1200
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(docs_frame(spark, [])).count() == 0
     assert neardup.near_duplicates(docs_frame(spark, [(1, None), (2, "")])).where("kept").count() == 2
