@@ -11,6 +11,7 @@ statistics in steps.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -248,14 +249,16 @@ def voted(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, row long, votes long")
 
 
-def _sampled(docs: DataFrame, n: float, sample: int) -> list[tuple]:
-    """(votes, steps, words and pairs) of the ``sample`` documents of the least hashes.  A
-    bound that 1.5 times as many of the n documents stay under keeps tasks from sending
-    more than that in all."""
+def _sampled(docs: DataFrame, facts: DataFrame, n: float, sample: int) -> list[tuple]:
+    """(votes, steps, words and pairs) of the ``sample`` documents of the least hashes; words
+    and pairs as compressed differences.  The last of these hashes is found among the
+    ``voted`` rows first, under a bound that 1.5 times as many of the n documents stay
+    under, so features are made and sent of no further documents (but repeats of the last)."""
     small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", "row")
-    bound = min(1.0, 1.5 * sample / max(1.0, n))
-    near = keyed(docs).where(order <= F.lit(int(-(2**63) + bound * (2**64 - 1025)))).select(order.alias("place"), "row", "text")
+    bound = int(-(2**63) + min(1.0, 1.5 * sample / max(1.0, n)) * (2**64 - 1025))
+    last = facts.select(order.alias("place")).where(F.col("place") <= F.lit(bound)).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    near = keyed(docs).where(order <= F.lit(-(2**63) if last is None else last)).select(order.alias("place"), "row", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,11 +269,11 @@ def _sampled(docs: DataFrame, n: float, sample: int) -> list[tuple]:
                 s, shapes = profiles(rows[a:b], words)
                 codes.append(votes(s) @ _POWERS)
                 steps += [x.astype("<i4").tobytes() for x in features(s, shapes)]
-                grams += [x.astype("<i4").tobytes() for x in ngrams(words)]
+                grams += [zlib.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), 1) for x in ngrams(words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(codes)), pa.array(steps, pa.binary()), pa.array(grams, pa.binary())], ["place", "row", "votes", "steps", "grams"])
 
     found = near.mapInArrow(run, "place long, row long, votes long, steps binary, grams binary")
-    return [(r.votes, np.frombuffer(r.steps, "<i4"), np.frombuffer(r.grams, "<i4")) for r in found.orderBy("place", "row").limit(sample).collect()]
+    return [(r.votes, np.frombuffer(r.steps, "<i4"), r.grams) for r in found.orderBy("place", "row").limit(sample).collect()]
 
 
 def train(docs: DataFrame, facts: DataFrame, sample: int = SAMPLE, batch: int = 2000) -> QualityModel:
@@ -280,10 +283,11 @@ def train(docs: DataFrame, facts: DataFrame, sample: int = SAMPLE, batch: int =
     codes, counts = np.array([r.votes for r in patterns], np.int64), np.array([r["count"] for r in patterns], np.float64)
     posterior, table, prior = estimate_accuracies(codes, counts)
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    rows = _sampled(docs, counts.sum(), sample)
+    rows = _sampled(docs, facts, counts.sum(), sample)
     batches, labels = [], []
     for k in range(0, len(rows), batch):
-        code, steps, grams = zip(*rows[k : k + batch], strict=True)
+        code, steps, packed = zip(*rows[k : k + batch], strict=True)
+        grams = [np.cumsum(np.frombuffer(zlib.decompress(p), "<i4"), dtype=np.int32) for p in packed]
         batches.append(Described(np.stack(steps), np.concatenate(grams), np.fromiter(map(len, grams), np.int64, len(grams))))
         labels.append(np.array([of[c] for c in code]))
     return QualityModel(fit(batches, labels), of, table, prior)
