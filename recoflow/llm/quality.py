@@ -249,10 +249,10 @@ def voted(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, row long, votes long")
 
 
-def _sampled(docs: DataFrame, facts: DataFrame, n: float, sample: int) -> list[tuple]:
-    """(votes, steps, words and pairs) of the ``sample`` documents of the least hashes; words
-    and pairs as compressed differences.  The last of these hashes is found among the
-    ``voted`` rows first, under a bound that 1.5 times as many of the n documents stay
+def _sampled(docs: DataFrame, facts: DataFrame, n: float, sample: int) -> DataFrame:
+    """votes, steps, grams (words and pairs, as compressed differences) of the ``sample``
+    documents of the least hashes, in one partition.  The last of these hashes is found among
+    the ``voted`` rows first, under a bound that 1.5 times as many of the n documents stay
     under, so features are made and sent of no further documents (but repeats of the last)."""
     small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id", "row")
@@ -273,24 +273,44 @@ def _sampled(docs: DataFrame, facts: DataFrame, n: float, sample: int) -> list[t
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(codes)), pa.array(steps, pa.binary()), pa.array(grams, pa.binary())], ["place", "row", "votes", "steps", "grams"])
 
     found = near.mapInArrow(run, "place long, row long, votes long, steps binary, grams binary")
-    return [(r.votes, np.frombuffer(r.steps, "<i4"), r.grams) for r in found.orderBy("place", "row").limit(sample).collect()]
+    return found.orderBy("place", "row").limit(sample).select("votes", "steps", "grams").coalesce(1)
+
+
+def _fit_task(of: dict[int, float], batch: int):
+    """Fits the scorer to the rows of ``_sampled``, with the labels that ``of`` has for votes."""
+
+    def run(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, labels, held = [], [], []
+        for rows in arrived:
+            held += zip(*(rows.column(c).to_pylist() for c in range(3)), strict=True)
+            while len(held) >= batch:
+                batches.append(_unpacked(held[:batch]))
+                labels.append(np.array([of[r[0]] for r in held[:batch]]))
+                held = held[batch:]
+        if held:
+            batches.append(_unpacked(held))
+            labels.append(np.array([of[r[0]] for r in held]))
+        yield pa.RecordBatch.from_arrays([pa.array([fit(batches, labels).astype("<f8").tobytes()], pa.binary())], ["weights"])
+
+    return run
+
+
+def _unpacked(rows: list[tuple[int, bytes, bytes]]) -> Described:
+    grams = [np.cumsum(np.frombuffer(zlib.decompress(g), "<i4"), dtype=np.int32) for _, _, g in rows]
+    return Described(np.stack([np.frombuffer(s, "<i4") for _, s, _ in rows]), np.concatenate(grams), np.fromiter(map(len, grams), np.int64, len(grams)))
 
 
 def train(docs: DataFrame, facts: DataFrame, sample: int = SAMPLE, batch: int = 2000) -> QualityModel:
     """Model from documents and their ``voted`` patterns: patterns of all of them (at most
-    3 ** LABELLERS rows reach the driver), features of ``sample`` of them."""
+    3 ** LABELLERS rows reach the driver), features of ``sample`` of them.  The scorer is
+    fitted in a task, and only its weights reach the driver."""
     patterns = facts.groupBy("votes").count().orderBy("votes").collect()
     codes, counts = np.array([r.votes for r in patterns], np.int64), np.array([r["count"] for r in patterns], np.float64)
     posterior, table, prior = estimate_accuracies(codes, counts)
     of = dict(zip(codes.tolist(), posterior.tolist(), strict=True))
-    rows = _sampled(docs, facts, counts.sum(), sample)
-    batches, labels = [], []
-    for k in range(0, len(rows), batch):
-        code, steps, packed = zip(*rows[k : k + batch], strict=True)
-        grams = [np.cumsum(np.frombuffer(zlib.decompress(p), "<i4"), dtype=np.int32) for p in packed]
-        batches.append(Described(np.stack(steps), np.concatenate(grams), np.fromiter(map(len, grams), np.int64, len(grams))))
-        labels.append(np.array([of[c] for c in code]))
-    return QualityModel(fit(batches, labels), of, table, prior)
+    fitted = _sampled(docs, facts, counts.sum(), sample).mapInArrow(_fit_task(of, batch), "weights binary").collect()
+    weights = np.frombuffer(fitted[0].weights, "<f8") if fitted else fit([], [])
+    return QualityModel(weights, of, table, prior)
 
 
 def classify(docs: DataFrame, sample: int = SAMPLE, least: float = 0.5) -> DataFrame:

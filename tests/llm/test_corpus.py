@@ -217,6 +217,19 @@ def test_quality_on_held_out_labels(spark):
     assert quality.keep_good(docs).count() == quality.classify(docs).where("keep").count()
 
 
+def test_quality_sample_stays_off_the_driver(spark, monkeypatch):
+    docs = docs_frame(spark, [(k, f"Document {k} has words, and number {k * k} is one of them. " * (1 + k % 7)) for k in range(300)])
+    facts = quality.voted(docs).cache()
+    rows = [(r.votes, r.steps, r.grams) for r in quality._sampled(docs, facts, 300, 250).collect()]
+    collected, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: collected.append(out := collect(self)) or out)
+    model = quality.train(docs, facts, sample=250, batch=100)
+    assert len(rows) == 250 and max(map(len, collected)) < 100
+    parts = [rows[k : k + 100] for k in range(0, 250, 100)]
+    weights = quality.fit([quality._unpacked(p) for p in parts], [np.array([model.posterior[r[0]] for r in p]) for p in parts])
+    assert np.array_equal(model.weights, weights)
+
+
 def test_quality_edges(spark):
     rows = [(1, None), (2, ""), (2, ""), (None, "word " * 100), (3, "x" * 100_000)]
     out = quality.classify(docs_frame(spark, rows))
