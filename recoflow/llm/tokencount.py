@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 
 from recoflow.llm.common import small_batches, texts
 from recoflow.llm.pieces import LETTER, NUMBER, SPACE, blocks, class_table, code_points, distinct_pieces
+from recoflow.llm.shingles import GOLDEN
 
 # --- the cutting machine ---------------------------------------------------------
 
@@ -140,12 +141,49 @@ def byte_alphabet() -> dict[str, int]:
 ROOT = ((0, -1, 0),)
 #: Runs in step, and bytes before a chunk that lead to the state it is entered in.
 ROWS, WARM_UP = 8192, 64
+#: Pieces whose counts a machine remembers, and bytes of the longest of these.
+MEMORY, REMEMBERED = 1_000_000, 64
+
+
+class Transitions:
+    """Open-addressed table from (state, byte) to the next state and the tokens gained, with
+    room for four transitions a state and more: few bytes are ever met in one."""
+
+    def __init__(self, states: int):
+        self.bits = (8 * states + 4 * ROWS).bit_length()
+        self.keys = np.zeros(1 << self.bits, np.int64)  # 0: free, since a key is one more
+        self.after = np.zeros(1 << self.bits, np.int32)
+        self.gain = np.zeros(1 << self.bits, np.int16)
+        self.size = 0
+
+    def full(self) -> bool:
+        return 2 * self.size > len(self.keys)
+
+    def slots(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each pair stands or would go, which ones are not there)."""
+        key = (state.astype(np.int64) << 8 | byte) + 1
+        slot = (key.astype(np.uint64) * GOLDEN >> np.uint64(64 - self.bits)).astype(np.int64)
+        found = self.keys[slot]
+        rest = np.flatnonzero((found != key) & (found != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.keys) - 1)
+            found[rest] = self.keys[slot[rest]]
+            rest = rest[(found[rest] != key[rest]) & (found[rest] != 0)]
+        return slot, np.flatnonzero(found == 0)
+
+    def add(self, state: int, byte: int, after: int, gain: int) -> None:
+        key = (state << 8 | byte) + 1
+        slot = (key * int(GOLDEN) & (1 << 64) - 1) >> 64 - self.bits
+        while self.keys[slot]:
+            slot = (slot + 1) & (len(self.keys) - 1)
+        self.keys[slot], self.after[slot], self.gain[slot] = key, after, gain
+        self.size += 1
 
 
 class MergingMachine:
     """Lazily compiled transducer from the bytes of a piece to its token count."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 60_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], max_states: int = 250_000, memory: int = MEMORY):
         alphabet = byte_alphabet()
         self.pair_rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int, int]] = {}  # token: left, right, rank
@@ -170,24 +208,20 @@ class MergingMachine:
                 self.token_at[node] = token
         self.spines: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.max_states = max_states
+        self.max_states, self.memory = max_states, memory
+        self.known: dict[bytes, int] = {}  # token counts of pieces
         self._clear()
 
     def _clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        # rows of states not yet numbered take no memory; 0: not compiled, else state + 1
-        self.after = np.zeros((self.max_states + ROWS, 256), np.int32)
-        self.gain = np.zeros((self.max_states + ROWS, 256), np.int16)
+        self.transitions = Transitions(self.max_states)
         self._number(ROOT)
 
     def _number(self, key: tuple) -> int:
         if key not in self.states:
             self.states[key] = len(self.keys)
             self.keys.append(key)
-            if len(self.keys) > len(self.after):
-                self.after = np.concatenate([self.after, np.zeros_like(self.after)])
-                self.gain = np.concatenate([self.gain, np.zeros_like(self.gain)])
         return self.states[key]
 
     def _spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -224,8 +258,22 @@ class MergingMachine:
             if last is None and token >= 0 and (before < 0 or self._neighbours(before, token)):
                 last, gain = token, count + 1
         key = (*((node, before, count - gain) for node, before, count in alive), (0, last, 0))
-        number = self._number(key)  # may enlarge the tables
-        self.after[state, byte], self.gain[state, byte] = number + 1, gain
+        self.transitions.add(state, byte, self._number(key), gain)
+
+    def _full(self) -> bool:
+        return len(self.keys) > self.max_states or self.transitions.full()
+
+    def known_counts(self, pieces: list[bytes]) -> np.ndarray:
+        """Token counts of these pieces; those of about ``memory`` usual ones are remembered,
+        so a piece that recurs from block to block runs through the machine once."""
+        new = [p for p in pieces if p not in self.known]
+        if len(self.known) + len(new) > self.memory:
+            self.known, new = {}, pieces
+        lengths = np.fromiter(map(len, new), np.int64, len(new))
+        counts = self.counts(np.frombuffer(b"".join(new), np.uint8), np.cumsum(lengths) - lengths, lengths).tolist()
+        here = dict(zip(new, counts, strict=True))
+        self.known.update((p, n) for p, n in here.items() if len(p) <= REMEMBERED)
+        return np.fromiter((self.known[p] if p in self.known else here[p] for p in pieces), np.int64, len(pieces))
 
     def counts(self, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Token counts of the pieces data[begin : begin + length]."""
@@ -272,26 +320,25 @@ class MergingMachine:
     def _run(self, data: np.ndarray, begin: np.ndarray, lengths: np.ndarray, states: list[tuple] | None) -> tuple[np.ndarray, list[tuple]]:
         """(token counts gained, states left in) of runs over data[begin : begin + length];
         lengths descend.  Without ``states`` all begin at the root and no states are given."""
-        if len(self.keys) > self.max_states:
+        if self._full():
             self._clear()
         state = np.zeros(len(begin), np.int32) if states is None else np.fromiter(map(self._number, states), np.int32, len(begin))
         total = np.zeros(len(begin), np.int64)
         active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), "left")
         for p, n in enumerate(active):
-            if len(self.keys) > self.max_states:  # compile anew what the runs are in
+            if self._full():  # compile anew what the runs are in
                 used, at = np.unique(state, return_inverse=True)
                 kept = [self.keys[s] for s in used.tolist()]
                 self._clear()
                 state = np.fromiter(map(self._number, kept), np.int32, len(kept))[at]
             now, byte = state[:n], data[begin[:n] + p]
-            after = self.after[now, byte]
-            missing = np.flatnonzero(after == 0)
+            slot, missing = self.transitions.slots(now, byte)
             if len(missing):
                 for pair in np.unique(now[missing].astype(np.int64) << 8 | byte[missing]).tolist():
                     self._compile(pair >> 8, pair & 255)
-                after = self.after[now, byte]
-            total[:n] += self.gain[now, byte]
-            state[:n] = after - 1
+                slot[missing] = self.transitions.slots(now[missing], byte[missing])[0]
+            total[:n] += self.transitions.gain[slot]
+            state[:n] = self.transitions.after[slot]
         return total, [] if states is None else [self.keys[s] for s in state.tolist()]
 
 
@@ -329,9 +376,7 @@ class TokenCounter:
         part = np.searchsorted(ends, begin)
         end = np.minimum(np.append(begin[1:], len(cps)), ends[part])
         codes, first = distinct_pieces(cps, begin, end)
-        raw = [joined[a:b].encode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
-        tokens = self.machine.counts(np.frombuffer(b"".join(raw), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        tokens = self.machine.known_counts([joined[a:b].encode() for a, b in zip(begin[first].tolist(), end[first].tolist(), strict=True)])
         return extra + np.bincount(np.array(owner)[part], tokens[codes], len(texts)).astype(np.int64)
 
 

@@ -35,6 +35,23 @@ def test_transducers_count_as_the_library():
     assert [int(counter.block([t])[0]) for t in TEXTS[:60]] == want[:60]
 
 
+def test_recurring_pieces_are_compiled_once():
+    path = tokenizer_path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshrdlucmfw") for _ in range(rng.randint(3, 20))) for _ in range(12_000)]
+    texts = [" ".join(words[k : k + 3000]) for k in range(0, 12_000, 3000)]
+    want = [len(e.ids) for e in library(path).encode_batch(texts, add_special_tokens=False)]
+    counter = tokencount.TokenCounter(path)
+    calls, compiled = [], counter.machine._compile
+    counter.machine._compile = lambda state, byte: calls.append(0) or compiled(state, byte)
+    assert [int(counter.block([t])[0]) for t in texts] == want
+    first = len(calls)
+    assert len(counter.machine.keys) > 60_000  # more than fitted in before, without a clear
+    assert [int(counter.block([t])[0]) for t in texts] == want and len(calls) == first
+    counter.machine.memory = 1000  # the remembered counts are dropped, and again
+    assert [int(counter.block([t])[0]) for t in texts] == want
+
+
 def test_matrix_bpe_is_tiktoken_s():
     import public_tokenizers
     import tiktoken
