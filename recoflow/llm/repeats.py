@@ -245,20 +245,29 @@ class RunIndex:
     def _suffixes(self) -> np.ndarray:
         m = len(self.text)
         place, key, step = np.arange(m), np.zeros(m, np.int64), 7
-        for k in range(step):  # bytes as 1 to 256, and 0 beyond the string, in 9 bits each
-            at = np.minimum(place + k, m - 1)
-            key = key << 9 | np.where(place + k < self.ends, self.text[at].astype(np.int64) + 1, 0)
-        while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(m, np.int64)
-            rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
-            if rank[order[-1]] == m - 1:
-                return order
-            if step >= (self.ends - place).max():
-                return np.argsort(rank * m + place)  # equal suffixes by place
-            key = rank * (m + 1) + np.where(place + step < self.ends, rank[np.minimum(place + step, m - 1)] + 1, 0)
+        left, byte = self.ends - place, self.text.astype(np.int64) + 1
+        for k in range(min(step, m)):  # bytes as 1 to 256, and 0 beyond the string, in 9 bits each
+            key[: m - k] |= np.where(left[: m - k] > k, byte[k:], 0) << 9 * (step - 1 - k)
+        order = np.argsort(key)
+        alive, k, rank, equal = place, key[order], np.empty(m, np.int64), []
+        while True:  # alive: the rows whose suffixes share ``step`` bytes with a neighbour
+            first = np.r_[True, k[1:] != k[:-1]]
+            rank[order[alive]] = alive[np.maximum.accumulate(np.where(first, np.arange(len(k)), 0))]
+            alive = alive[~(first & np.r_[first[1:], True])]
+            p = order[alive]
+            over = left[p] < step  # all of such a group are equal
+            equal.append(alive[over])
+            alive, p = alive[~over], p[~over]
+            if not len(alive):
+                break
+            k = rank[p] * (m + 1) + np.where(left[p] > step, rank[np.minimum(p + step, m - 1)] + 1, 0)
+            o = np.argsort(k)
+            order[alive], k = p[o], k[o]
             step *= 2
+        rows = np.sort(np.concatenate(equal))
+        p = order[rows]
+        order[rows] = p[np.argsort(rank[p] * m + p)]  # equal suffixes by place
+        return order
 
     def _common(self, rows: np.ndarray) -> np.ndarray:
         """Common prefix of the suffix of each row with the one before it."""

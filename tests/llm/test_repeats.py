@@ -105,3 +105,15 @@ def test_index_is_the_transform_and_its_statistics():
             want.append(len(x) >= length and x[:length] in seen)
             seen.add(x[:length])
         assert index.repeated(length).tolist() == want
+
+
+def test_suffixes_that_are_apart_are_sorted_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    same = rng.integers(0, 256, 150, np.uint8).tobytes()
+    strings = [rng.integers(0, 256, 150, np.uint8).tobytes() for _ in range(200)] + [same] * 3
+    sizes, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: sizes.append(len(x)) or argsort(x, *a, **b))
+    order = repeats.RunIndex(strings).order
+    data, total = b"".join(strings), 150 * len(strings)
+    assert order.tolist() == sorted(range(total), key=lambda i: (data[i : i - i % 150 + 150], i))
+    assert sizes[0] == total and max(sizes[1:]) < 4000  # the equal strings and the tails of others
